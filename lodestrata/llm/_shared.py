@@ -63,3 +63,44 @@ def byte_chunks(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
         yield first, end, whole[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit (shift, multiply, shift)."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the runs of True in `inside`; runs end where rows of the chunk do."""
+    n = len(inside)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    fresh = np.zeros(n + 1, bool)
+    fresh[offsets] = True
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | fresh[1:n]
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:] | fresh[1:n]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, from differences of one running polynomial."""
+    n = len(data) + 1
+    if len(_POWERS["up"]) < n:
+        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+        _POWERS["up"] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, BASE))])
+        _POWERS["down"] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, inverse))])
+    running = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS["up"][: n - 1])])
+    own = (running[ends] - running[starts]) * _POWERS["down"][starts]
+    if len(_POWERS["up"]) > 1 << 23:  # an unusually long text: do not keep tables for its length
+        _POWERS["up"], _POWERS["down"] = _POWERS["up"][: 1 << 22].copy(), _POWERS["down"][: 1 << 22].copy()
+    return mixed(own + (ends - starts).astype(np.uint64))

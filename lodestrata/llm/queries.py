@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate
+from lodestrata.llm import decontaminate, line_dedup, token_counts
 
-QUERIES = {"op2_decontaminate": decontaminate.op2_decontaminate}
-ORACLES = {"op2_decontaminate": decontaminate.SQL}
+QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_token_counts": token_counts.SQL, "op8_line_dedup": line_dedup.SQL}
