@@ -1,11 +1,13 @@
-"""Queries by name and their SQL equivalents."""
+"""All queries by name, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lodestrata.plans import answers, logs, search, tables  # noqa: F401  they register their queries
+from lodestrata.plans.common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
