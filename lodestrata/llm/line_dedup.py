@@ -89,7 +89,9 @@ def dedup_lines(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE,
     parts = F.split(docs[text], "\n")
     clean = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i)), "\n")
     columns = [F.when(F.col("_gone").isNull(), docs[c]).otherwise(clean).alias(c) if c == text else docs[c] for c in docs.columns]
-    return joined.select(*columns, *[F.coalesce("_gone", F.array().cast("array<int>")).alias(report)] * bool(report))
+    if report:
+        columns.append(F.coalesce("_gone", F.array().cast("array<int>")).alias(report))
+    return joined.select(*columns)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
