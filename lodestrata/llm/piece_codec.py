@@ -38,7 +38,7 @@ class Disagreement(ValueError):
 class Vocabulary:
     """Pieces, scores and byte ids of a model file, with the encoder and decoder over them."""
 
-    def __init__(self, path: str, held: int = 400_000):
+    def __init__(self, path: str, held: int = 600_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,7 +48,7 @@ class Vocabulary:
         self.ids = {self.pieces[i]: i for i in plain}
         self.scores = {self.pieces[i]: self.library.get_score(i) for i in plain}
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(size) if self.library.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.byte_of = {i: b for b, i in self.bytes.items() if b >= 128}  # those that take others to make a character
         self.unknown = self.library.unk_id()
         crossing = [p for p in self.ids if "\n" in p or SPACE in p.lstrip(SPACE)]
         if crossing or self.library.normalize(" AÅ ﬁ") != "▁▁AÅ▁ﬁ":
@@ -59,12 +59,15 @@ class Vocabulary:
                 self.texts[i] = ""
             elif self.library.is_unknown(i):
                 self.texts[i] = " ⁇ "
+        for b, i in self.bytes.items():
+            if b < 128:
+                self.texts[i] = chr(b)
         self.digits = [str(i) for i in range(size)]
-        self.held, self.known = held, {}
+        self.held, self.known, self.older = held, {}, {}
 
     def merge(self, segment: str) -> tuple[int, ...]:
         """The ids of a segment, by the agenda."""
-        symbols = list(segment)
+        symbols: list = list(segment)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         scores = self.scores
@@ -72,7 +75,8 @@ class Vocabulary:
         heapq.heapify(agenda)
         while agenda:
             _, i, j, piece = heapq.heappop(agenda)
-            if symbols[i] is None or symbols[j] is None or after[i] != j or len(symbols[i]) + len(symbols[j]) != len(piece):
+            left, right = symbols[i], symbols[j]
+            if left is None or right is None or left + right != piece:  # changed since it entered
                 continue
             symbols[i], symbols[j] = piece, None
             after[i] = k = after[j]
@@ -102,17 +106,27 @@ class Vocabulary:
         return marked.replace("\n", "\u0000\n").replace(SPACE, "\u0000" + SPACE)[1:].split("\u0000") if "\u0000" not in text else RUNS.findall(marked)
 
     def learn(self, segments: set[str], check: bool) -> None:
-        """Encode segments not yet known, and compare with the library. What is held is bounded; it starts anew when full."""
+        """Encode segments not yet known, and compare with the library.
+
+        Two generations of at most `held` segments are kept: when one is full it becomes the older one, whose segments come
+        back as they are met again.
+        """
         new = [s for s in segments if s not in self.known]
         if len(self.known) + len(new) > self.held:
-            self.known.clear()
+            self.known, self.older = {}, self.known
             new = list(segments)
+        if self.older:
+            again = {s: ids for s in new if (ids := self.older.get(s)) is not None}
+            self.known.update(again)
+            new = [s for s in new if s not in again]
         ids = list(map(self.merge, new))
         if check and new:
+            # the library puts a blank before a text: it stands for the segment's own, or comes on top of a newline's segment;
+            # a blank alone it cannot be asked for
             blank = self.ids.get(SPACE, self.unknown)
-            for s, own, theirs in zip(new, ids, self.library.encode([s[1:] if s[0] == SPACE else s for s in new], num_threads=1), strict=True):
-                # the library puts a blank before a segment that has none of its own
-                if (s[0] == SPACE and list(own) != theirs) or (s[0] != SPACE and [blank, *own] != theirs and self.library.encode(s + SPACE) != [blank, *own, blank]):
+            asked = self.library.encode([s[1:] if s[0] == SPACE else s for s in new], num_threads=1)
+            for s, own, theirs in zip(new, ids, asked, strict=True):
+                if s != SPACE and theirs != (list(own) if s[0] == SPACE else [blank, *own]):
                     raise Disagreement(repr(s))
         self.known.update(zip(new, ids, strict=True))
 
@@ -133,7 +147,8 @@ class Vocabulary:
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, runs of byte ids read as UTF-8, without the dummy blank."""
         out = "".join(map(self.texts.__getitem__, ids)) if self.byte_of.keys().isdisjoint(ids) else self._with_bytes(ids)
-        return out[1:] if ids and self.pieces[ids[0]].startswith(SPACE) else out
+        first = next((i for i in ids if self.texts[i] or i in self.byte_of), None)  # marks without text do not count
+        return out[1:] if first is not None and self.pieces[first].startswith(SPACE) else out
 
     def _with_bytes(self, ids: list[int]) -> str:
         raw = bytearray()
