@@ -1,6 +1,7 @@
 """Stateful streams over request events. They need the RocksDB state store (see `use_rocksdb`).
 
-The event time column is `ts`; state of a key is dropped `ttl_ms` after its last change.
+The event time column is `ts`. State of a key is dropped `ttl_ms` after its last change. A lifetime makes the engine run on
+without data, so a query that is to end by itself (availableNow) takes ttl_ms=None.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def time_mode(ttl_ms: int | None) -> str:
+    return "None" if ttl_ms is None else "ProcessingTime"
+
+
 def phase(event: dict) -> str:
     """The phase that an event sets."""
     if event["type"] == "route.selected":
@@ -56,7 +61,7 @@ def fold(events: list[dict]) -> dict:
 class RequestFold(StatefulProcessor):
     """Keeps a request's events by sequence, so that late ones fall into place."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
@@ -75,18 +80,18 @@ class RequestFold(StatefulProcessor):
         pass
 
 
-def fold_requests_stream(events: DataFrame, ttl_ms: int = DAY_MS) -> DataFrame:
+def fold_requests_stream(events: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """STM1: each request's state whenever events of it arrive, in any order. events: request_id, sequence, type and fields."""
     body = events.select("request_id", "sequence", F.to_json(F.struct(*[c for c in events.columns if c != "ts"])).alias("body"))
-    return body.groupBy("request_id").transformWithStateInPandas(RequestFold(ttl_ms), STATE, "Update", "ProcessingTime")
+    return body.groupBy("request_id").transformWithStateInPandas(RequestFold(ttl_ms), STATE, "Update", time_mode(ttl_ms))
 
 
 class Limiter(StatefulProcessor):
-    def __init__(self, limit: int, window_ms: int):
-        self.limit, self.window_ms = limit, window_ms
+    def __init__(self, limit: int, window_ms: int, ttl_ms: int | None):
+        self.limit, self.window_ms, self.ttl_ms = limit, window_ms, ttl_ms
 
     def init(self, handle) -> None:
-        self.window = handle.getValueState("window", "reset_ms long, used long", DAY_MS)
+        self.window = handle.getValueState("window", "reset_ms long, used long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         reset, used = map(int, self.window.get()) if self.window.exists() else (None, 0)
@@ -103,10 +108,10 @@ class Limiter(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(events: DataFrame, key: str, limit: int = LIMIT, window_ms: int = WINDOW_MS, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def rate_limit_stream(events: DataFrame, key: str, limit: int = LIMIT, window_ms: int = WINDOW_MS, ts: str = "ts", tie: str = "event_id", ttl_ms: int | None = DAY_MS) -> DataFrame:
     """STM3: key, tie, allowed, remaining, reset_ms for each event; within a micro-batch by time."""
     slim = events.select(F.col(key).cast("string").alias("key"), F.col(tie).cast("long").alias("tie"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"))
-    return slim.groupBy("key").transformWithStateInPandas(Limiter(limit, window_ms), "key string, tie long, allowed boolean, remaining long, reset_ms long", "Append", "ProcessingTime")
+    return slim.groupBy("key").transformWithStateInPandas(Limiter(limit, window_ms, ttl_ms), "key string, tie long, allowed boolean, remaining long, reset_ms long", "Append", time_mode(ttl_ms))
 
 
 class StaleRequests(StatefulProcessor):
