@@ -123,19 +123,23 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
     return names.join(found, "column", "left").select("column", "data_type", F.coalesce("non_null_count", F.lit(0)).alias("non_null_count"), F.coalesce("unique_count", F.lit(0)).alias("unique_count"), "min", "max", "mean")
 
 
+def tied(column: str | None) -> list[Column]:
+    return [F.col(column)] if column else []
+
+
 def sort_rows(df: DataFrame, fields: list[tuple[str, str]], limit: int = 100, tie: str | None = None, max_limit: int = 1000) -> DataFrame:
     """SRT1: nulls last either way, texts by lower case; equal rows by `tie`."""
     validate_op(df.schema, {"sort": fields, "limit": limit}, max_limit)
     kinds = {f.name: kind(f) for f in df.schema.fields}
     by = [F.lower(c) if kinds[c] == "string" else F.col(c) for c, _ in fields]
     order = [c.desc_nulls_last() if way == "desc" else c.asc_nulls_last() for c, (_, way) in zip(by, fields, strict=True)]
-    return df.orderBy(*order, *[F.col(tie)] * bool(tie)).limit(limit)
+    return df.orderBy(*order, *tied(tie)).limit(limit)
 
 
 def top_n(df: DataFrame, column: str, n: int, tie: str | None = None, max_limit: int = 1000) -> DataFrame:
     """SRT2: the n rows of the largest numbers; nulls fill up."""
     validate_op(df.schema, {"aggs": [{"fn": "max", "field": column}], "limit": n}, max_limit)
-    return df.orderBy(F.col(column).desc_nulls_last(), *[F.col(tie)] * bool(tie)).limit(n)
+    return df.orderBy(F.col(column).desc_nulls_last(), *tied(tie)).limit(n)
 
 
 def list_recent(df: DataFrame, n: int | None = None, created: str = "created_at", key: str = "id") -> DataFrame:

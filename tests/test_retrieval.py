@@ -110,7 +110,7 @@ PAGES = {"p1": "Travel policy. Flights are booked by the travel desk two weeks b
 
 @pytest.mark.parametrize("mode", ["hybrid", "vector_only"])
 def test_search_finds_labelled_chunks(spark, mode):
-    qs = spark.createDataFrame([("1", "Please find the refund window in my documents."), ("2", "remote work days"), ("3", "flights booked departure")], "query_id string, text string")
+    qs = spark.createDataFrame([("1", "Please find the refund policy window in my documents."), ("2", "remote work three days a week"), ("3", "are flights booked by the travel desk")], "query_id string, text string")
     c = chunks(spark, PAGES)
     found = r.hybrid_search(qs, c, mode)
     cases = spark.createDataFrame([("1", "f.txt", 1, 1), ("2", "f.txt", 1, 2), ("3", "f.txt", 1, 0)], "query_id string, relevant_document string, relevant_page int, relevant_chunk_index int")
