@@ -5,13 +5,17 @@ are the set's point. For two sets the overlap is at most the sum, over the range
 an R-tree node, of the set's count and the node's largest. Sets of at least the needed similarity have an overlap of
 t / (1 + t) of their sizes' sum, so nodes and points under that are passed over, and pairs that remain are verified on the sets.
 
-To spread the work, sets are first cut into blocks that surely hold all pairs: sizes fall into bands, and in each band (and, for sets
-within reach of the next band's least size, that one too) the hash range is cut into one part more than two such sets can
-differ in elements, and SPARE parts beside. So some part of two similar sets is equal, and its digest brings them together.
-An empty part counts only for sets with more empty parts than SPARE. Equal digests are chained; connected chains are the blocks.
-A block's sets are gathered, packed into an R-tree, and each set asks it for partners outside its own component; a found
-link joins components at once, so a group of n mutual near copies takes about n verifications, not n squared. Blocks over
-CAP sets are cut into tiles of near size and work as pairs of tiles, each held by a task of its own.
+To spread the work, sets are first cut into parts that surely bring all pairs together: sizes fall into bands, and in each band (and,
+for sets within reach of the next band's least size, that one too) the hash range is cut into more parts than two such sets
+can differ in elements, by a spare share. So more parts are equal than are spare, and a part's digest brings its sets together.
+Parts of fewer than two elements say little: they are left out of sets that have no more of them than are spare, as another
+part of two elements or more must then be equal too.
+
+Sets that share a digest are candidates: in groups of up to SMALL as pairs, in larger ones through an R-tree over the group. Only
+candidates whose bound allows the similarity are linked, and from an R-tree only enough of them to connect what is near. The
+components of these links are blocks: a block's sets are gathered, packed into an R-tree, and each set asks it for partners outside its
+own component; a verified link joins components at once, so a group of n mutual near copies takes about n verifications, not n
+squared. Blocks over CAP sets are cut into tiles, and pairs of tiles are held by a task each.
 
 Equal sets are one class, represented by the smallest doc_id. Memory is bounded by the Arrow batch and by two tiles.
 
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm._shared import byte_chunks, mixed, staged, table, word_hashes, word_spans
 
-GROUPS, SPARE, CAP, LEAF = 64, 2, 4096, 16
+GROUPS, CAP, LEAF, SMALL = 64, 4096, 16, 8
 ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -65,14 +69,15 @@ class Bands:
     """The size bands for a similarity: where they begin, and how many parts each needs."""
 
     def __init__(self, similarity: Fraction, ratio: float = 0.65):
-        self.t, self.edges, self.parts = similarity, [1], []
+        self.t, self.edges, self.parts, self.spare = similarity, [1], [], []
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] / ratio)))
         for least, end in zip(self.edges, self.edges[1:], strict=False):
             # partners of a key have sizes up to end - 1, and so differ in at most this many elements
             most = int(2 * (end - 1) * (1 - similarity) / (1 + similarity))
-            self.parts.append(most + 1 + (SPARE if most else 0))
-        self.edges, self.parts = np.array(self.edges), np.array(self.parts)
+            self.spare.append((most + 1) * 3 // 10 + 3 if most else 0)
+            self.parts.append(most + 1 + self.spare[-1])
+        self.edges, self.parts, self.spare = np.array(self.edges), np.array(self.parts), np.array(self.spare)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, sizes, side="right") - 1
@@ -93,13 +98,17 @@ def part_digests(values: np.ndarray, starts: np.ndarray, key: np.ndarray, bands:
     first = np.flatnonzero(fresh)
     salt = mixed(part[first] * np.uint64(4096) + key[owner[first]].astype(np.uint64))
     digest = mixed((np.add.reduceat(mixed(own), first) if len(first) else np.zeros(0, np.uint64)) + salt)
-    who = owner[first]
-    filled = np.bincount(who, minlength=len(which))
-    bare = np.flatnonzero(parts - filled > np.where(parts > 1, SPARE, 0))
-    return np.concatenate([which[who], which[bare]]), np.concatenate([digest, mixed(key[bare].astype(np.uint64) ^ np.uint64(0xE37))])
+    who, count = owner[first], np.diff(np.append(first, len(own)))
+    thick = np.bincount(who[count > 1], minlength=len(which))
+    full = np.bincount(who, minlength=len(which))
+    spare = bands.spare[key]
+    thin_too = parts - thick > spare  # also where there is but one part
+    keep = (count > 1) | thin_too[who]
+    bare = np.flatnonzero((parts - full > spare) & (parts > 1))
+    return np.concatenate([which[who[keep]], which[bare]]), np.concatenate([digest[keep], mixed(key[bare].astype(np.uint64) ^ np.uint64(0xE37))])
 
 
-SKETCH = "doc_id long, n long, set long, parts array<long>, near array<long>"
+SKETCH = "doc_id long, n long, set long, counts binary, parts array<long>"
 
 
 def set_digests(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -112,19 +121,36 @@ def set_digests(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def points_of(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Counts of each set's hashes in GROUPS equal ranges."""
+    n = len(starts) - 1
+    row = np.repeat(np.arange(n), np.diff(starts))
+    return np.bincount(row * GROUPS + (values >> np.uint64(58)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
+
+
+def packed(point: np.ndarray) -> bytes:
+    return point.astype("<u2" if point.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(raw: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(r, "<u2" if len(r) == 2 * GROUPS else "<u4") for r in raw]).astype(np.int64) if raw else np.zeros((0, GROUPS), np.int64)
+
+
 def sketch(width: int, bands: Bands):
-    """Arrow batches of (doc_id, text) as rows of SKETCH. Part digests that repeat within a batch are joined here: only
-    the first set with one keeps it, and the others name that set in `near`."""
+    """Arrow batches of (doc_id, text) as rows of SKETCH. Of equal sets in a batch only the first carries its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, sets, digests, names, sizes = 0, [], [], [], []
+            base, sets, digests, names, sizes, points = 0, [], [], [], [], []
             for _, _, data, offsets in byte_chunks(batch.column(1)):
                 values, starts = shingle_sets(data, offsets, width)
                 n = np.diff(starts)
                 names.append(set_digests(values, starts))
                 sizes.append(n)
+                points += [packed(p) for p in points_of(values, starts)]
                 some = np.flatnonzero(n)
+                some = some[np.unique(names[-1][some], return_index=True)[1]]
+                some.sort()
                 band = bands.of(n[some])
                 more = bands.reaches_next(n[some], band)
                 for which, key in ((some, band), (some[more], band[more] + 1)):
@@ -135,35 +161,93 @@ def sketch(width: int, bands: Bands):
             if not base:
                 continue
             names, sizes, sets, digests = np.concatenate(names), np.concatenate(sizes), np.concatenate(sets), np.concatenate(digests).view(np.int64)
-            order = np.lexsort((sets, digests))
-            sets, digests = sets[order], digests[order]
-            same = np.zeros(len(sets), bool)
-            same[1:] = digests[1:] == digests[:-1]
-            heads = np.flatnonzero(~same)
-            head = np.repeat(heads, np.diff(np.append(heads, len(sets))))
-            own, other = sets[same], names[sets[head[same]]]
-            link = np.unique(np.stack([own, other], 1)[names[own] != other], axis=0)
-            by_set = np.argsort(sets[heads], kind="stable")
-            listed = lambda who, what: pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(base + 1)), pa.int32()), pa.array(what, pa.int64()))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names), listed(sets[heads][by_set], digests[heads][by_set]), listed(link[:, 0], link[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "set", "parts", "near"])
+            first = np.zeros(base, bool)
+            first[np.unique(names, return_index=True)[1]] = True
+            sets, digests = sets[first[sets]], digests[first[sets]]
+            order = np.argsort(sets, kind="stable")
+            parts = pa.ListArray.from_arrays(pa.array(np.searchsorted(sets[order], np.arange(base + 1)), pa.int32()), pa.array(digests[order], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names), pa.array(points, pa.binary()), parts], ["doc_id", "n", "set", "counts", "parts"])
 
     return run
 
 
-def chain_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, d1) rows sorted by part: pairs of neighbours that share it."""
-    last_part = last = None
+def shared_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, set) rows sorted by both: pairs (a, b) of the groups of 2 to SMALL sets, and (part, a) rows of larger groups.
+
+    A group's rows are looked at with those SMALL before and after them, so groups of any size pass as a stream.
+    """
+    part = own = np.zeros(0, np.int64)
+    done = 0  # rows of the window that went out before
+
+    def out(stop: int) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.diff(part, prepend=part[:1] - 1))
+        size = np.diff(np.append(edge, len(part)))
+        group = np.repeat(np.arange(len(edge)), size)
+        place = np.arange(len(part)) - edge[group]
+        here = np.arange(len(part))
+        mine = (here >= done) & (here < stop)
+        large = np.flatnonzero(mine & (size[group] > SMALL))
+        a, b = [], []
+        for step in range(1, SMALL):
+            i = np.flatnonzero(mine & (size[group] <= SMALL) & (place >= step))
+            a.append(own[i - step])
+            b.append(own[i])
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        none = pa.nulls(len(pairs), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([none, pa.array(part[large], pa.int64())]), pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(own[large], pa.int64())]), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(large), pa.int64())])], ["part", "a", "b"])
+
     for batch in batches:
-        part, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(part):
-            continue
-        if last_part is not None:
-            part, d = np.concatenate([[last_part], part]), np.concatenate([[last], d])
-        last_part, last = part[-1], d[-1]
-        hit = np.flatnonzero((part[1:] == part[:-1]) & (d[1:] != d[:-1]))
-        pairs = np.unique(np.stack([np.minimum(d[hit], d[hit + 1]), np.maximum(d[hit], d[hit + 1])], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        p, d = np.concatenate([part, batch.column(0).to_numpy()]), np.concatenate([own, batch.column(1).to_numpy()])
+        fresh = np.ones(len(p), bool)
+        fresh[1:] = (p[1:] != p[:-1]) | (d[1:] != d[:-1])
+        part, own = p[fresh], d[fresh]  # what was held has no repeats, so `done` still fits
+        stop = max(done, len(part) - SMALL - 1)
+        if stop > done:
+            yield out(stop)
+            keep = max(0, stop - SMALL - 1)
+            part, own, done = part[keep:], own[keep:], stop - keep
+    if len(part) > done:
+        yield out(len(part))
+
+
+def bound_links(t: Fraction):
+    """(part, a, n, counts) rows sorted by part: pairs (a, b) that connect what the bound lets be similar in each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, sizes, raw = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            found = np.array(connect(unpacked(raw), np.array(sizes), t), np.int64).reshape(-1, 2)
+            own = np.array(names, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(own[found[:, 0]]), pa.array(own[found[:, 1]])], ["a", "b"])
+
+        for batch in batches:
+            for part, name, n, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if part != at:
+                    if names:
+                        yield links()
+                    at, names, sizes, raw = part, [], [], []
+                names.append(name)
+                sizes.append(n)
+                raw.append(counts)
+        if names:
+            yield links()
+
+    return run
+
+
+def within_bound(t: Fraction):
+    """(a, b, na, nb, ca, cb) rows: the pairs whose bound allows the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, q = t.numerator, t.denominator
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            bound = np.minimum(unpacked(batch.column(4).to_pylist()), unpacked(batch.column(5).to_pylist())).sum(1)
+            yield batch.filter(pa.array(bound * (p + q) >= p * n)).select(["a", "b"])
+
+    return run
 
 
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
@@ -224,13 +308,9 @@ def similar(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
     return both * t.denominator >= t.numerator * (len(a) + len(b) - both)
 
 
-def link_block(sets: list[np.ndarray], t: Fraction, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join the components of a block's sets: a spanning forest. With `side`, of pairs across sides only."""
-    n = len(sets)
-    if n < 2:
-        return []
-    points = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
-    sizes = np.array([len(s) for s in sets])
+def connect(points: np.ndarray, sizes: np.ndarray, t: Fraction, accept=lambda i, j: True, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Accepted pairs within the bound that connect their components: a spanning forest. With `side`, pairs across sides only."""
+    n = len(sizes)
     label, links, tree = np.arange(n), [], Tree(points, sizes)
     for i in range(n):
         found, bound = tree.ask(points[i], int(sizes[i]), t)
@@ -241,13 +321,22 @@ def link_block(sets: list[np.ndarray], t: Fraction, side: np.ndarray | None = No
         found = found[np.argsort(sizes[found] - 2 * bound, kind="stable")]  # the nearest first
         while len(found):
             j, found = int(found[0]), found[1:]
-            if similar(sets[i], sets[j], t):
+            if accept(i, j):
                 links.append((i, j))
                 label[label == label[i]] = label[j]
                 found = found[label[found] != label[i]]
     return links
 
 
+def link_block(sets: list[np.ndarray], t: Fraction, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified links that join the components of a block's sets."""
+    if len(sets) < 2:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    points = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+    return connect(points, sizes, t, lambda i, j: similar(sets[i], sets[j], t), side)
+
+
 def verify(width: int, t: Fraction):
     """Texts sorted by unit as links (a, b) between the sets of one unit; a run of rows is a unit."""
 
@@ -297,15 +386,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, similarity: Fraction = Frac
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = staged(source.mapInArrow(sketch(width, Bands(similarity)), SKETCH), "sketches")
     sets = base.where("n > 0")
-    near = sets.select(F.col("set").alias("a"), F.explode("near").alias("b"))
     parts = sets.select(F.explode("parts").alias("part"), "set").repartition(spread, "part").sortWithinPartitions("part", "set")
-    blocks = components(near.unionByName(parts.mapInArrow(chain_equal, "a long, b long")), "blocks").toDF("set", "block")
-    classes = staged(sets.groupBy("set").agg(F.min("doc_id").alias("doc_id")), "classes")
-    units = units_of(classes.join(blocks, "set"))
+    shared = staged(parts.mapInArrow(shared_parts, "part long, a long, b long"), "shared")
+    classes = staged(sets.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("counts").alias("counts")), "classes")
+    of = lambda c: classes.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
+    pairs = shared.where("b is not null").select("a", "b").distinct()
+    near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(within_bound(similarity), "a long, b long")
+    groups = shared.where("b is null").select("part", "a").join(of("a"), "a").select("part", "a", "na", "ca").repartition(spread, "part").sortWithinPartitions("part", "a")
+    edges = near.unionByName(groups.mapInArrow(bound_links(similarity), "a long, b long"))
+    blocks = components(edges, "blocks").toDF("set", "block")
+    units = units_of(classes.select("set", "doc_id").join(blocks, "set"))
     texts = units.join(source.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("unit", "set", "side", "text")
     links = texts.repartition(spread, "unit").sortWithinPartitions("unit", "set").mapInArrow(verify(width, similarity), "a long, b long")
     roots = components(links, "links").toDF("set", "root")
-    rooted = classes.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    rooted = classes.select("set", "doc_id").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("set", "component_id")
     linked = sets.select("doc_id", "n", "set").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
