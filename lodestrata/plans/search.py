@@ -283,3 +283,17 @@ def search_segments(spark, d):
     types = table(spark, d, "events").groupBy("user_id").agg(F.concat_ws(" ", F.array_sort(F.collect_set(F.concat("event_type", F.col("event_id").cast("string"))))).alias("text"))
     found = media.search_segments(types.select(F.col("user_id").cast("string").alias("query_id"), "text"), media.build_segments(*media_tables(spark, d)))
     return rounded(found, "score", places=6).select("query_id", "rank", "segment_id", "video_id", "start_seconds", "end_seconds", "score")
+
+
+# ---- scalars ----
+
+
+@query(r"""WITH b AS (SELECT page_id, trim(regexp_extract(replace(url, '\', '/'), '([^/]*)$', 1)) AS name FROM pages)
+SELECT page_id, CASE WHEN name NOT IN ('', '.', '..') AND length(name) <= 255 AND NOT regexp_matches(name, '[\p{Cc}\p{Cf}]') THEN name END AS filename FROM b""")
+def safe_filenames(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.safe_filename(F.col("url")).alias("filename"))
+
+
+@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(text, chr(173), ''), chr(160), ' '), '([\p{L}\p{N}_])-[ \t]*\n[ \t]*([\p{L}\p{N}_])', '\1\2', 'g'), '\s+', ' ', 'g'))) AS block_sha256 FROM documents""")
+def normalize_blocks(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.sha256(tx.normalize_block(F.col("text"))).alias("block_sha256"))
