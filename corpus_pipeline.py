@@ -49,7 +49,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return piece_codec.encode_decode(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_codec.encode_decode(docs.select(*COLUMNS), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
 
 
 STAGES = [

@@ -45,7 +45,7 @@ def sha256_of(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def byte_chunks(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_chunks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string array into runs of rows of about `most` bytes: (first row, end row, bytes, row offsets).
 
     Null rows count as empty. A row longer than `most` is a run of its own, never cut.

@@ -38,7 +38,7 @@ class Disagreement(ValueError):
 class Vocabulary:
     """Pieces, scores and byte ids of a model file, with the encoder and decoder over them."""
 
-    def __init__(self, path: str, held: int = 600_000):
+    def __init__(self, path: str, held: int = 250_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -144,6 +144,9 @@ class Vocabulary:
                 yield list(chain.from_iterable(map(self.known.__getitem__, own)))
             first = end
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, runs of byte ids read as UTF-8, without the dummy blank."""
         out = "".join(map(self.texts.__getitem__, ids)) if self.byte_of.keys().isdisjoint(ids) else self._with_bytes(ids)
@@ -179,8 +182,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = True, digests: bool = False, check: bool = True, prefix: str = "") -> DataFrame:
-    """docs with columns n_tokens, and ids and decoded, or their digests ids_sha256 and decoded_sha256, under `prefix`."""
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = True, digests: bool = False, check: bool = True, prefix: str = "", keep: bool = True) -> DataFrame:
+    """docs with columns n_tokens, and ids and decoded, or their digests ids_sha256 and decoded_sha256, under `prefix`.
+
+    keep: a worker process holds its segments from task to task, which is faster; without, memory is let go with each task.
+    """
     added = [T.StructField(f"{prefix}n_tokens", T.LongType())]
     if ids:
         added += [T.StructField(f"{prefix}ids", T.ArrayType(T.IntegerType())), T.StructField(f"{prefix}decoded", T.StringType())]
@@ -192,8 +198,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: boo
         own = vocabulary(model_path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
                 rows: list[list] = [[] for _ in added]
                 for found in own.encode_all(texts, check):
@@ -205,6 +211,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: boo
                         column.append(value)
                 types = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.ArrayType(T.IntegerType()): pa.list_(pa.int32())}
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in kept] + [pa.array(v, types[f.dataType]) for v, f in zip(rows, added, strict=True)], [f.name for f in kept + added])
+        if not keep:
+            own.forget()
 
     return docs.mapInArrow(run, T.StructType(kept + added))
 
