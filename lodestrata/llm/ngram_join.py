@@ -140,7 +140,7 @@ def sketch(width: int, bands: Bands):
     """Arrow batches of (doc_id, text) as rows of SKETCH. Of equal sets in a batch only the first carries its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 2000) for whole in batches for i in range(0, whole.num_rows, 2000)):
             base, sets, digests, names, sizes, points = 0, [], [], [], [], []
             for _, _, data, offsets in byte_chunks(batch.column(1)):
                 values, starts = shingle_sets(data, offsets, width)
@@ -222,7 +222,7 @@ def bound_links(t: Fraction):
             own = np.array(names, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(own[found[:, 0]]), pa.array(own[found[:, 1]])], ["a", "b"])
 
-        for batch in batches:
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
             for part, name, n, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if part != at:
                     if names:
@@ -242,7 +242,7 @@ def within_bound(t: Fraction):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q = t.numerator, t.denominator
-        for batch in batches:
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             bound = np.minimum(unpacked(batch.column(4).to_pylist()), unpacked(batch.column(5).to_pylist())).sum(1)
             yield batch.filter(pa.array(bound * (p + q) >= p * n)).select(["a", "b"])
@@ -356,7 +356,7 @@ def verify(width: int, t: Fraction):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
-        for batch in batches:
+        for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):  # few texts as objects at once
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("unit", "set", "side", "text")]
             for unit, own, side, text in zip(*columns, strict=True):
                 if unit != at and held:
