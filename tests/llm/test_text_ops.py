@@ -75,6 +75,15 @@ def test_coder_round_trip(n):
         assert len(payload) < n  # five ids in turn are predicted
 
 
+def test_a_range_of_two_to_the_48_is_not_shifted_away():
+    lanes = token_files.Lanes(2)
+    # low 32 bits 0 and the next 16 ones, over the edge of the top word: cut short, the range is 2**32 and 2**48 after a shift
+    lanes.low[:], lanes.range[:] = np.uint64(0x1234FFFF00000000), np.uint64((1 << 48) - 1)
+    lanes.low[1], lanes.range[1] = np.uint64(7 << 48), np.uint64(1 << 48)
+    lanes.settle(2)
+    assert lanes.range.tolist() == [1 << 48, 1 << 48] and lanes.length.tolist() == [1, 0]
+
+
 def test_damage_is_noticed():
     ids = np.arange(3000)
     sizes, sums, payload = token_files.encode_ids(ids.astype("<u4"))
