@@ -6,8 +6,8 @@ ngram_join        one document of each group of near copies stays: that of the s
 decontaminate     documents that hold a benchmark passage go
 piece_codec       ids of the texts under a sentencepiece model, and their decoded text
 
-All but the last return the columns of `documents`; n_chars follows the text. Rows with a null doc_id that are near copies of each
-other only stay as they are, for want of an id to keep.
+Rows are judged by their own text, also where they share an id or have none. All but the last return the columns of `documents`;
+n_chars follows the text. Rows with a null doc_id that are near copies of each other only stay as they are, for want of an id to keep.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.near_duplicates(docs, 5, Fraction(8, 10))
-    gone = found.where("component_id != doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
+    found = ngram_join.near_duplicates(docs, 5, Fraction(8, 10), text_hash="_gone_hash")
+    gone = found.where("component_id != doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone"), "_gone_hash").distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_gone_hash")), "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def part_digests(values: np.ndarray, starts: np.ndarray, key: np.ndarray, bands:
     return np.concatenate([which[who[keep]], which[bare]]), np.concatenate([digest[keep], mixed(key[bare].astype(np.uint64) ^ np.uint64(0xE37))])
 
 
-SKETCH = "doc_id long, n long, set long, counts binary, parts array<long>"
+SKETCH = "doc_id long, text_hash long, n long, set long, counts binary, parts array<long>"
 
 
 def set_digests(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def unpacked(raw: list[bytes]) -> np.ndarray:
 
 
 def sketch(width: int, bands: Bands):
-    """Arrow batches of (doc_id, text) as rows of SKETCH. Of equal sets in a batch only the first carries its parts."""
+    """Arrow batches of (doc_id, text, text_hash) as rows of SKETCH. Of equal sets in a batch only the first carries its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, 2000) for whole in batches for i in range(0, whole.num_rows, 2000)):
@@ -166,7 +166,7 @@ def sketch(width: int, bands: Bands):
             sets, digests = sets[first[sets]], digests[first[sets]]
             order = np.argsort(sets, kind="stable")
             parts = pa.ListArray.from_arrays(pa.array(np.searchsorted(sets[order], np.arange(base + 1)), pa.int32()), pa.array(digests[order], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names), pa.array(points, pa.binary()), parts], ["doc_id", "n", "set", "counts", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names), pa.array(points, pa.binary()), parts], ["doc_id", "text_hash", "n", "set", "counts", "parts"])
 
     return run
 
@@ -380,11 +380,11 @@ def units_of(members: DataFrame) -> DataFrame:
     return placed.select("set", "doc_id", F.explode(F.transform(F.sequence(F.lit(0), tiles - 1), pair)).alias("u")).select("set", "doc_id", "u.unit", "u.side")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, similarity: Fraction = Fraction(9, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def near_duplicates(docs: DataFrame, width: int = 3, similarity: Fraction = Fraction(9, 10), doc_id: str = "doc_id", text: str = "text", text_hash: str | None = None) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links). text_hash: names a column of xxhash64(text) to add."""
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = staged(source.mapInArrow(sketch(width, Bands(similarity)), SKETCH), "sketches")
+    base = staged(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sketch(width, Bands(similarity)), SKETCH), "sketches")
     sets = base.where("n > 0")
     parts = sets.select(F.explode("parts").alias("part"), "set").repartition(spread, "part").sortWithinPartitions("part", "set")
     shared = staged(parts.mapInArrow(shared_parts, "part long, a long, b long"), "shared")
@@ -401,8 +401,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, similarity: Fraction = Frac
     roots = components(links, "links").toDF("set", "root")
     rooted = classes.select("set", "doc_id").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("set", "component_id")
-    linked = sets.select("doc_id", "n", "set").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    more = [F.col("text_hash").alias(text_hash)] if text_hash else []
+    linked = sets.select("doc_id", "text_hash", "n", "set").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)
+    return linked.unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more))
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
