@@ -7,7 +7,10 @@ grams inside it the one of least hash is chosen (the last of equals), so any rep
 fingerprint that both its copies choose, and no match under `noise` words counts.
 
 Positions of equal fingerprints are joined: with the one before it in the same document, or else with the first of all
-(documents in order of doc_id, nulls first). A joined pair lies on a diagonal of two documents; on it the match is extended
+(documents in order of doc_id, nulls first). That place may stand in a shorter match than a later one, so whole windows are joined
+too: those that begin at a line, and the shortest runs of `guarantee` words that end at one, blank lines included, each with the first
+place of all that holds the same run. Every line of a repeated run of `guarantee` words lies in such a window inside the run, so
+the run goes from all places but the first. A joined pair lies on a diagonal of two documents; on it the match is extended
 both ways, line by line, and runs of equal lines with at least `noise` words are deleted from the later place. The first
 copy of any line survives, as each deletion points to an earlier place.
 
@@ -56,22 +59,39 @@ def fingerprints(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
     return chosen.select(*KEY, (-F.col("least.back")).alias("line"), F.col("least.gram").alias("gram")).distinct()
 
 
-def diagonals(prints: DataFrame) -> DataFrame:
-    """Pairs of documents and the shift between their lines at which a fingerprint matches: later place, earlier place."""
+def windows(lines: DataFrame, guarantee: int) -> DataFrame:
+    """A row per shortest run of whole lines with `guarantee` words that begins, or ends, at a line: doc_id, text_hash, line, gram."""
+    rows = lines.withColumn("total", F.sum("words").over(W.partitionBy(*KEY))).where(F.col("total") >= guarantee)
+    rows = rows.withColumn("end", F.col("start") + F.col("words")).withColumn("item", F.struct("line", "hash"))
+    blank = F.when(F.col("words") > 0, 0).otherwise(1)  # a blank line comes just before the next words, and just after the last ones
+    rows = rows.withColumn("begins", 2 * F.col("start") - blank).withColumn("ends", 2 * F.col("end") + blank)
+    within = lambda key, a, b: F.transform(F.array_sort(F.collect_list("item").over(W.partitionBy(*KEY).orderBy(key).rangeBetween(a, b))), lambda x: x["hash"])
+    span = 2 * (guarantee - 1)
+    rows = rows.withColumn("on", F.when(F.col("total") - F.col("start") >= guarantee, F.xxhash64(F.lit(0), within("begins", 0, span))))
+    rows = rows.withColumn("back", F.when(F.col("end") >= guarantee, F.xxhash64(F.lit(1), within("ends", -span, 0))))
+    return rows.where("words > 0").select(*KEY, "line", F.explode(F.array("on", "back")).alias("gram")).where("gram is not null")
+
+
+def with_first(places: DataFrame) -> DataFrame:
+    """Pairs, as of diagonals, of each place with the first of all that has its gram."""
+    place = F.struct("doc_id", "text_hash", "line")
+    first = places.groupBy("gram").agg(F.min(place).alias("at"), F.max(place).alias("last")).where("at != last").select("gram", "at")
+    return places.join(first, "gram").where(place != F.col("at")).select(*KEY, F.col("at.doc_id").alias("from_id"), F.col("at.text_hash").alias("from_hash"), (F.col("line") - F.col("at.line")).alias("shift"))
+
+
+def diagonals(prints: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pairs of documents and the shift between their lines at which a fingerprint or a window matches: later place, earlier place."""
     before = W.partitionBy(*KEY, "gram").orderBy("line")
     prints = prints.withColumn("previous", F.lag("line").over(before))
     inside = prints.where("previous is not null").select(*KEY, F.col("doc_id").alias("from_id"), F.col("text_hash").alias("from_hash"), (F.col("line") - F.col("previous")).alias("shift"))
-    place = F.struct("doc_id", "text_hash", "line")
-    heads = prints.where("previous is null")
-    first = heads.groupBy("gram").agg(F.min(place).alias("at"), F.max(place).alias("last")).where("at != last").select("gram", "at")
-    across = heads.join(first, "gram").where(place != F.col("at")).select(*KEY, F.col("at.doc_id").alias("from_id"), F.col("at.text_hash").alias("from_hash"), (F.col("line") - F.col("at.line")).alias("shift"))
-    return inside.unionByName(across).distinct()
+    across = with_first(prints.where("previous is null").drop("previous"))
+    return inside.unionByName(across).unionByName(with_first(runs)).distinct()
 
 
 def repeated_lines(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per line to delete: doc_id, text_hash, line."""
     lines = staged(lines_of(docs, doc_id, text), "lines")
-    pairs = diagonals(fingerprints(lines, noise, guarantee))
+    pairs = diagonals(fingerprints(lines, noise, guarantee), windows(lines, guarantee))
     later = pairs.join(lines.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).drop("_id", "_hash")
     earlier = lines.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("line").alias("_line"), F.col("hash").alias("_same"))
     equal = later.join(earlier, F.col("from_id").eqNullSafe(F.col("_id")) & (F.col("from_hash") == F.col("_hash")) & (F.col("line") - F.col("shift") == F.col("_line")) & (F.col("hash") == F.col("_same")))

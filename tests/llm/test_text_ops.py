@@ -196,6 +196,30 @@ def test_every_run_of_the_guaranteed_size_is_found(spark):
     assert got[0] == base
 
 
+def test_a_run_meets_its_earlier_copy_behind_a_shorter_one(spark):
+    # an earlier document holds only lines 2 to 4; in some of the trials their gram is the passage's only fingerprint
+    own = lambda *k: [" ".join(f"{k}x{i}y{j}".replace(" ", "") for j in range(12)) for i in range(3)]
+    rows, passages = [], []
+    for s in range(24):
+        passage = [" ".join(f"s{s}p{k}w{i}" for i in range(10)) for k in range(6)]
+        passages.append(passage)
+        rows += [(4 * s, own(s, 0) + passage[1:4] + own(s, 1)), (4 * s + 1, own(s, 2) + passage + own(s, 3)), (4 * s + 2, own(s, 4) + passage + own(s, 5)), (4 * s + 3, own(s, 6) + passage[1:4] + own(s, 7) + passage + own(s, 8))]
+    d = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(d).collect()}
+    for s, passage in enumerate(passages):
+        left = [[y for y in got[4 * s + k] if y in passage] for k in range(4)]
+        assert left[2] == [] and left[3] in ([], passage[1:4]) and set(left[0] + left[1]) == set(passage)
+    assert all([y for y in got[i] if "p" not in y] == [y for y in x if "p" not in y] for i, x in rows)
+
+
+def test_a_run_goes_to_its_last_line_and_across_blank_ones(spark):
+    long, tail, more = " ".join(f"l{i}" for i in range(50)), "five words of a tail", " ".join(f"m{i}" for i in range(30))
+    rows = [(1, [long, "other words"]), (2, ["b b", long, tail]), (3, ["c c", long, tail]), (4, [more, "", more + " x"]), (5, ["e e", more, more + " x"]), (6, ["f f", more, more + " x"])]
+    d = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(d).collect()}
+    assert got[1] == [long, "other words"] and got[3] == ["c c"] and got[4] == [more, "", more + " x"] and got[6] == ["f f"]
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == odd.columns and got.count() == odd.count() and line_dedup.dedup_lines(none).count() == 0
