@@ -50,16 +50,30 @@ def test_full_memory_changes_nothing(library):
 
 def test_a_wrong_encoder_is_noticed():
     own = piece_codec.Vocabulary(PIECES)
-    own.ids["▁the"] = 5
+    own.pair_ranks = own.pair_ranks[::-1].copy()
     with pytest.raises(piece_codec.Disagreement):
-        list(own.encode_all(["the"]))
+        list(own.encode_all(["thermodynamics"]))
+    own.scores = {p: -x for p, x in own.scores.items()}
+    with pytest.raises(piece_codec.Disagreement):
+        list(own.encode_all(["thermodynamics" * 4]))
+
+
+def test_agendas_in_step_equal_the_heap(library):
+    own = piece_codec.Vocabulary(PIECES)
+    words = [w for w in piece_codec.RUNS.findall("▁" + open(__file__, encoding="utf-8").read().replace(" ", "▁"))] + ["▁", "\n", "é", "▁日本", "▁naïve", "▁🏳️\u200d🌈", "▁" * 33, "ab" * 40]
+    assert own.merge_all(words) == [list(own.merge(w)) for w in words]
+
+
+def test_a_name_that_is_there_already_is_refused(odd):
+    with pytest.raises(ValueError, match="n_tokens"):
+        piece_codec.encode_decode(odd, PIECES)
 
 
 def test_pieces_of_odd_rows(odd, none, library):
-    got = piece_codec.encode_decode(odd, PIECES, digests=True).collect()
+    got = piece_codec.encode_decode(odd.withColumnRenamed("n_tokens", "_n"), PIECES, digests=True).collect()
     assert len(got) == odd.count() and all(r.ids == library.encode(r.text or "") and r.decoded == library.decode(r.ids) and r.n_tokens == len(r.ids) for r in got)
     assert all(r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in got)
-    assert piece_codec.encode_decode(none, PIECES).count() == 0
+    assert piece_codec.encode_decode(none, PIECES, prefix="own_").count() == 0
 
 
 # ---- 9: token files ----
