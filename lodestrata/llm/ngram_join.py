@@ -8,36 +8,46 @@ t / (1 + t) of their sizes' sum, so nodes and points under that are passed over,
 To spread the work, sets are first cut into parts that surely bring all pairs together: sizes fall into bands, and in each band (and,
 for sets within reach of the next band's least size, that one too) the hash range is cut into more parts than two such sets
 can differ in elements, by a spare share. So more parts are equal than are spare, and a part's digest brings its sets together.
-Parts of fewer than two elements say little: they are left out of sets that have no more of them than are spare, as another
-part of two elements or more must then be equal too.
+As that many may be spared, a set leaves out its parts without elements, then those of one, then its most frequent ones, in an
+order that is the same for all sets: of the parts that two sets share the last in this order is left out by neither. Sets with
+more empty parts than are spare bring their single elements instead, without the most frequent ones.
 
-Sets that share a digest are candidates: in groups of up to SMALL as pairs, in larger ones through an R-tree over the group. Only
-candidates whose bound allows the similarity are linked, and from an R-tree only enough of them to connect what is near. The
-components of these links are blocks: a block's sets are gathered, packed into an R-tree, and each set asks it for partners outside its
-own component; a verified link joins components at once, so a group of n mutual near copies takes about n verifications, not n
-squared. Blocks over CAP sets are cut into tiles, and pairs of tiles are held by a task each.
+Digests that a sample of the sets shows in about HOT sets or more are the frequent ones; the sample only steers. What is left
+of them links its sets to the least one, in tasks of any cut. Other digests have their sets in one task: up to SMALL sets are pairs,
+more go through an R-tree, and only candidates whose bound allows the similarity are linked. The components of these links are
+blocks: a block's sets are gathered, packed into an R-tree, and each set asks it for partners outside its own component; a verified
+link joins components at once, and what is near a few pivots asks no more, so a group of n mutual near copies takes about n
+verifications, not n squared. Blocks of more than CAP sets or ELEMENTS elements are cut into tiles: first each is joined in itself, then
+some leaders of the tiles; then only sets outside the block's largest component still meet its other tiles.
 
-Equal sets are one class, represented by the smallest doc_id. Memory is bounded by the Arrow batch and by two tiles.
+Equal sets are one class, represented by the smallest (doc_id, text). Memory is bounded by the Arrow batch and by two tiles.
 
 Defined results: a null or wordless text has no set and links with nothing; a text of fewer words has its whole sequence as its
 one element. Each row has the result of its own text, rows that share an id too, and equal rows come back as often as they went in.
 Rows with a null id form components like others; the smallest non-null id names one, null if there is none. Other columns are
-not read. Sets are told apart, and compared, by 64-bit hashes.
+not read. Sets are told apart by 128-bit hashes, their elements by 64-bit ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm._shared import byte_chunks, mixed, staged, table, word_hashes, word_spans
 
 GROUPS, CAP, LEAF, SMALL = 64, 4096, 16, 8
+#: Elements of a tile at most, but for a set that has more; one set in SAMPLE looks for digests in about HOT sets or more.
+ELEMENTS, SAMPLE, HOT = 2_000_000, 64, 2048
+PIVOTS, LEADERS = 3, 8
+#: Frequent digests that may be broadcast, 20 bytes each.
+BROADCAST_ROWS = 500_000
 ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -86,12 +96,15 @@ class Bands:
         return sizes * self.t.denominator >= self.edges[band + 1] * self.t.numerator
 
 
-def part_digests(values: np.ndarray, starts: np.ndarray, key: np.ndarray, bands: Bands, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set, digest) of the parts of the sets numbered `which`, as cut for band `key` of each."""
+def part_digests(values: np.ndarray, starts: np.ndarray, key: np.ndarray, bands: Bands, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, digest, mark) of the parts of the sets numbered `which`, as cut for band `key` of each.
+
+    A mark is 128 times the number of digests with this mark that the set may still leave out, plus the key; for single elements 64 more.
+    """
     size = np.diff(starts)[which]
     owner = np.repeat(np.arange(len(which)), size)
     at = np.repeat(starts[which] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    own, parts = values[at], bands.parts[key]
+    own, parts, spare = values[at], bands.parts[key], bands.spare[key]
     part = ((own >> np.uint64(32)) * parts[owner].astype(np.uint64)) >> np.uint64(32)
     fresh = np.ones(len(own), bool)
     fresh[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
@@ -99,25 +112,35 @@ def part_digests(values: np.ndarray, starts: np.ndarray, key: np.ndarray, bands:
     salt = mixed(part[first] * np.uint64(4096) + key[owner[first]].astype(np.uint64))
     digest = mixed((np.add.reduceat(mixed(own), first) if len(first) else np.zeros(0, np.uint64)) + salt)
     who, count = owner[first], np.diff(np.append(first, len(own)))
-    thick = np.bincount(who[count > 1], minlength=len(which))
-    full = np.bincount(who, minlength=len(which))
-    spare = bands.spare[key]
-    thin_too = parts - thick > spare  # also where there is but one part
-    keep = (count > 1) | thin_too[who]
-    bare = np.flatnonzero((parts - full > spare) & (parts > 1))
-    return np.concatenate([which[who[keep]], which[bare]]), np.concatenate([digest[keep], mixed(key[bare].astype(np.uint64) ^ np.uint64(0xE37))])
-
-
-SKETCH = "doc_id long, text_hash long, n long, set long, counts binary, parts array<long>"
-
-
-def set_digests(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    empty = parts - np.bincount(who, minlength=len(which))
+    thin = np.bincount(who[count == 1], minlength=len(which))
+    few = empty + thin > spare  # then thin parts stay, and are those that may be left out
+    free = np.maximum(np.where(few, spare - empty, spare - empty - thin), 0)
+    keep = (count > 1) | few[who]
+    mark = np.where((count == 1) == few[who], free[who], 0) * 128 + key[who]
+    bare = (empty > spare) & (parts > 1)
+    single = bare[owner]
+    spared = np.array([max(0, ceil(bands.t * int(n)) - 1) for n in size[bare]], np.int64)
+    left_out = np.zeros(len(which), np.int64)
+    left_out[bare] = spared
+    alone = mixed(own[single] ^ mixed(key[owner[single]].astype(np.uint64) + ODD[3]))
+    return (
+        np.concatenate([which[who[keep]], which[owner[single]]]),
+        np.concatenate([digest[keep], alone]),
+        np.concatenate([mark[keep], left_out[owner[single]] * 128 + 64 + key[owner[single]]]),
+    )
+
+
+SKETCH = "doc_id long, text_hash long, n long, set long, other long, counts binary, parts array<long>, marks array<long>"
+
+
+def set_digests(values: np.ndarray, starts: np.ndarray, salt: np.uint64 = ODD[1]) -> np.ndarray:
     """A number for each set's contents; 0 for none."""
     n = np.diff(starts)
     some = np.flatnonzero(n)
     out = np.zeros(len(n), np.uint64)
     if len(some):
-        out[some] = mixed(np.add.reduceat(mixed(values + ODD[1]), starts[some]) + n[some].astype(np.uint64))
+        out[some] = mixed(np.add.reduceat(mixed(values + salt), starts[some]) + n[some].astype(np.uint64))
     return out.view(np.int64)
 
 
@@ -141,11 +164,12 @@ def sketch(width: int, bands: Bands):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, 2000) for whole in batches for i in range(0, whole.num_rows, 2000)):
-            base, sets, digests, names, sizes, points = 0, [], [], [], [], []
+            base, names, others, sizes, points, found = 0, [], [], [], [], []
             for _, _, data, offsets in byte_chunks(batch.column(1)):
                 values, starts = shingle_sets(data, offsets, width)
                 n = np.diff(starts)
                 names.append(set_digests(values, starts))
+                others.append(set_digests(values, starts, ODD[2]))
                 sizes.append(n)
                 points += [packed(p) for p in points_of(values, starts)]
                 some = np.flatnonzero(n)
@@ -154,19 +178,21 @@ def sketch(width: int, bands: Bands):
                 band = bands.of(n[some])
                 more = bands.reaches_next(n[some], band)
                 for which, key in ((some, band), (some[more], band[more] + 1)):
-                    who, digest = part_digests(values, starts, key, bands, which)
-                    sets.append(who + base)
-                    digests.append(digest)
+                    who, digest, mark = part_digests(values, starts, key, bands, which)
+                    found.append((who + base, digest.view(np.int64), mark))
                 base += len(n)
             if not base:
                 continue
-            names, sizes, sets, digests = np.concatenate(names), np.concatenate(sizes), np.concatenate(sets), np.concatenate(digests).view(np.int64)
+            names, others, sizes = np.concatenate(names), np.concatenate(others), np.concatenate(sizes)
+            sets, digests, marks = (np.concatenate(c) for c in zip(*found, strict=True))
             first = np.zeros(base, bool)
             first[np.unique(names, return_index=True)[1]] = True
-            sets, digests = sets[first[sets]], digests[first[sets]]
+            sets, digests, marks = (c[first[sets]] for c in (sets, digests, marks))
             order = np.argsort(sets, kind="stable")
-            parts = pa.ListArray.from_arrays(pa.array(np.searchsorted(sets[order], np.arange(base + 1)), pa.int32()), pa.array(digests[order], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names), pa.array(points, pa.binary()), parts], ["doc_id", "text_hash", "n", "set", "counts", "parts"])
+            ends = pa.array(np.searchsorted(sets[order], np.arange(base + 1)), pa.int32())
+            parts, marks = (pa.ListArray.from_arrays(ends, pa.array(c[order], pa.int64())) for c in (digests, marks))
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names), pa.array(others), pa.array(points, pa.binary()), parts, marks]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "set", "other", "counts", "parts", "marks"])
 
     return run
 
@@ -256,7 +282,8 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     Every node takes the least label around it and labels are then replaced by their own label, so paths halve each round;
     rounds end when no label moves. Each round is written to the shared folder.
     """
-    both = staged(edges.union(edges.select("b", "a")).toDF("node", "other").distinct(), f"{name}-edges")
+    ways = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
+    both = staged(edges.select(ways.alias("e")).select("e.*").distinct(), f"{name}-edges")
     state = staged(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("root")), name)
     while True:
         around = both.join(state.toDF("other", "r"), "other").groupBy("node").agg(F.min("r").alias("around"))
@@ -308,102 +335,207 @@ def similar(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
     return both * t.denominator >= t.numerator * (len(a) + len(b) - both)
 
 
-def connect(points: np.ndarray, sizes: np.ndarray, t: Fraction, accept=lambda i, j: True, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Accepted pairs within the bound that connect their components: a spanning forest. With `side`, pairs across sides only."""
-    n = len(sizes)
-    label, links, tree = np.arange(n), [], Tree(points, sizes)
-    for i in range(n):
-        found, bound = tree.ask(points[i], int(sizes[i]), t)
-        keep = (found < i) & (label[found] != label[i])
-        if side is not None:
-            keep &= side[found] != side[i]
-        found, bound = found[keep], bound[keep]
-        found = found[np.argsort(sizes[found] - 2 * bound, kind="stable")]  # the nearest first
-        while len(found):
+def connect(points: np.ndarray, sizes: np.ndarray, t: Fraction, accept=lambda i, j: True, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Accepted pairs within the bound that connect components: a spanning forest.
+
+    label: the components there are already. side: those of side 0 ask those of side 1, and no others do.
+    """
+    n, links = len(sizes), []
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
+
+    def try_all(i: int, found: np.ndarray) -> None:
+        while len(found := found[label[found] != label[i]]):
             j, found = int(found[0]), found[1:]
             if accept(i, j):
                 links.append((i, j))
                 label[label == label[i]] = label[j]
-                found = found[label[found] != label[i]]
+
+    if side is None:
+        for _ in range(PIVOTS):
+            rest = np.flatnonzero(label != np.bincount(label).argmax())
+            if not len(rest):
+                return links
+            i = int(rest[0])
+            bound = np.minimum(points, points[i]).sum(1)
+            for j in np.flatnonzero(bound * (t.numerator + t.denominator) >= t.numerator * (sizes + sizes[i])).tolist():
+                if label[j] != label[i] and accept(i, j):
+                    links.append((i, j))
+                    label[label == label[j]] = label[i]
+        asking, among = np.flatnonzero(label != np.bincount(label).argmax()), np.arange(n)
+    else:
+        asking, among = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    tree = Tree(points[among], sizes[among])
+    asks = np.zeros(n, bool)
+    asks[asking] = side is None
+    for i in asking.tolist():
+        found, bound = tree.ask(points[i], int(sizes[i]), t)
+        nearest = np.argsort(sizes[among[found]] - 2 * bound, kind="stable")
+        found = among[found[nearest]]
+        try_all(i, found[~asks[found] | (found < i)])  # of two that ask, one does
     return links
 
 
-def link_block(sets: list[np.ndarray], t: Fraction, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Verified links that join the components of a block's sets."""
-    if len(sets) < 2:
-        return []
-    sizes = np.array([len(s) for s in sets])
-    points = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
-    return connect(points, sizes, t, lambda i, j: similar(sets[i], sets[j], t), side)
-
-
-def verify(width: int, t: Fraction):
-    """Texts sorted by unit as links (a, b) between the sets of one unit; a run of rows is a unit."""
-
-    def links(held: list[tuple]) -> pa.RecordBatch:
-        sets: list[np.ndarray] = []
-        names: list[np.ndarray] = []
-        for _, _, data, offsets in byte_chunks(pa.array([h[2] for h in held], pa.large_string())):
-            values, starts = shingle_sets(data, offsets, width)
-            names.append(set_digests(values, starts))
-            sets += [values[starts[i] : starts[i + 1]] for i in range(len(starts) - 1)]
-        # ids that repeat bring other texts along
-        own, names = np.array([h[0] for h in held], np.int64), np.concatenate(names)
-        right = np.flatnonzero((own == names) & np.concatenate([[True], (own[1:] != own[:-1]) | (names[:-1] != own[:-1])]))
-        side = np.array([h[1] for h in held])[right]
-        found = np.array(link_block([sets[i] for i in right], t, side if side.any() else None), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(own[right][found[:, 0]]), pa.array(own[right][found[:, 1]])], ["a", "b"])
+def every_pair(points: np.ndarray, sizes: np.ndarray, t: Fraction, accept, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """All accepted pairs within the bound; with `side`, those across sides."""
+    asking, among = (np.arange(len(sizes)),) * 2 if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    tree, links = Tree(points[among], sizes[among]), []
+    for i in asking.tolist():
+        found = among[tree.ask(points[i], int(sizes[i]), t)[0]]
+        links += [(i, j) for j in found.tolist() if (side is not None or j < i) and accept(i, j)]
+    return links
+
+
+def verify(width: int, t: Fraction, every: bool = False):
+    """Texts sorted by (unit, set, side) as links (a, b) between the sets of one unit; a run of rows is a unit."""
+
+    def links(sets: list[np.ndarray], names: list[int], sides: list[int], roots: list[int]) -> pa.RecordBatch:
+        side = np.array(sides) if any(sides) else None
+        found = []
+        if len(sets) > 1:
+            sizes = np.array([len(x) for x in sets])
+            points = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+            accept = lambda i, j: similar(sets[i], sets[j], t)
+            found = every_pair(points, sizes, t, accept, side) if every else connect(points, sizes, t, accept, np.array(roots), side)
+        own, found = np.array(names, np.int64), np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(own[found[:, 0]]), pa.array(own[found[:, 1]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):  # few texts as objects at once
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("unit", "set", "side", "text")]
-            for unit, own, side, text in zip(*columns, strict=True):
-                if unit != at and held:
-                    yield links(held)
-                    held = []
-                at = unit
-                held.append((own, side, text))
-        if held:
-            yield links(held)
+        at, last, held = None, None, ([], [], [], [])
+        for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+            unit, name, side, root = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("unit", "set", "side", "root"))
+            sets: list[np.ndarray] = []
+            for _, _, data, offsets in byte_chunks(batch.column(batch.schema.get_field_index("text"))):
+                values, starts = shingle_sets(data, offsets, width)
+                sets += [values[a:b].copy() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            for key, *row in zip(unit, name, side, root, sets, strict=True):
+                if key != at:
+                    if held[0]:
+                        yield links(held[3], held[0], held[1], held[2])
+                    at, last, held = key, None, ([], [], [], [])
+                if last != row[:2]:  # equal rows are the same text again
+                    last = row[:2]
+                    for column, value in zip(held, row, strict=True):
+                        column.append(value)
+        if held[0]:
+            yield links(held[3], held[0], held[1], held[2])
 
     return run
 
 
-def units_of(members: DataFrame) -> DataFrame:
-    """set, doc_id, unit, side: a block of up to CAP sets is a unit; a larger one is dealt into tiles, and pairs of tiles are units."""
-    sizes = members.groupBy("block").agg(F.count("*").alias("size"))
-    placed = members.join(sizes, "block")
-    tiles = F.ceil(F.col("size") / CAP).cast("int")
-    tile = F.pmod(F.xxhash64("set"), tiles).cast("int")
-    pair = lambda j: F.struct(F.xxhash64("block", F.least(tile, j), F.greatest(tile, j)).alias("unit"), F.when(tile > j, 1).otherwise(0).alias("side"))
-    return placed.select("set", "doc_id", F.explode(F.transform(F.sequence(F.lit(0), tiles - 1), pair)).alias("u")).select("set", "doc_id", "u.unit", "u.side")
+def tile_count(sets: Column, elements: Column) -> Column:
+    return F.greatest(F.ceil(sets / CAP), F.ceil(elements / ELEMENTS)).cast("int")
+
+
+def candidate_edges(sets: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """Edges (a, b) whose components hold all similar pairs."""
+    spark = sets.sparkSession
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.select("set", F.explode(F.arrays_zip("parts", "marks")).alias("p")).select(F.col("p.parts").alias("part"), "set", F.col("p.marks").alias("mark"))
+    sampled = sets.where(F.pmod(F.xxhash64("set"), F.lit(SAMPLE)) == 0).select("set", F.explode("parts").alias("part")).distinct()
+    listed = staged(sampled.groupBy("part").count().where(F.col("count") >= HOT // SAMPLE).select("part"), "hot")
+    small = (lambda d: F.broadcast(d)) if listed.count() <= BROADCAST_ROWS else (lambda d: d)
+    cold = rows.join(small(listed), "part", "left_anti").select("part", "set")
+    shared = staged(cold.repartition(spread, "part").sortWithinPartitions("part", "set").mapInArrow(shared_parts, "part long, a long, b long"), "shared")
+    hot = staged(rows.join(small(listed), "part").distinct(), "hot-rows")
+    counted = hot.join(small(hot.groupBy("part").count()), "part")
+    place = F.row_number().over(W.partitionBy("set", "mark").orderBy(F.desc("count"), "part"))
+    kept = staged(counted.withColumn("place", place).where(F.col("place") > F.shiftright("mark", 7)).select("part", "set").distinct(), "hot-kept")
+    stars = kept.join(small(kept.groupBy("part").agg(F.min("set").alias("first"))), "part").where("set != first").select(F.col("set").alias("a"), F.col("first").alias("b")).distinct()
+    of = lambda c: classes.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
+    pairs = shared.where("b is not null").select("a", "b").distinct()
+    near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(within_bound(t), "a long, b long")
+    groups = shared.where("b is null").select("part", "a").join(of("a"), "a").select("part", "a", "na", "ca").repartition(spread, "part").sortWithinPartitions("part", "a")
+    return near.unionByName(groups.mapInArrow(bound_links(t), "a long, b long")).unionByName(stars)
+
+
+class Join:
+    """The stages of a join: sketches, classes of equal sets, blocks of candidates, and verified links between their sets."""
+
+    def __init__(self, docs: DataFrame, width: int, similarity: Fraction, doc_id: str = "doc_id", text: str = "text"):
+        self.width, self.t = width, similarity
+        self.spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+        base = staged(self.source.mapInArrow(sketch(width, Bands(similarity)), SKETCH), "sketches")
+        self.base, self.classes = base, self._classes(base)
+        clashing = self.classes.where("other != last").select("set")
+        if clashing.count():  # two sets under one number: they take numbers of both their hashes
+            clash = clashing.withColumn("_clash", F.lit(True))
+            renamed = base.join(clash, "set", "left").withColumn("set", F.when(F.col("_clash"), F.xxhash64("set", "other")).otherwise(F.col("set")))
+            self.base = staged(renamed.select(*base.columns), "sketches")
+            self.classes = self._classes(self.base)
+
+    def _classes(self, base: DataFrame) -> DataFrame:
+        row = F.min(F.struct("doc_id", "text_hash"))
+        each = base.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"), row.alias("row"), F.min("n").alias("n"), F.min("counts").alias("counts"), F.min("other").alias("other"), F.max("other").alias("last"))
+        return staged(each.select("set", "least", "row.*", "n", "counts", "other", "last"), "classes")
+
+    def placed(self) -> DataFrame:
+        """The classes in blocks of more than one: set, doc_id, text_hash, n, block, tiles (of the block), tile."""
+        edges = candidate_edges(self.base.where("n > 0"), self.classes, self.t)
+        members = self.classes.select("set", "doc_id", "text_hash", "n").join(components(edges, "blocks").toDF("set", "block"), "set")
+        sizes = members.groupBy("block").agg(tile_count(F.count("*"), F.sum("n")).alias("tiles"))
+        return staged(members.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("set"), "tiles").cast("int")), "placed")
+
+    def links(self, units: DataFrame, every: bool = False) -> DataFrame:
+        """Verified links (a, b) of units: rows unit, set, doc_id, text_hash, side, root."""
+        texts = self.source.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
+        whole = units.join(texts, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("unit", "set", "side", "root", "text")
+        ordered = whole.repartition(self.spread, "unit").sortWithinPartitions("unit", "set", "side")
+        return staged(ordered.mapInArrow(verify(self.width, self.t, every), "a long, b long"), "found")
+
+    def roots(self) -> DataFrame:
+        """(set, root) of the sets that are linked with another."""
+        placed = self.placed()
+        row = ["set", "doc_id", "text_hash"]
+        links = self.links(placed.select(F.xxhash64("block", "tile").alias("unit"), *row, F.lit(0).alias("side"), F.col("set").alias("root")))
+        large = placed.where("tiles > 1")
+        if large.isEmpty():
+            return components(links, "links").toDF("set", "root")
+
+        def rooted(links: DataFrame) -> DataFrame:
+            found = components(links, "links").toDF("set", "root")
+            return staged(large.join(found, "set", "left").withColumn("root", F.coalesce("root", "set")), "rooted")
+
+        # some sets of the largest component of each tile meet those of others
+        own = rooted(links)
+        counts = own.groupBy("block", "tile", "root").count().groupBy("block", "tile").agg(F.max_by("root", F.struct("count", "root")).alias("root"))
+        number = F.row_number().over(W.partitionBy("block", "tile").orderBy("set"))
+        leaders = own.join(counts, ["block", "tile", "root"]).withColumn("_number", number).where(F.col("_number") <= LEADERS)
+        many = CAP // LEADERS
+        meets = F.array_compact(F.array(F.xxhash64("block", F.lit(0), F.floor(F.col("tile") / many)), F.when(F.col("tile") % many == 0, F.xxhash64("block", F.lit(1)))))
+        links = links.unionByName(self.links(leaders.select(F.explode(meets).alias("unit"), *row, F.lit(0).alias("side"), "root")))
+        # what is outside the largest component of its block meets all tiles
+        own = rooted(links)
+        main = own.groupBy("block", "root").agg(F.count("*").alias("size"), F.sum("n").alias("n")).groupBy("block").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.max(F.struct("size", "root", "n")).alias("most"))
+        parts = tile_count(F.col("size") - F.col("most.size"), F.col("n") - F.col("most.n"))
+        own = own.join(main.select("block", "main", parts.alias("parts")).where("parts > 0"), "block")
+        part = F.pmod(F.xxhash64("set", F.lit(1)), F.col("parts")).cast("int")
+        unit = lambda part, tile, side: F.struct(F.xxhash64("block", F.lit(2), part, tile).alias("unit"), F.lit(side).alias("side"))
+        asked = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: unit(k, F.col("tile"), 1))
+        asking = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: unit(part, k, 0))
+        dealt = own.select(*row, "root", F.explode(F.when(F.col("root") != F.col("main"), F.concat(asked, asking)).otherwise(asked)).alias("u"))
+        links = links.unionByName(self.links(dealt.select("u.*", *row, "root")))
+        return components(links, "links").toDF("set", "root")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, similarity: Fraction = Fraction(9, 10), doc_id: str = "doc_id", text: str = "text", text_hash: str | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links). text_hash: names a column of xxhash64(text) to add."""
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = staged(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sketch(width, Bands(similarity)), SKETCH), "sketches")
-    sets = base.where("n > 0")
-    parts = sets.select(F.explode("parts").alias("part"), "set").repartition(spread, "part").sortWithinPartitions("part", "set")
-    shared = staged(parts.mapInArrow(shared_parts, "part long, a long, b long"), "shared")
-    classes = staged(sets.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("counts").alias("counts")), "classes")
-    of = lambda c: classes.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
-    pairs = shared.where("b is not null").select("a", "b").distinct()
-    near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(within_bound(similarity), "a long, b long")
-    groups = shared.where("b is null").select("part", "a").join(of("a"), "a").select("part", "a", "na", "ca").repartition(spread, "part").sortWithinPartitions("part", "a")
-    edges = near.unionByName(groups.mapInArrow(bound_links(similarity), "a long, b long"))
-    blocks = components(edges, "blocks").toDF("set", "block")
-    units = units_of(classes.select("set", "doc_id").join(blocks, "set"))
-    texts = units.join(source.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("unit", "set", "side", "text")
-    links = texts.repartition(spread, "unit").sortWithinPartitions("unit", "set").mapInArrow(verify(width, similarity), "a long, b long")
-    roots = components(links, "links").toDF("set", "root")
-    rooted = classes.select("set", "doc_id").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("set", "component_id")
+    join = Join(docs, width, similarity, doc_id, text)
+    rooted = join.classes.select("set", "least").join(join.roots(), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id")
     more = [F.col("text_hash").alias(text_hash)] if text_hash else []
-    linked = sets.select("doc_id", "text_hash", "n", "set").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)
-    return linked.unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more))
+    linked = join.base.where("n > 0").select("doc_id", "text_hash", "n", "set").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)
+    return linked.unionByName(join.base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more))
+
+
+def similar_pairs(docs: DataFrame, width: int = 3, similarity: Fraction = Fraction(9, 10), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links, as pairs (a, b) of classes of equal sets, each once, and the membership of rows: doc_id, text_hash, class (null without a set)."""
+    join = Join(docs, width, similarity, doc_id, text)
+    placed = join.placed()
+    unit = lambda k: F.struct(F.xxhash64("block", F.least("tile", k), F.greatest("tile", k)).alias("unit"), F.when(F.col("tile") > k, 1).otherwise(0).alias("side"))
+    units = placed.select("set", "doc_id", "text_hash", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), unit)).alias("u"))
+    found = join.links(units.select("u.*", "set", "doc_id", "text_hash", F.col("set").alias("root")), every=True)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), join.base.select("doc_id", "text_hash", F.when(F.col("n") > 0, F.col("set")).alias("class"))
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:

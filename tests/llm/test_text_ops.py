@@ -268,9 +268,8 @@ def brute_components(rows, width, t):
     return sorted(((k, len(sets[i]), name.get(find(i)) if sets[i] else k) for i, (k, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize("width,t,cap", [(3, Fraction(9, 10), 4096), (5, Fraction(8, 10), 4096), (3, Fraction(9, 10), 4)])
-def test_components_against_brute_force(spark, odd, none, monkeypatch, width, t, cap):
-    monkeypatch.setattr(ngram_join, "CAP", cap)
+def near_copies(width, odd):
+    """Odd rows, families of near copies of all sizes, and short texts that share most of few words."""
     rng = random.Random(width)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     for k in range(8):
@@ -281,11 +280,44 @@ def test_components_against_brute_force(spark, odd, none, monkeypatch, width, t,
                 mine[rng.randrange(len(mine))] = f"e{rng.randint(0, 9)}"
             rows.append((100 + 10 * k + j, " ".join(mine) + (" tail" if j == 4 else "")))
     rows += [(500, rows[-1][1].upper()), (501, rows[-1][1])]
+    rows += [(600 + i, " ".join(rng.choices(["one", "two", "three"], k=rng.randint(1, 14)))) for i in range(60)]
+    return rows
+
+
+#: CAP, HOT and SAMPLE: as they are; blocks in tiles; every shared digest a frequent one; both.
+@pytest.mark.parametrize("width,t", [(3, Fraction(9, 10)), (5, Fraction(8, 10))])
+@pytest.mark.parametrize("cap,hot,sample", [(4096, 2048, 64), (8, 2048, 64), (4096, 2, 1), (8, 2, 1)])
+def test_components_against_brute_force(spark, odd, none, monkeypatch, width, t, cap, hot, sample):
+    for name, value in (("CAP", cap), ("HOT", hot), ("SAMPLE", sample)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = near_copies(width, odd)
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width, t)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_components(rows, width, t)
+    if sample > 1 or cap < 4096:
+        return
     assert ngram_join.near_duplicates(none, width, t).count() == 0 and ngram_join.near_duplicates(odd, width, t).count() == odd.count()
 
 
+@pytest.mark.parametrize("cap", [4096, 8])
+def test_all_links_between_different_sets(spark, odd, monkeypatch, cap):
+    monkeypatch.setattr(ngram_join, "CAP", cap)
+    rows = near_copies(3, odd)
+    pairs, members = ngram_join.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(9, 10))
+    named = {(r.doc_id, r.text_hash): r["class"] for r in members.collect()}
+    assert members.count() == len(rows)
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) as h").collect()
+    sets = {}
+    for r in keyed:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or ""))
+        if w:
+            sets[named[r.doc_id, r.h]] = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+        else:
+            assert named[r.doc_id, r.h] is None
+    expected = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])}
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == expected and len(expected) > 10
+
+
 def test_tree_bounds_lose_nothing():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
