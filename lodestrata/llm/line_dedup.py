@@ -11,8 +11,8 @@ Positions of equal fingerprints are joined: with the one before it in the same d
 too: those that begin at a line, and the shortest runs of `guarantee` words that end at one, blank lines included, each with the first
 place of all that holds the same run. Every line of a repeated run of `guarantee` words lies in such a window inside the run, so
 the run goes from all places but the first. A joined pair lies on a diagonal of two documents; on it the match is extended
-both ways, line by line, and runs of equal lines with at least `noise` words are deleted from the later place. The first
-copy of any line survives, as each deletion points to an earlier place.
+both ways, line by line, and runs of equal lines with at least `noise` words (of `guarantee` words, where only windows met) are
+deleted from the later place. Lines without words stay. The first copy of any line survives, as each deletion points to an earlier place.
 
 Defined results: a null text stays null, without lines; an empty text is one empty line and loses nothing; documents of
 fewer than `guarantee` words lose nothing; equal rows are one document and come back as often as they went in; rows with
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import sha256_of, staged, table
+from lodestrata.llm._shared import sha256_of, staged, table, unused
 
 NOISE, GUARANTEE = 25, 50
 KEY = ["doc_id", "text_hash"]
@@ -79,38 +79,40 @@ def with_first(places: DataFrame) -> DataFrame:
     return places.join(first, "gram").where(place != F.col("at")).select(*KEY, F.col("at.doc_id").alias("from_id"), F.col("at.text_hash").alias("from_hash"), (F.col("line") - F.col("at.line")).alias("shift"))
 
 
-def diagonals(prints: DataFrame, runs: DataFrame) -> DataFrame:
-    """Pairs of documents and the shift between their lines at which a fingerprint or a window matches: later place, earlier place."""
+def diagonals(prints: DataFrame, runs: DataFrame, noise: int, guarantee: int) -> DataFrame:
+    """Pairs of documents and the shift between their lines at which a fingerprint or a window matches: later place, earlier place, how many words count."""
     before = W.partitionBy(*KEY, "gram").orderBy("line")
     prints = prints.withColumn("previous", F.lag("line").over(before))
     inside = prints.where("previous is not null").select(*KEY, F.col("doc_id").alias("from_id"), F.col("text_hash").alias("from_hash"), (F.col("line") - F.col("previous")).alias("shift"))
     across = with_first(prints.where("previous is null").drop("previous"))
-    return inside.unionByName(across).unionByName(with_first(runs)).distinct()
+    each = inside.unionByName(across).withColumn("least", F.lit(noise)).unionByName(with_first(runs).withColumn("least", F.lit(guarantee)))
+    return each.groupBy(*KEY, "from_id", "from_hash", "shift").agg(F.min("least").alias("least"))
 
 
 def repeated_lines(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per line to delete: doc_id, text_hash, line."""
     lines = staged(lines_of(docs, doc_id, text), "lines")
-    pairs = diagonals(fingerprints(lines, noise, guarantee), windows(lines, guarantee))
+    pairs = diagonals(fingerprints(lines, noise, guarantee), windows(lines, guarantee), noise, guarantee)
     later = pairs.join(lines.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).drop("_id", "_hash")
     earlier = lines.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("line").alias("_line"), F.col("hash").alias("_same"))
     equal = later.join(earlier, F.col("from_id").eqNullSafe(F.col("_id")) & (F.col("from_hash") == F.col("_hash")) & (F.col("line") - F.col("shift") == F.col("_line")) & (F.col("hash") == F.col("_same")))
     on = [*KEY, "from_id", "from_hash", "shift"]
     run = equal.withColumn("run", F.col("line") - F.row_number().over(W.partitionBy(*on).orderBy("line")))
-    kept = run.withColumn("run_words", F.sum("words").over(W.partitionBy(*on, "run"))).where(F.col("run_words") >= noise)
+    kept = run.withColumn("run_words", F.sum("words").over(W.partitionBy(*on, "run"))).where((F.col("run_words") >= F.col("least")) & (F.col("words") > 0))
     return kept.select(*KEY, "line").distinct()
 
 
 def dedup_lines(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE, doc_id: str = "doc_id", text: str = "text", report: str | None = None) -> DataFrame:
     """The documents without the lines that repeat earlier runs. report: names a column of the deleted line numbers to add."""
-    gone = repeated_lines(docs, noise, guarantee, doc_id, text).groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_gone_id").withColumnRenamed("text_hash", "_gone_hash")
-    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text]) == gone["_gone_hash"]), "left")
+    id_, hash_, gone_ = unused("gone_id", docs), unused("gone_hash", docs), unused("gone", docs)
+    gone = repeated_lines(docs, noise, guarantee, doc_id, text).groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias(gone_))
+    gone = gone.withColumnRenamed("doc_id", id_).withColumnRenamed("text_hash", hash_)
+    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone[id_]) & (F.xxhash64(docs[text]) == gone[hash_]), "left")
     parts = F.split(docs[text], "\n")
-    clean = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i)), "\n")
-    columns = [F.when(F.col("_gone").isNull(), docs[c]).otherwise(clean).alias(c) if c == text else docs[c] for c in docs.columns]
+    clean = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone_), lambda i: F.get(parts, i)), "\n")
+    columns = [F.when(F.col(gone_).isNull(), docs[c]).otherwise(clean).alias(c) if c == text else docs[c] for c in docs.columns]
     if report:
-        columns.append(F.coalesce("_gone", F.array().cast("array<int>")).alias(report))
+        columns.append(F.coalesce(gone_, F.array().cast("array<int>")).alias(report))
     return joined.select(*columns)
 
 
@@ -141,7 +143,14 @@ diag AS (SELECT doc_id, doc_id AS from_id, line - previous AS shift FROM p1 WHER
   UNION SELECT p1.doc_id, f.at.doc_id, line - f.at.line FROM p1 JOIN f USING (gram) WHERE previous IS NULL AND (f.at.doc_id <> p1.doc_id OR f.at.line <> p1.line)),
 eq AS (SELECT d.*, a.line, a.words FROM diag d JOIN l1 a ON a.doc_id = d.doc_id JOIN l1 b ON b.doc_id = d.from_id AND b.line = a.line - d.shift AND b.hash = a.hash),
 r AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id, from_id, shift ORDER BY line) AS run FROM eq),
-gone AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, line, sum(words) OVER (PARTITION BY doc_id, from_id, shift, run) AS run_words FROM r) WHERE run_words >= {NOISE}),
+w0 AS (SELECT *, 2 * start - (words = 0)::INT AS begins, 2 * (start + words) + (words = 0)::INT AS ends FROM l1 WHERE total >= {GUARANTEE}),
+w1 AS (SELECT *, list({{'line': line, 'hash': hash}}) OVER (PARTITION BY doc_id ORDER BY begins RANGE BETWEEN CURRENT ROW AND {2 * GUARANTEE - 2} FOLLOWING) AS f,
+  list({{'line': line, 'hash': hash}}) OVER (PARTITION BY doc_id ORDER BY ends RANGE BETWEEN {2 * GUARANTEE - 2} PRECEDING AND CURRENT ROW) AS b FROM w0),
+w2 AS (SELECT doc_id, list_sort(f) AS items FROM w1 WHERE words > 0 AND total - start >= {GUARANTEE} UNION ALL SELECT doc_id, list_sort(b) FROM w1 WHERE words > 0 AND start + words >= {GUARANTEE}),
+w3 AS (SELECT doc_id, items, min({{'doc_id': doc_id, 'line': items[1].line}}) OVER (PARTITION BY list_transform(items, lambda x: x.hash)) AS first FROM w2),
+w4 AS (SELECT doc_id, unnest(list_transform(items, lambda x: x.line)) AS line FROM w3 WHERE first <> {{'doc_id': doc_id, 'line': items[1].line}}),
+gone AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, line, words, sum(words) OVER (PARTITION BY doc_id, from_id, shift, run) AS run_words FROM r) WHERE run_words >= {NOISE} AND words > 0
+  UNION SELECT doc_id, line FROM w4 JOIN l1 USING (doc_id, line) WHERE words > 0),
 per AS (SELECT l.doc_id, count(*) FILTER (g.line IS NULL) AS n_left, count(g.line) AS n_deleted, string_agg(g.line::VARCHAR, ',' ORDER BY l.line) FILTER (g.line IS NOT NULL) AS deleted_lines,
   string_agg(content, chr(10) ORDER BY l.line) FILTER (g.line IS NULL) AS clean FROM l0 l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE greatest(coalesce(n_left, 0), 1) END::BIGINT AS n_left_parts, coalesce(n_deleted, 0)::BIGINT AS n_deleted,
