@@ -3,27 +3,27 @@
 The packer sorts items by size and puts each into the bin of tightest remaining capacity that holds it, found in a balanced
 tree of (remaining capacity, bin); a new bin opens where none holds it, so the count of fixed-capacity bins stays small.
 
-Groups are summed by Spark. Those of at least 1 / (shards * FINE) of all bytes are items of their own, `shards * FINE` at
-most; the rest are hashed into PACKETS packets, each an item. So what the packer holds is bounded whatever the input's size,
-while every group stays whole. For `shards` bins of near equal size, the capacity is the least with which the packing needs
-no more bins; an item that exceeds an equal share gets a bin of its own.
+Groups are summed by Spark, and counted by size: packing depends on sizes only, so the packer on the driver holds one entry for each
+size that occurs (sizes that differ are fewer than the root of twice all bytes) and places all groups of a size as runs. Each
+group then finds its run by its rank among those of its size. For `shards` bins of near equal size, the capacity is
+the least, to a millionth, with which the packing needs no more bins; an item that exceeds an equal share gets a bin of its own.
+With a `capacity` instead, bins are as many as the packing opens, and a group over it has one of its own.
 
 Defined results: a null text counts as no bytes, the empty text's; each row adds 1 byte, so empty texts have a size. Null
-texts and empty texts are one group each. Rows with equal texts share a shard, equal rows included; slots number each
+texts and empty texts are one group each; texts are told apart by 128-bit hashes. Rows with equal texts share a shard, equal rows included; slots number each
 shard's rows without gaps, in an order fixed by doc_id and text. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm._shared import staged, table
 
-FINE, PACKETS = 256, 2048
+#: Runs that may be broadcast, 24 bytes each.
+BROADCAST_RUNS = 500_000
 
 
 class Tree:
@@ -72,90 +72,92 @@ class Tree:
         return [high[0], high[1], self._merge(low, high[2]), high[3]]
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each item; None if more than `most` bins would be needed. An item over the capacity gets its own bin."""
-    bins, tree, out = 0, Tree(), [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.ceiling((sizes[i], -1))
-        if found is None:
-            if bins == most:
-                return None
-            left, at = capacity, bins
-            bins += 1
-        else:
-            left, at = found
-            tree.remove(found)
-        out[i] = at
-        tree.insert((max(left - sizes[i], 0), at))
+Runs = dict[int, list[tuple[int, int]]]
+
+
+def pack(counts: dict[int, int], capacity: int, most: int | None = None) -> Runs | None:
+    """Best-fit-decreasing of counts[size] items of each size: by size, runs of (bin, items); None if over `most` bins are needed.
+
+    Equal items that follow each other fill the bin of the first of them as far as they go, since it stays the tightest that
+    holds them. An item over the capacity gets a bin of its own.
+    """
+    bins, tree, out = 0, Tree(), {}
+    for size in sorted(counts, reverse=True):
+        left, runs = counts[size], []
+        while left:
+            found = tree.ceiling((size, -1))
+            if found is None:
+                if bins == most:
+                    return None
+                room, at = max(capacity, size), bins
+                bins += 1
+            else:
+                room, at = found
+                tree.remove(found)
+            some = min(left, room // size)
+            runs.append((at, some))
+            left -= some
+            if room > some * size:
+                tree.insert((room - some * size, at))
+        out[size] = runs
     return out
 
 
-def pack_evenly(sizes: list[int], shards: int) -> list[int]:
-    """Bins 0 to shards - 1 by the least capacity with which best-fit-decreasing needs no more; oversized items apart."""
-    out, rest, free, total = [0] * len(sizes), sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), shards, sum(sizes)
-    while rest and free > 1 and sizes[rest[0]] * free >= total:
+def pack_evenly(counts: dict[int, int], shards: int, fine: int = 1 << 20) -> Runs:
+    """Bins 0 to shards - 1 by the least capacity, to a part in `fine`, with which best-fit-decreasing needs no more; oversized items apart."""
+    rest, free, total, own = dict(counts), shards, sum(s * n for s, n in counts.items()), []
+    while rest and free > 1 and (largest := max(rest)) * free >= total:
         free -= 1
-        out[rest[0]] = free
-        total -= sizes[rest[0]]
-        rest = rest[1:]
-    own = [sizes[i] for i in rest]
-    low, high, best = -(-total // free), None, None
-    high = low + max(own, default=0)
-    while low < high or best is None:
+        own.append((largest, free))
+        total -= largest
+        rest[largest] -= 1
+        if not rest[largest]:
+            del rest[largest]
+    low = -(-total // free)
+    high, best = low + max(rest, default=0), None
+    while best is None or high - low > low // fine:
         middle = (low + high) // 2
-        if (found := best_fit_decreasing(own, middle, free)) is not None:
+        if (found := pack(rest, middle, free)) is not None:
             high, best = middle, found
         elif low >= high:  # the bound of first-fit packings holds for practical inputs; widen it where it does not
             low, high = high + 1, 2 * high + 1
         else:
             low = middle + 1
-    for i, at in zip(rest, best, strict=True):
-        out[i] = at
-    return out
-
-
-def spread_evenly(sizes: list[int], shards: int) -> list[int]:
-    """Each item, largest first, to the least filled bin; for comparison in tests."""
-    heap, out = [(0, k) for k in range(shards)], [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        filled, k = heapq.heappop(heap)
-        out[i] = k
-        heapq.heappush(heap, (filled + sizes[i], k))
-    return out
+    for size, at in own:
+        best[size] = [(at, 1), *best.get(size, [])]
+    return best
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, size, text_crc32, group, shard, slot."""
+def shard_documents(docs: DataFrame, shards: int | None = 8, capacity: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc_id, size, text_crc32, group, shard, slot. Without `shards` as many of `capacity` bytes as the packing takes."""
     raw = F.encode(F.col(text), "UTF-8")
-    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"), F.xxhash64(text, F.col(text).isNull()).alias("group"))
+    rank_key = F.sha2(F.concat(F.when(F.col(text).isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(F.col(text), F.lit(""))), 256)
+    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"), F.substring(rank_key, 1, 32).alias("group"))
     slim = staged(slim, "sizes")
-    total = slim.agg(F.sum("size")).head()[0] or 0
-    least = max(1, total // (shards * FINE))
-    groups = slim.groupBy("group").agg(F.sum("size").alias("size"))
-    packet = F.when(F.col("size") >= least, F.col("group")), F.when(F.col("size") < least, F.pmod("group", F.lit(PACKETS)).cast("int"))
-    items = groups.select(packet[0].alias("whole"), packet[1].alias("packet"), "size").groupBy("whole", "packet").agg(F.sum("size").alias("size"))
-    items = sorted(items.collect(), key=lambda r: (r["whole"] is None, r["whole"] or 0, r["packet"] or 0))  # shards * FINE + PACKETS rows at most
-    at = pack_evenly([r["size"] for r in items], shards)
-    spark = docs.sparkSession
-    whole = spark.createDataFrame([(r["whole"], k) for r, k in zip(items, at, strict=True) if r["whole"] is not None], "group long, own_shard int")
-    packets = [0] * PACKETS
-    for r, k in zip(items, at, strict=True):
-        if r["whole"] is None:
-            packets[r["packet"]] = k
-    shared = spark.createDataFrame([(i, k) for i, k in enumerate(packets)], "packet int, shared_shard int")
-    placed = slim.join(F.broadcast(whole), "group", "left").withColumn("packet", F.pmod("group", F.lit(PACKETS)).cast("int")).join(F.broadcast(shared), "packet")
-    placed = placed.select("doc_id", "size", "text_crc32", "group", F.coalesce("own_shard", "shared_shard").alias("shard"))
-    return with_slots(placed)
-
-
-def with_slots(placed: DataFrame, order: tuple[str, ...] = ("doc_id", "text_crc32", "group", "size")) -> DataFrame:
-    """Gapless numbers within each shard: each shard is dealt into parts by hash, numbered in them, and set off by their counts."""
-    parts = 4 * int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = dealt.groupBy("shard", "_part").count()
-    before = counts.select("shard", "_part", (F.sum("count").over(W.partitionBy("shard").orderBy("_part")) - F.col("count")).alias("_before"))
-    numbered = dealt.withColumn("_row", F.row_number().over(W.partitionBy("shard", "_part").orderBy(*order)))
-    return numbered.join(before, ["shard", "_part"]).withColumn("slot", (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_before")
+    groups = staged(slim.groupBy("group").agg(F.sum("size").alias("weight")), "groups")
+    counts = {r["weight"]: r["count"] for r in groups.groupBy("weight").count().collect()}  # sizes that differ: under the root of twice all bytes
+    runs = pack_evenly(counts, shards) if shards else pack(counts, capacity)
+    ends = [(size, [(sum(n for _, n in own[: i + 1]), at) for i, (at, _) in enumerate(own)]) for size, own in runs.items()]
+    placed = docs.sparkSession.createDataFrame(ends, "weight long, runs array<struct<until: long, shard: int>>")
+    placed = F.broadcast(placed) if sum(len(own) for _, own in ends) <= BROADCAST_RUNS else placed
+    ranked = numbered(groups, "weight", ("group",), "rank").join(placed, "weight")
+    shard = F.get(F.filter("runs", lambda r: r["until"] > F.col("rank")), F.lit(0))["shard"]
+    return with_slots(slim.join(ranked.select("group", shard.alias("shard")), "group"))
+
+
+def numbered(df: DataFrame, by: str, order: tuple[str, ...], name: str) -> DataFrame:
+    """df with gapless numbers from 0 within each value of `by`: each value's rows are dealt into parts by hash, numbered in them, and set off by their counts."""
+    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    counts = dealt.groupBy(by, "_part").count()
+    before = counts.select(by, "_part", (F.sum("count").over(W.partitionBy(by).orderBy("_part")) - F.col("count")).alias("_before"))
+    rows = dealt.withColumn("_row", F.row_number().over(W.partitionBy(by, "_part").orderBy(*order)))
+    return rows.join(before, [by, "_part"]).withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_row", "_before")
+
+
+def with_slots(placed: DataFrame) -> DataFrame:
+    """Gapless numbers within each shard."""
+    return numbered(placed, "shard", ("doc_id", "text_crc32", "group", "size"), "slot")
 
 
 def op5_shard_packing(spark, sf_dir: str) -> DataFrame:
