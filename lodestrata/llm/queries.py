@@ -8,6 +8,7 @@ QUERIES = {
     "op1_piece_codec": piece_codec.op1_piece_codec,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_counts": token_counts.op3_token_counts,
+    "token_pattern_counts": token_counts.token_pattern_counts,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_shard_packing": shard_packing.op5_shard_packing,
     "op6_topk_search": topk_search.op6_topk_search,
@@ -16,4 +17,4 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_language_id": language_id.op10_language_id,
 }
-ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_token_counts": token_counts.SQL, "op4_ngram_join": ngram_join.SQL, "op6_topk_search": topk_search.SQL, "op8_line_dedup": line_dedup.SQL}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "token_pattern_counts": token_counts.SQL, "op4_ngram_join": ngram_join.SQL, "op6_topk_search": topk_search.SQL, "op8_line_dedup": line_dedup.SQL}

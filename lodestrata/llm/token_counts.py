@@ -14,12 +14,15 @@ group it now names. Rows with a null doc_id are one document. An empty batch com
 
 from __future__ import annotations
 
+import base64
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.llm._shared import shared_folder, table
 
@@ -79,18 +82,40 @@ class Rollup:
         return True
 
 
-def piece_counts(docs: DataFrame, model_path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
-    """docs with the count of sentencepiece ids of each whole text, in Arrow batches; null texts count 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@functools.cache
+def counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Counts of ids of texts, by a file of sentencepiece (.model) or tiktoken (.tiktoken) pieces."""
+    if path.endswith(".model"):
         import sentencepiece
 
-        own = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            yield batch.append_column(name, pa.array([len(own.encode(t or "")) for t in texts], pa.int64()))
+        own = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: list(map(len, own.encode(texts, num_threads=1)))
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [len(other.encode_ordinary(t)) for t in texts]
+
+
+def counted(docs: DataFrame, tokenizers: dict[str, str], text: str = "text") -> DataFrame:
+    """docs with the count of ids of each whole text, under each tokenizer's name, in Arrow batches; null texts count 0.
+
+    tokenizers: names and the paths of their files, which must be readable where tasks run. Names that are columns already are refused.
+    """
+    if clash := sorted(set(tokenizers) & set(docs.columns)):
+        raise ValueError(f"columns {clash} are there already")
+    schema = T.StructType(docs.schema.fields + [T.StructField(n, T.LongType()) for n in tokenizers])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 250) for i in range(0, whole.num_rows, 250)):
+                texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                own = [pa.array(counter(path)(texts), pa.int64()) for path in tokenizers.values()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *own], schema.names)
 
-    return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, `{name}` bigint")
+    return docs.mapInArrow(run, schema)
 
 
 def pattern_count(pattern: str) -> Callable[[Column], Column]:
@@ -102,7 +127,24 @@ VERSIONS = {"words-1": pattern_count(r"[^\x20\x09-\x0D]+"), "marks-2": pattern_c
 LICENSE = r"(?m)^(Released under|Licensed under|This work is licensed under|All rights reserved)[^\n]*$"
 
 
+#: The query's tokenizers: version and file.
+TOKENIZERS = {"piece_bpe_32k": "piece_bpe_32k.model", "byte_bpe_50k": "byte_bpe_50k.tiktoken"}
+
+
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer, kept up as `four_batches` says."""
+    import public_tokenizers
+
+    paths = {name: public_tokenizers.path(file) for name, file in TOKENIZERS.items()}
+    return four_batches(spark, sf_dir, list(paths), lambda docs, names: counted(docs, {n: paths[n] for n in names}))
+
+
+def token_pattern_counts(spark, sf_dir: str) -> DataFrame:
+    """The same for tokenizers that are patterns, which SQL can count too."""
+    return four_batches(spark, sf_dir, list(VERSIONS), lambda docs, names: docs.select("*", *[VERSIONS[n](F.col("text")).alias(n) for n in names]))
+
+
+def four_batches(spark, sf_dir: str, names: list[str], count: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
     """Totals after four batches over all documents, the second of them sent twice.
 
     Every document enters under the first tokenizer, then under the second; documents with license lines are revised to the
@@ -112,18 +154,20 @@ def op3_token_counts(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     rollup = Rollup(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
-    insert = lambda version: docs.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), F.lit("insert").alias("op"), VERSIONS[version](F.col("text")).alias("n_tokens"))
-    rollup.commit("1-words", insert("words-1"))
-    rollup.commit("2-marks", insert("marks-2"))
-    bare = F.regexp_replace("text", LICENSE, "")
-    licensed = docs.where(F.col("text").rlike(LICENSE))
-    counts = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), count(bare).alias("n_tokens")) for v, count in VERSIONS.items()]))
-    rollup.commit("3-licenses", licensed.select("doc_id", "source", "lang", counts.alias("c")).select("doc_id", "source", "lang", "c.tokenizer", F.lit("revise").alias("op"), "c.n_tokens"))
+
+    def changes(docs: DataFrame, some: list[str], op: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("tokenizer"), F.col(n).alias("n_tokens")) for n in some]))
+        return count(docs, some).select("doc_id", "source", "lang", each.alias("c")).select("doc_id", "source", "lang", "c.tokenizer", F.lit(op).alias("op"), "c.n_tokens")
+
+    rollup.commit("1-first", changes(docs, names[:1], "insert"))
+    rollup.commit("2-second", changes(docs, names[1:], "insert"))
+    licensed = docs.where(F.col("text").rlike(LICENSE)).withColumn("text", F.regexp_replace("text", LICENSE, ""))
+    rollup.commit("3-licenses", changes(licensed, names, "revise"))
     keyed = docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("h"), F.md5(F.encode("text", "UTF-8")).alias("m"))
     first = keyed.groupBy("h", "m").agg(F.min("doc_id").alias("first"))
-    copies = keyed.join(first, ["h", "m"]).where("doc_id != first").select("doc_id", "source", "lang", F.explode(F.array(*map(F.lit, VERSIONS))).alias("tokenizer"), F.lit("delete").alias("op"), F.lit(0).cast("long").alias("n_tokens"))
+    copies = keyed.join(first, ["h", "m"]).where("doc_id != first").select("doc_id", "source", "lang", F.explode(F.array(*map(F.lit, names))).alias("tokenizer"), F.lit("delete").alias("op"), F.lit(0).cast("long").alias("n_tokens"))
     rollup.commit("4-copies", copies)
-    rollup.commit("2-marks", insert("marks-2"))
+    rollup.commit("2-second", changes(docs, names[1:], "insert"))
     return rollup.totals()
 
 
