@@ -6,12 +6,13 @@ a lexicon of the training sample's frequent words; learned transitions tie neigh
 a line costs what the sample shows. Forward-backward gives each word's label probabilities; a text's score for a language is
 the mean over all its words, its prediction the best.
 
-Training takes a bounded sample: about `per_lang` documents of each language, chosen by a hash of their id, and `lines` lines of
-each at most. Chains of several languages are made from them, since documents carry one label. Labels are learned from,
+Training takes a bounded sample: about `per_lang` documents of each language, chosen by a hash of their id and text, twice that at
+most, and `lines` pieces of each, drawn from all of its text: lines, and those over `span` characters in pieces of that length. Chains of several languages are made from them, since documents carry one label. Labels are learned from,
 never read in prediction; scoring covers whole texts.
 
 Defined results: a null text, or one without any letter, is `und` with score 0; without labelled rows all are. Ties go to the
-language first in order. Rows are independent: repeated rows, null ids and further columns pass through as they are.
+language first in order. Rows are independent: repeated rows, null ids and further columns pass through as they are; a column
+that has the name of an added one is refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,19 +199,22 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = 300, lines: int = 8, epochs: int = 6, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Crf | None:
+def train(docs: DataFrame, per_lang: int = 300, lines: int = 8, span: int = 2000, epochs: int = 6, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Crf | None:
     """A model from a sample of about per_lang documents a language, 2 * per_lang at most. None without labelled rows."""
     counts = {r[0]: r[1] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}  # a row per language
     langs = sorted(counts)
     if not langs:
         return None
-    draw = F.pmod(F.xxhash64(doc_id), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30))
     chance = F.create_map(*[F.lit(x) for k in langs for x in (k, max(1, min(1 << 30, int(per_lang / counts[k] * (1 << 30)))))])
     sample = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (draw < F.element_at(chance, F.col(lang))))
-    parts = F.split(text, "\n")
+    # the bound holds whatever repeats: few rows are left here, and of them the first by draw
+    first = F.row_number().over(W.partitionBy("lang").orderBy("_draw", F.xxhash64("text")))
+    sample = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("_draw")).withColumn("_place", first).where(F.col("_place") <= 2 * per_lang)
+    parts = F.regexp_extract_all("text", F.lit(rf"[^\n]{{1,{span}}}"), F.lit(0))
     some = F.slice(F.array_sort(F.transform(parts, lambda line, i: F.struct(F.xxhash64(line, i).alias("h"), line.alias("line")))), 1, lines)
-    rows = sorted(sample.select(F.col(lang).alias("lang"), draw.alias("draw"), F.transform(some, lambda x: F.left(x["line"], F.lit(2000))).alias("lines")).collect(), key=lambda r: (r["lang"], r["draw"], r["lines"]))
-    by = {k: [x for r in [r for r in rows if r["lang"] == k][: 2 * per_lang] for x in r["lines"]] for k in langs}
+    rows = sorted(sample.select("lang", F.col("_draw").alias("draw"), F.transform(some, lambda x: x["line"]).alias("lines")).collect(), key=lambda r: (r["lang"], r["draw"], r["lines"]))
+    by = {k: [x for r in rows if r["lang"] == k for x in r["lines"]] for k in langs}
     rng = np.random.default_rng(5)
     pool = [(line, i) for i, k in enumerate(langs) for line in by[k]]
     pool = [pool[i] for i in rng.permutation(len(pool))]
@@ -240,7 +245,9 @@ def train(docs: DataFrame, per_lang: int = 300, lines: int = 8, epochs: int = 6,
 def identify(docs: DataFrame, model: Crf | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language of each whole text and its score."""
     added = [T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())]
-    kept = [f for f in docs.schema.fields if f.name not in (lang_pred, score)]
+    kept = docs.schema.fields
+    if clash := sorted({lang_pred, score} & set(docs.columns)):
+        raise ValueError(f"columns {clash} are there already; give other names")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
