@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import ascii_lower, sha256_of, staged
+from lodestrata.llm._shared import ascii_lower, sha256_of, staged, unused
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_AND_REST = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
@@ -48,7 +48,8 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_rows: in
     found = windows.groupBy("length").agg(F.count("*").alias("rows")).collect()  # one row per window length, n at most
     lengths = sorted(r["length"] for r in found) or [n]
     hashes = windows.select("h", "length").distinct()
-    if sum(r["rows"] for r in found) <= broadcast_rows:
+    small = sum(r["rows"] for r in found) <= broadcast_rows
+    if small:
         hashes = F.broadcast(hashes)
     words = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(F.col(text)).alias("words"))
     # position -1 stands for the document itself, so that one scan gives both its word count and its hits
@@ -60,9 +61,13 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_rows: in
     fits = (F.col("at") >= 0) & (F.col("at") + F.col("length") <= F.col("n_words"))
     h = reduce(lambda rest, x: F.when(F.col("length") == x, hash_at(x)).otherwise(rest), lengths[1:], hash_at(lengths[0]))
     at = at.withColumn("h", F.when(fits, h))
+    own = F.when(F.col("at") >= 0, F.slice("words", F.col("at") + 1, F.col("length"))).alias("own")
+    if not small:  # a shuffle follows: it carries each position's own words, not those of the whole text
+        at = at.select("doc_id", "text_hash", "n_words", "at", "h", "length", F.when(fits, own).alias("own"))
+        own = F.col("own")
     seen = at.join(hashes.withColumn("known", F.lit(True)), ["h", "length"], "left")
     seen = seen.where(F.col("known") | ((F.col("at") == -1) & (F.col("length") == lengths[0])))
-    seen = seen.select("doc_id", "text_hash", "n_words", "at", "h", "length", F.when(F.col("at") >= 0, F.slice("words", F.col("at") + 1, F.col("length"))).alias("own"))
+    seen = seen.select("doc_id", "text_hash", "n_words", "at", "h", "length", own)
     hit = seen.join(windows.select("h", "length", "window", "items"), ["h", "length"], "left")
     sure = F.col("own") == F.col("window")
     by_doc = hit.groupBy("doc_id", "text_hash").agg(
@@ -77,18 +82,20 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_rows: in
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without any hit, with all their columns."""
-    bad = find_hits(docs, items, n, doc_id=doc_id, text=text).where("n_hit > 0").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs[text]) == bad["_bad_hash"]), "left_anti")
+    id_, hash_ = unused("bad_id", docs), unused("bad_hash", docs)
+    bad = find_hits(docs, items, n, doc_id=doc_id, text=text).where("n_hit > 0").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad[id_]) & (F.xxhash64(docs[text]) == bad[hash_]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the words of every hit taken out, each with what follows it up to the next word."""
-    hits = find_hits(docs, items, n, doc_id=doc_id, text=text).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("hits").alias("_hits")).distinct()
-    joined = docs.join(hits, docs[doc_id].eqNullSafe(hits["_id"]) & (F.xxhash64(docs[text]) == hits["_hash"]), "left")
+    id_, hash_, hits_ = unused("hit_id", docs), unused("hit_hash", docs), unused("hits", docs)
+    hits = find_hits(docs, items, n, doc_id=doc_id, text=text).where("n_hit > 0").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("hits").alias(hits_)).distinct()
+    joined = docs.join(hits, docs[doc_id].eqNullSafe(hits[id_]) & (F.xxhash64(docs[text]) == hits[hash_]), "left")
     pieces = F.regexp_extract_all(text, F.lit(WORD_AND_REST), F.lit(0))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("_hits")), lambda i: F.get(pieces, i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(hits_)), lambda i: F.get(pieces, i))
     clean = F.concat(F.regexp_extract(text, BEFORE_WORDS, 0), F.array_join(kept, ""))
-    return joined.select(*[F.when(F.col("_hits").isNull(), docs[c]).otherwise(clean).alias(c) if c == text else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(F.col(hits_).isNull(), docs[c]).otherwise(clean).alias(c) if c == text else docs[c] for c in docs.columns])
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

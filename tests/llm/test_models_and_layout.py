@@ -1,13 +1,23 @@
+import base64
+import heapq
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
+import tiktoken
 from pyspark.sql import functions as F
 
 from lodestrata.llm import language_id, quality_rules, shard_packing, token_counts, topk_search
 from lodestrata.llm._shared import byte_chunks
+from lodestrata.llm.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
 
 # ---- 6: top-k ----
 
@@ -68,18 +78,61 @@ def test_best_fit_decreasing():
             b = min(fits)[1]
             bins[b] -= sizes[i]
             want.append((i, b))
-        assert shard_packing.best_fit_decreasing(sizes, 100) == [b for _, b in sorted(want)]
-        assert shard_packing.best_fit_decreasing(sizes, 100, len(bins) - 1) is None
+        runs = shard_packing.pack(Counter(sizes), 100)
+        got = Counter((size, at) for size, own in runs.items() for at, n in own for _ in range(n))
+        assert got == Counter((sizes[i], at) for i, at in want)
+        assert shard_packing.pack(Counter(sizes), 100, len(bins) - 1) is None
+
+
+def spread_evenly(sizes: list[int], shards: int) -> list[int]:
+    """What each bin holds if each item, largest first, goes to the least filled one."""
+    heap = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        heapq.heapreplace(heap, heap[0] + size)
+    return heap
 
 
 def test_even_packing_with_giants():
     rng = random.Random(3)
-    for sizes in ([1000] + [rng.randint(1, 9) for _ in range(300)], [5], [], [7] * 8, [rng.randint(1, 500) for _ in range(400)]):
-        got = shard_packing.pack_evenly(sizes, 8)
-        fill = [sum(s for s, k in zip(sizes, got, strict=True) if k == b) for b in range(8)]
-        even = shard_packing.spread_evenly(sizes, 8)
-        assert max(fill, default=0) <= 1.02 * max([sum(s for s, k in zip(sizes, even, strict=True) if k == b) for b in range(8)]) + 1
-    assert sorted(set(shard_packing.pack_evenly([1000] + [5] * 70, 8))) == list(range(8))
+    for sizes in ([1000] + [rng.randint(1, 9) for _ in range(300)], [5], [], [7] * 8, [rng.randint(1, 500) for _ in range(400)], [1000, 1000, 1000] + [3] * 900):
+        runs = shard_packing.pack_evenly(Counter(sizes), 8)
+        fill = Counter()
+        for size, own in runs.items():
+            assert sum(n for _, n in own) == sizes.count(size)
+            for at, n in own:
+                fill[at] += n * size
+        assert set(fill) <= set(range(8)) and max(fill.values(), default=0) <= 1.02 * max(spread_evenly(sizes, 8)) + 1
+    assert {at for own in shard_packing.pack_evenly(Counter([1000] + [5] * 70), 8).values() for at, _ in own} == set(range(8))
+
+
+def test_shards_of_a_given_capacity(spark):
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.choice([0, 3, 9, 30, 30, 60, 99, 150]) + str(i % 90)) for i in range(300)]
+    got = shard_packing.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), None, capacity=140).collect()
+    groups, fill = Counter(), Counter()
+    for r in got:
+        groups[r.group] += r["size"]
+        fill[r.shard] += r["size"]
+    large = [x for x in groups.values() if x > 140]
+    assert len(got) == 300 and sorted(fill) == list(range(len(fill))) and sorted(x for x in fill.values() if x > 140) == sorted(large) and large
+    least = len(large) + -(-sum(x for x in groups.values() if x <= 140) // 140)
+    assert least <= len(fill) <= 1.4 * least + 1
+
+
+def test_the_query_packs_whole_groups(spark):
+    got = QUERIES["op5_shard_packing"](spark, SMALL).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    place, slots, fill, groups = {}, {}, Counter(), Counter()
+    for r in got:
+        raw = (docs[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        assert place.setdefault(docs[r.doc_id], r.shard) == r.shard
+        slots.setdefault(r.shard, []).append(r.slot)
+        fill[r.shard] += r["size"]
+        groups[docs[r.doc_id]] += r["size"]
+    assert set(fill) == set(range(8)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(fill.values()) <= max(1.01 * sum(fill.values()) / 8, max(groups.values()))
 
 
 def test_shards_of_odd_rows(spark, odd, none):
@@ -151,14 +204,40 @@ def test_broken_commits_do_not_count(spark, tmp_path):
     assert rollup.totals().count() == 0 and rollup.commit("b", rows) and rollup.totals().head().n_tokens == 5
 
 
-def test_counts_by_a_real_tokenizer(odd):
-    import public_tokenizers
-    import sentencepiece
+def test_counts_by_real_tokenizers(odd):
+    got = token_counts.counted(odd.select("doc_id", "text"), {n: public_tokenizers.path(f) for n, f in token_counts.TOKENIZERS.items()}).collect()
+    pieces, marks = real_counters()
+    assert all((r["piece_bpe_32k"], r["byte_bpe_50k"]) == (pieces(r.text), marks(r.text)) for r in got) and len(got) == odd.count()
+
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    own = sentencepiece.SentencePieceProcessor(model_file=model)
-    got = token_counts.piece_counts(odd.select("doc_id", "text"), model).collect()
-    assert all(r.n_tokens == len(own.encode(r.text or "")) for r in got)
+def real_counters():
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return (lambda t: len(library.encode(t or ""))), (lambda t: len(other.encode_ordinary(t or "")))
+
+
+def test_the_query_counts_with_real_tokenizers(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    first, want = {}, {}
+    for r in rows:
+        if r.text is not None:
+            first[r.text] = min(first.get(r.text, r.doc_id), r.doc_id)
+    license_line = re.compile(token_counts.LICENSE.replace("(?m)", ""), re.M)
+    for name, count in zip(("piece_bpe_32k", "byte_bpe_50k"), real_counters(), strict=True):
+        for r in rows:
+            if r.text is None or first[r.text] == r.doc_id:
+                n_docs, n_tokens = want.get((r.source, r.lang, name), (0, 0))
+                want[r.source, r.lang, name] = (n_docs + 1, n_tokens + count(license_line.sub("", r.text or "")))
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in QUERIES["op3_token_counts"](spark, SMALL).collect()}
+    assert got == want
+
+
+def test_the_same_key_twice_in_a_batch(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    rows = [(1, "a", "en", "v", "insert", 5, 1), (1, "a", "en", "v", "revise", 7, 3), (1, "a", "en", "v", "delete", 0, 2), (2, "a", "en", "v", "insert", 4, 1), (2, "a", "en", "v", "insert", 4, 1)]
+    rollup.commit("b", spark.createDataFrame(rows, CHANGE + ", at int"), "at")
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 1, 4)]  # the revision is the last of document 1, which is not held
 
 
 # ---- 10: languages ----
@@ -212,11 +291,13 @@ def test_marginals_against_all_paths(model):
 
 
 def test_languages_of_odd_rows(odd, none, model):
-    got = language_id.identify(odd, model)
+    got = language_id.identify(odd, model, score="sure")
+    with pytest.raises(ValueError, match="score"):
+        language_id.identify(odd, model)
     rows = got.collect()
-    assert len(rows) == odd.count() and set(odd.columns) <= set(got.columns) and language_id.identify(none, model).count() == 0
+    assert len(rows) == odd.count() and set(odd.columns) <= set(got.columns) and language_id.identify(none.drop("score"), model).count() == 0
     assert all((r.lang_pred == "und") == (r.text is None or not any(map(str.isalpha, r.text))) for r in rows)
-    assert language_id.train(none) is None and {r.lang_pred for r in language_id.identify(odd, None).collect()} == {"und"}
+    assert language_id.train(none) is None and {r.lang_pred for r in language_id.identify(odd.drop("score"), None).collect()} == {"und"}
 
 
 # ---- 7: quality ----

@@ -169,9 +169,10 @@ def test_hits_against_brute_force(spark, odd, none):
     assert {r.doc_id for r in kept.collect()} == {i for i, x in docs if not brute_hits(x, items, 4)[1]} and decontaminate.drop_contaminated(odd, b, 4).columns == odd.columns
 
 
-def test_removed_spans(spark):
+def test_removed_spans(spark, odd):
     d = spark.createDataFrame([(1, "Keep this. one two three four! Then, keep that."), (2, "clean text"), (3, None)], "doc_id long, text string")
     b = spark.createDataFrame([(1, "ONE two three four")], "item_id long, text string")
+    assert decontaminate.remove_spans(odd, b, 4).columns == odd.columns and decontaminate.remove_spans(odd, b, 4).count() == odd.count()
     assert [r.text for r in decontaminate.remove_spans(d, b, 4).orderBy("doc_id").collect()] == ["Keep this. Then, keep that.", "clean text", None]
 
 
