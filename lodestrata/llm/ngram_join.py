@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join of texts by count-vector R-trees.
 
 A text's set holds the hashes of its distinct runs of `width` words. Hashes fall into GROUPS equal ranges; the counts by range
-are the set's point. For two sets the overlap is at most the sum, over the ranges, of the smaller of the two counts; for a set and
+are the set's point; large sets have more ranges, in halves of those, as full ranges tell nothing apart. For two sets the overlap is at most the sum, over the ranges, of the smaller of the two counts; for a set and
 an R-tree node, of the set's count and the node's largest. Sets of at least the needed similarity have an overlap of
 t / (1 + t) of their sizes' sum, so nodes and points under that are passed over, and pairs that remain are verified on the sets.
 
@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm._shared import byte_chunks, mixed, staged, table, word_hashes, word_spans
 
 GROUPS, CAP, LEAF, SMALL = 64, 4096, 16, 8
+#: Elements in a range, where there may be more than GROUPS ranges.
+FULL = 8
 #: Elements of a tile at most, but for a set that has more; one set in SAMPLE looks for digests in about HOT sets or more.
 ELEMENTS, SAMPLE, HOT = 2_000_000, 64, 2048
 PIVOTS, LEADERS = 3, 8
@@ -144,19 +146,41 @@ def set_digests(values: np.ndarray, starts: np.ndarray, salt: np.uint64 = ODD[1]
     return out.view(np.int64)
 
 
-def points_of(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Counts of each set's hashes in GROUPS equal ranges."""
-    n = len(starts) - 1
-    row = np.repeat(np.arange(n), np.diff(starts))
-    return np.bincount(row * GROUPS + (values >> np.uint64(58)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
-
-
-def packed(point: np.ndarray) -> bytes:
-    return point.astype("<u2" if point.max(initial=0) < 1 << 16 else "<u4").tobytes()
+def groups_for(n: np.ndarray) -> np.ndarray:
+    """How many ranges a set of n elements is counted in: GROUPS, doubled until about FULL elements are in each."""
+    return GROUPS << np.clip(np.ceil(np.log2(np.maximum(n, 1) / (FULL * GROUPS))), 0, 6).astype(np.int64)
 
 
-def unpacked(raw: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(r, "<u2" if len(r) == 2 * GROUPS else "<u4") for r in raw]).astype(np.int64) if raw else np.zeros((0, GROUPS), np.int64)
+def points_of(values: np.ndarray, starts: np.ndarray, groups: int) -> np.ndarray:
+    """Counts of each set's hashes in so many equal ranges."""
+    n = len(starts) - 1
+    row = np.repeat(np.arange(n), np.diff(starts))
+    part = (values >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64)
+    counts = np.bincount(row * groups + part, minlength=n * groups).reshape(n, groups)
+    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32)
+
+
+def packed_points(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Each set's counts in its own number of ranges, a byte each; where one exceeds 255, four."""
+    size = np.diff(starts)
+    groups = groups_for(size)
+    out: list = [b""] * len(size)
+    for g in np.unique(groups).tolist():
+        for i in np.flatnonzero(groups == g).tolist():
+            own = np.bincount((values[starts[i] : starts[i + 1]] >> np.uint64(64 - g.bit_length() + 1)).astype(np.int64), minlength=g)
+            out[i] = own.astype(np.uint8 if own.max(initial=0) < 256 else "<u4").tobytes()
+    return out
+
+
+def unpacked(raw: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The counts of all of raw in the fewest ranges that any has; ranges that are too fine are added up."""
+    groups = groups_for(sizes)
+    least = int(groups.min(initial=GROUPS << 6))
+    out = np.zeros((len(raw), least), np.uint32)
+    for i, (r, g) in enumerate(zip(raw, groups.tolist(), strict=True)):
+        own = np.frombuffer(r, np.uint8 if len(r) == g else "<u4")
+        out[i] = own if g == least else own.reshape(least, -1).sum(1)
+    return out.astype(np.uint16) if out.max(initial=0) < 1 << 16 else out
 
 
 def sketch(width: int, bands: Bands):
@@ -171,7 +195,7 @@ def sketch(width: int, bands: Bands):
                 names.append(set_digests(values, starts))
                 others.append(set_digests(values, starts, ODD[2]))
                 sizes.append(n)
-                points += [packed(p) for p in points_of(values, starts)]
+                points += packed_points(values, starts)
                 some = np.flatnonzero(n)
                 some = some[np.unique(names[-1][some], return_index=True)[1]]
                 some.sort()
@@ -244,7 +268,7 @@ def bound_links(t: Fraction):
         at, names, sizes, raw = None, [], [], []
 
         def links() -> pa.RecordBatch:
-            found = np.array(connect(unpacked(raw), np.array(sizes), t), np.int64).reshape(-1, 2)
+            found = np.array(connect(unpacked(raw, np.array(sizes)), np.array(sizes), t), np.int64).reshape(-1, 2)
             own = np.array(names, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(own[found[:, 0]]), pa.array(own[found[:, 1]])], ["a", "b"])
 
@@ -269,9 +293,16 @@ def within_bound(t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q = t.numerator, t.denominator
         for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            bound = np.minimum(unpacked(batch.column(4).to_pylist()), unpacked(batch.column(5).to_pylist())).sum(1)
-            yield batch.filter(pa.array(bound * (p + q) >= p * n)).select(["a", "b"])
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            level = np.minimum(groups_for(n), groups_for(m))
+            keep = np.zeros(len(n), bool)
+            for g in np.unique(level).tolist():  # pairs that are counted in as many ranges
+                own = np.flatnonzero(level == g)
+                some = batch.take(pa.array(own))
+                both = unpacked(some.column(4).to_pylist() + some.column(5).to_pylist(), np.concatenate([n[own], m[own]]))
+                bound = np.minimum(both[: len(own)], both[len(own) :]).sum(1, dtype=np.int64)
+                keep[own] = bound * (p + q) >= p * (n[own] + m[own])
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     return run
 
@@ -318,12 +349,12 @@ class Tree:
         nodes = np.arange(len(self.levels[-1][0])) if self.levels else np.arange(len(self.points))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, least, most = self.levels[depth]
-            bound = np.minimum(point, top[nodes]).sum(1)
+            bound = np.minimum(point, top[nodes]).sum(1, dtype=np.int64)
             fits = (bound * (p + q) >= p * (size + least[nodes])) & (least[nodes] * p <= q * size) & (most[nodes] * q >= p * size)
             below = len(self.levels[depth - 1][0]) if depth else len(self.points)
             nodes = (nodes[fits][:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = nodes[nodes < below]
-        bound = np.minimum(point, self.points[nodes]).sum(1)
+        bound = np.minimum(point, self.points[nodes]).sum(1, dtype=np.int64)
         fits = bound * (p + q) >= p * (size + self.sizes[nodes])
         return self.order[nodes[fits]], bound[fits]
 
@@ -356,7 +387,7 @@ def connect(points: np.ndarray, sizes: np.ndarray, t: Fraction, accept=lambda i,
             if not len(rest):
                 return links
             i = int(rest[0])
-            bound = np.minimum(points, points[i]).sum(1)
+            bound = np.minimum(points, points[i]).sum(1, dtype=np.int64)
             for j in np.flatnonzero(bound * (t.numerator + t.denominator) >= t.numerator * (sizes + sizes[i])).tolist():
                 if label[j] != label[i] and accept(i, j):
                     links.append((i, j))
@@ -393,7 +424,7 @@ def verify(width: int, t: Fraction, every: bool = False):
         found = []
         if len(sets) > 1:
             sizes = np.array([len(x) for x in sets])
-            points = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+            points = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]), int(groups_for(np.median(sizes))))
             accept = lambda i, j: similar(sets[i], sets[j], t)
             found = every_pair(points, sizes, t, accept, side) if every else connect(points, sizes, t, accept, np.array(roots), side)
         own, found = np.array(names, np.int64), np.array(found, np.int64).reshape(-1, 2)
@@ -422,6 +453,40 @@ def verify(width: int, t: Fraction, every: bool = False):
     return run
 
 
+def meeting(t: Fraction):
+    """(unit, set, side, root, n, counts) rows sorted by unit: those that the bound lets be similar to one of another root across the unit's sides."""
+    columns = ["unit", "set", "side", "root"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def needed() -> pa.RecordBatch:
+            side, root, sizes = (np.array([h[i] for h in held], np.int64) for i in (2, 3, 4))
+            points, keep = unpacked([h[5] for h in held], sizes), np.zeros(len(held), bool)
+            asking, among = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if len(asking) and len(among):
+                tree = Tree(points[among], sizes[among])
+                for i in asking.tolist():
+                    found = among[tree.ask(points[i], int(sizes[i]), t)[0]]
+                    found = found[root[found] != root[i]]
+                    keep[found] = True
+                    keep[i] |= len(found) > 0
+            some = [h for h, k in zip(held, keep.tolist(), strict=True) if k]
+            return pa.RecordBatch.from_arrays([pa.array([h[i] for h in some], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], columns)
+
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != at and held:
+                    yield needed()
+                    held = []
+                at = row[0]
+                held.append(row)
+        if held:
+            yield needed()
+
+    return run
+
+
 def tile_count(sets: Column, elements: Column) -> Column:
     return F.greatest(F.ceil(sets / CAP), F.ceil(elements / ELEMENTS)).cast("int")
 
@@ -513,8 +578,10 @@ class Join:
         unit = lambda part, tile, side: F.struct(F.xxhash64("block", F.lit(2), part, tile).alias("unit"), F.lit(side).alias("side"))
         asked = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: unit(k, F.col("tile"), 1))
         asking = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: unit(part, k, 0))
-        dealt = own.select(*row, "root", F.explode(F.when(F.col("root") != F.col("main"), F.concat(asked, asking)).otherwise(asked)).alias("u"))
-        links = links.unionByName(self.links(dealt.select("u.*", *row, "root")))
+        dealt = own.select("set", "root", "n", F.explode(F.when(F.col("root") != F.col("main"), F.concat(asked, asking)).otherwise(asked)).alias("u"))
+        counted = dealt.join(self.classes.select("set", "counts"), "set").select("u.unit", "set", "u.side", "root", "n", "counts").repartition(self.spread, "unit").sortWithinPartitions("unit")
+        needed = counted.mapInArrow(meeting(self.t), "unit long, set long, side int, root long")  # texts are copied for these only
+        links = links.unionByName(self.links(needed.join(self.classes.select(*row), "set")))
         return components(links, "links").toDF("set", "root")
 
 
