@@ -94,26 +94,27 @@ def embed_hashed(df: DataFrame, text_col: str, dim: int = 256, out: str = "embed
     return embed(df, text_col, hashed_embedder(dim), out)
 
 
-def blocks(vectors: DataFrame, key: str, names: str, values: str, rows: int) -> DataFrame:
-    """(id string, embedding) rows as blocks of `rows` vectors of one length: dim, key, names, values."""
+def blocks(vectors: DataFrame, names: str, values: str, rows: int) -> DataFrame:
+    """(id string, embedding, block int) rows as packets of up to `rows` vectors of one length and block: dim, block, names, values."""
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
 
-        def block(dim: int) -> pd.DataFrame:
-            ids, own = zip(*held.pop(dim), strict=True)
-            return pd.DataFrame({"dim": [dim], key: [ids[0]], names: [list(ids)], values: [np.stack(own).tobytes()]})
+        def packet(key: tuple[int, int]) -> pd.DataFrame:
+            ids, own = zip(*held.pop(key), strict=True)
+            return pd.DataFrame({"dim": [key[0]], "block": [key[1]], names: [list(ids)], values: [np.stack(own).tobytes()]})
 
         for part in parts:
-            for i, v in zip(part["id"], part["embedding"], strict=True):
+            for i, v, block in zip(part["id"], part["embedding"], part["block"], strict=True):
                 own = np.asarray([] if v is None else v, np.float64)
-                held.setdefault(len(own), []).append((i, own))
-                if len(held[len(own)]) == rows:
-                    yield block(len(own))
-        for dim in list(held):
-            yield block(dim)
+                key = (len(own), block)
+                held.setdefault(key, []).append((i, own))
+                if len(held[key]) == rows:
+                    yield packet(key)
+        for key in list(held):
+            yield packet(key)
 
-    return vectors.mapInPandas(pack, f"dim int, {key} string, {names} array<string>, {values} binary")
+    return vectors.mapInPandas(pack, f"dim int, block int, {names} array<string>, {values} binary")
 
 
 def nearest(k: int) -> Callable:
@@ -145,24 +146,20 @@ def nearest(k: int) -> Callable:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, owners: list | None = None, block: int = 1024) -> DataFrame:
     """VEC2/JOI2: query_id, vector_id, distance, rank of the k nearest vectors of each query, exactly.
 
-    Vectors and queries are packed into blocks. Each block of vectors meets each block of queries once, and only k rows a query
-    and task are shuffled for the final rank. Lengths that differ give distance 2, a zero vector 1.
+    Vectors and queries are packed into blocks, queries by a hash of their contents into numbered ones. Each block of vectors meets
+    each block of queries once, and only k rows a query and task are shuffled for the final rank. Lengths that differ give distance 2, a zero vector 1.
     """
     vectors = filter_owners(vectors, owners, "owner_id")
-    spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = blocks(queries.select(F.col("query_id").cast("string").alias("id"), "embedding").coalesce(max(1, spread // 8)), "q_block", "q_names", "q_values", block)
-    held = blocks(vectors.select(F.col("vector_id").cast("string").alias("id"), "embedding"), "v_block", "v_names", "v_values", block).withColumnRenamed("dim", "v_dim")
-    sent = held.withColumn("q_block", F.explode(all_of(asked.select("q_block"))))
-    found = sent.join(asked, "q_block").mapInPandas(nearest(k), "query_id string, vector_id string, distance double")
+    count = -(-queries.count() // block)
+    slim = queries.select(F.col("query_id").cast("string").alias("id"), "embedding")
+    asked = blocks(slim.withColumn("block", F.pmod(F.xxhash64("id", "embedding"), F.lit(max(count, 1))).cast("int")).repartition("block"), "q_names", "q_values", block)
+    held = blocks(vectors.select(F.col("vector_id").cast("string").alias("id"), "embedding", F.lit(0).alias("block")), "v_names", "v_values", block).select("v_names", "v_values", F.col("dim").alias("v_dim"))
+    sent = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1))))
+    found = sent.join(asked, "block").mapInPandas(nearest(k), "query_id string, vector_id string, distance double")
     return rank_candidates(found, [F.col("distance"), F.col("vector_id")], k)
 
 
-def all_of(names: DataFrame) -> Column:
-    """The block names as a literal array: one for every `block` queries."""
-    return F.array(*[F.lit(r[0]) for r in names.distinct().collect()]).cast("array<string>")
-
-
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.5, tables: int = 8, reach: float = 1.2, seed: int = 3) -> DataFrame:
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.3, tables: int = 8, reach: float = 2.0, seed: int = 3) -> DataFrame:
     """VEC3: candidates by random projections of unit vectors, scored exactly; `reach` bounds their Euclidean distance."""
     unit = lambda df, key, name: df.where(F.size("embedding") > 0).select(F.col(key).cast("string").alias(key), array_to_vector(F.transform("embedding", lambda x: x / norm(F.col("embedding")))).alias("unit")).where(F.col(key).isNotNull())
     lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
@@ -178,16 +175,31 @@ def norm(v: Column) -> Column:
     return F.when(length > 0, length).otherwise(1.0)
 
 
+#: Terms of queries that may be broadcast, about 60 bytes each.
+BROADCAST_TERMS = 500_000
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, token, tf."""
-    return chunks.select("chunk_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
+    """chunk_id, length, token, tf."""
+    tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
+    return tokens.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf"))
+
+
+def vocabulary_of(tf: DataFrame) -> DataFrame:
+    """token, df (chunks with it), tokens (how often it stands)."""
+    return tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tokens"))
+
+
+def stats_of(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """One row: n (chunks, those without tokens too), avg_length, vocabulary, mean_idf."""
+    n = chunks.agg(F.count("*").alias("n"))
+    every = vocabulary.crossJoin(F.broadcast(n))
+    return every.agg(F.first("n").alias("n"), (F.sum("tokens") / F.first("n")).alias("avg_length"), F.count("*").alias("vocabulary"), F.avg(raw_idf()).alias("mean_idf"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """AGG8: one row of N, average length, vocabulary size and mean idf."""
-    lengths = chunks.select(F.size(tokenize(F.col("text"))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    df = postings(chunks).groupBy("token").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(lengths)).agg(F.first("n").alias("n"), F.first("avg_length").alias("avg_length"), F.count("*").alias("vocabulary"), F.avg(raw_idf()).alias("mean_idf"))
+    return stats_of(chunks, vocabulary_of(postings(chunks)))
 
 
 def raw_idf() -> Column:
@@ -196,18 +208,18 @@ def raw_idf() -> Column:
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """LEX2: query_id, chunk_id, score, rank. Repeated query tokens count again; only chunks that share a token are candidates."""
-    tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
-    lengths = tokens.select("chunk_id", F.size("tokens").alias("length"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    tf = tokens.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).withColumn("idf", raw_idf())
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))  # over the whole vocabulary
+    tf = postings(chunks)
+    vocabulary = vocabulary_of(tf)
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    weight = F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf"))
-    terms = asked.join(idf, "token").crossJoin(F.broadcast(mean)).select("query_id", "token", "times", "avg_length", weight.alias("weight"))
+    # the condition, which always holds, keeps the column: so both uses of the vocabulary have the same exchanges, and texts are tokenised once
+    known = asked.join(vocabulary.where("tokens > 0"), "token").crossJoin(F.broadcast(stats_of(chunks, vocabulary)))
+    weight = F.when(raw_idf() < 0, epsilon * F.col("mean_idf")).otherwise(raw_idf())
+    terms = known.select("query_id", "token", "times", "avg_length", weight.alias("weight"))
     part = F.col("times") * F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)  # then frequent tokens are joined wherever their postings lie
     scores = tf.join(terms, "token").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    return rank_candidates(scores, [F.desc("score"), F.col("chunk_id")], k)
+    return rank_candidates(scores, [F.desc(F.round("score", 9)), F.col("chunk_id")], k)  # sums in another order are still ties
 
 
 def rrf(vector: DataFrame, lexical: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
@@ -233,7 +245,7 @@ def rerank(queries: DataFrame, fused: DataFrame, k: int = RERANK_TOP_K) -> DataF
     identifiers = F.when(F.size("ids") > 0, share(F.col("ids"))).otherwise(F.col("query_coverage"))
     score = F.least(F.lit(1.0), 0.55 * F.col("query_coverage") + 0.20 * identifiers + 0.15 * F.col("exact_phrase").cast("double") + 0.10 * F.when(top > 0, F.col("rrf_score") / top).otherwise(0.0))
     scored = found.withColumn("score", score).drop("q", "d", "ids", "phrase", "rank")
-    return rank_candidates(scored, [F.desc("score"), F.desc("rrf_score"), F.col("chunk_id")], k)
+    return rank_candidates(scored, [F.desc(F.round("score", 9)), F.desc("rrf_score"), F.col("chunk_id")], k)
 
 
 def select_context(df: DataFrame, k: int = FINAL_TOP_K) -> DataFrame:

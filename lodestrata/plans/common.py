@@ -27,5 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small file is one split, and what follows is heavy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def cents(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns in hundredths, halves up with a margin over what sums in another order differ by: engines round halves their own ways."""
+    return df.withColumns({c: F.floor(F.col(c) * 100 + 0.500001) / 100 for c in columns})
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if c in columns else F.col(c) for c in df.columns])

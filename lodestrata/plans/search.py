@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as tx
 from lodestrata.operators import corpus, evaluate, media, retrieval
-from lodestrata.plans.common import query, rounded, table
+from lodestrata.plans.common import query, rounded, spread, table
 from lodestrata.sources.tables import pages_from_text
 
 STOP = ", ".join(f"'{w}'" for w in tx.QUERY_STOP_WORDS)
@@ -16,9 +16,13 @@ ALL = f"regexp_extract_all({FOLDED}, '[a-z0-9]+(?:[-_.][a-z0-9]+)*')"
 TOKENS = f"list_filter({ALL}, lambda t: t NOT IN ({STOP}))"
 
 
+def documents(spark, d):
+    return spread(table(spark, d, "documents"))
+
+
 def chunks_of(spark, d):
     """Each document as one chunk."""
-    docs = table(spark, d, "documents").where("text is not null")
+    docs = documents(spark, d).where("text is not null")
     key = F.col("doc_id").cast("string")
     return docs.select(key.alias("chunk_id"), key.alias("document_id"), F.concat(F.lit("doc-"), key, F.lit(".txt")).alias("filename"), F.lit(1).alias("page_number"), F.lit(0).alias("chunk_index"), "text")
 
@@ -29,18 +33,18 @@ def asked(spark, d):
 
 @query(f"SELECT doc_id, CAST(len({TOKENS}) AS INTEGER) AS n_tokens, sha256(array_to_string({TOKENS}, ' ')) AS tokens_sha256 FROM documents")
 def tokenize_docs(spark, d):
-    tokens = table(spark, d, "documents").select("doc_id", tx.tokenize(F.col("text")).alias("t"))
+    tokens = documents(spark, d).select("doc_id", tx.tokenize(F.col("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").alias("n_tokens"), tx.sha256(F.array_join("t", " ")).alias("tokens_sha256"))
 
 
 @query(f"SELECT doc_id, sha256(array_to_string({ALL}, ' ')) AS phrase_sha256 FROM documents")
 def normalized_phrases(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.sha256(tx.normalized_phrase(F.col("text"))).alias("phrase_sha256"))
+    return documents(spark, d).select("doc_id", tx.sha256(tx.normalized_phrase(F.col("text"))).alias("phrase_sha256"))
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+(?:[''’-][\p{L}\p{M}\p{N}_]+)*|[^\p{L}\p{M}\p{N}_\s]')) AS INTEGER) AS token_estimate FROM documents")
 def token_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("token_estimate"))
+    return documents(spark, d).select("doc_id", tx.estimate_tokens(F.col("text")).alias("token_estimate"))
 
 
 WRAP = "'  Please find  ' || text || ' in my documents. '"
@@ -68,7 +72,7 @@ def route_queries(spark, d):
 
 @query()
 def hashed_embeddings(spark, d):
-    found = retrieval.embed_hashed(table(spark, d, "documents").select("doc_id", "text"), "text")
+    found = retrieval.embed_hashed(documents(spark, d).select("doc_id", "text"), "text")
     return found.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
@@ -198,26 +202,26 @@ g AS (SELECT doc_id, lines, unnest(range(0, greatest(CAST(ceil(len(lines) / 10)
 r AS (SELECT document_id, edge FROM e WHERE length(edge) <= 120 GROUP BY ALL HAVING count(*) >= 2), s AS (SELECT document_id, list(edge) AS edges FROM r GROUP BY 1)
 SELECT document_id, CAST(page_number AS INTEGER) AS page_number, CAST(len(list_filter(paragraphs, lambda p: NOT coalesce(list_contains(edges, p), false))) AS INTEGER) AS n_paragraphs FROM pg LEFT JOIN s USING (document_id)""")
 def boilerplate_lines(spark, d):
-    pages = pages_from_text(table(spark, d, "documents"), lines_per_page=10)
+    pages = pages_from_text(documents(spark, d), lines_per_page=10)
     return corpus.remove_boilerplate(pages).select("document_id", "page_number", F.size("paragraphs").alias("n_paragraphs"))
 
 
 @query(rf"""WITH {PAGES} SELECT document_id, count(*) AS page_count, CAST(sum(length(regexp_replace(array_to_string(paragraphs, ' '), '[^\p{{L}}\p{{N}}]', '', 'g'))) AS BIGINT) AS extractable, extractable < 40 AS ocr_required FROM pg GROUP BY 1""")
 def ocr_gate(spark, d):
-    return corpus.ocr_gate(pages_from_text(table(spark, d, "documents"), lines_per_page=10))
+    return corpus.ocr_gate(pages_from_text(documents(spark, d), lines_per_page=10))
 
 
 @query()
 def chunk_documents(spark, d):
     """W1: pages of ten lines to chunks, boilerplate removed."""
-    pages = corpus.remove_boilerplate(pages_from_text(table(spark, d, "documents"), lines_per_page=10))
+    pages = corpus.remove_boilerplate(pages_from_text(documents(spark, d), lines_per_page=10))
     return corpus.build_chunks(pages).drop("text")
 
 
 @query()
 def chunk_bounds(spark, d):
     """How many chunks each document has and what sizes, with its page count and OCR flag."""
-    pages = pages_from_text(table(spark, d, "documents"), lines_per_page=10)
+    pages = pages_from_text(documents(spark, d), lines_per_page=10)
     chunks = corpus.build_chunks(pages)
     sizes = chunks.groupBy("document_id").agg(F.min("token_estimate").alias("least"), F.max("token_estimate").alias("most"))
     return corpus.document_rollup(pages, chunks).join(sizes, "document_id", "left")
@@ -296,4 +300,4 @@ def safe_filenames(spark, d):
 
 @query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(text, chr(173), ''), chr(160), ' '), '([\p{L}\p{N}_])-[ \t]*\n[ \t]*([\p{L}\p{N}_])', '\1\2', 'g'), '\s+', ' ', 'g'))) AS block_sha256 FROM documents""")
 def normalize_blocks(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.sha256(tx.normalize_block(F.col("text"))).alias("block_sha256"))
+    return documents(spark, d).select("doc_id", tx.sha256(tx.normalize_block(F.col("text"))).alias("block_sha256"))

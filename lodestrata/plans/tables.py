@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import analytics as a
-from lodestrata.plans.common import query, rounded, table
+from lodestrata.plans.common import cents, query, rounded, table
 from lodestrata.sources import store
 
 # ---- analytics ----
@@ -47,34 +47,35 @@ def group_sum_by_flag(spark, d):
     return rounded(a.group_by(table(spark, d, "lineitem"), ["l_returnflag"], "sum", "l_quantity"), "sum_l_quantity", places=2)
 
 
-@query("""WITH g AS (SELECT coalesce(o_orderstatus, '') AS o_orderstatus, coalesce(o_orderpriority, '') AS o_orderpriority, coalesce(CAST(c_nationkey AS VARCHAR), '') AS c_nationkey, round(avg(o_totalprice), 2) AS mean_o_totalprice
+@query("""WITH g AS (SELECT coalesce(o_orderstatus, '') AS o_orderstatus, coalesce(o_orderpriority, '') AS o_orderpriority, coalesce(CAST(c_nationkey AS VARCHAR), '') AS c_nationkey, floor(avg(o_totalprice) * 100 + 0.500001) / 100 AS mean_o_totalprice
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)
 SELECT *, (SELECT count(*) FROM g) AS group_count, least((SELECT count(*) FROM g), 500) AS returned_rows FROM g ORDER BY o_orderstatus, o_orderpriority, c_nationkey LIMIT 500""")
 def group_three_keys(spark, d):
     joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rounded(a.group_by(joined, ["o_orderstatus", "o_orderpriority", "c_nationkey"], "mean", "o_totalprice", 500), "mean_o_totalprice", places=2)
+    found = a.group_by(joined, ["o_orderstatus", "o_orderpriority", "c_nationkey"], "mean", "o_totalprice", 500)
+    return cents(found, "mean_o_totalprice")
 
 
 MULTI = [{"fn": "count", "alias": "n_rows"}, {"fn": "sum", "field": "l_quantity", "alias": "quantity"}, {"fn": "mean", "field": "l_extendedprice", "alias": "mean_price"}, {"fn": "min", "field": "l_tax", "alias": "least_tax"}, {"fn": "max", "field": "l_tax", "alias": "most_tax"}, {"fn": "count", "field": "l_comment", "alias": "x"}]
 
 
-@query("""SELECT l_returnflag, l_linestatus, count(*) AS n_rows, round(sum(l_quantity), 2) AS quantity, round(avg(l_extendedprice), 2) AS mean_price, min(l_tax) AS least_tax, max(l_tax) AS most_tax
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n_rows, floor(sum(l_quantity) * 100 + 0.500001) / 100 AS quantity, floor(avg(l_extendedprice) * 100 + 0.500001) / 100 AS mean_price, min(l_tax) AS least_tax, max(l_tax) AS most_tax
 FROM lineitem GROUP BY ALL ORDER BY 1, 2 LIMIT 100""")
 def multi_aggregate(spark, d):
-    return rounded(a.aggregate(table(spark, d, "lineitem"), MULTI[:5], ("l_returnflag", "l_linestatus")), "quantity", "mean_price", places=2)
+    return cents(a.aggregate(table(spark, d, "lineitem"), MULTI[:5], ("l_returnflag", "l_linestatus")), "quantity", "mean_price")
 
 
-@query("SELECT count(*) AS n_rows, round(sum(l_quantity), 2) AS quantity, round(avg(l_extendedprice), 2) AS mean_price, min(l_tax) AS least_tax, max(l_tax) AS most_tax FROM lineitem")
+@query("SELECT count(*) AS n_rows, floor(sum(l_quantity) * 100 + 0.500001) / 100 AS quantity, floor(avg(l_extendedprice) * 100 + 0.500001) / 100 AS mean_price, min(l_tax) AS least_tax, max(l_tax) AS most_tax FROM lineitem")
 def global_aggregate(spark, d):
-    return rounded(a.aggregate(table(spark, d, "lineitem"), MULTI[:5]), "quantity", "mean_price", places=2)
+    return cents(a.aggregate(table(spark, d, "lineitem"), MULTI[:5]), "quantity", "mean_price")
 
 
-@query("""SELECT 'o_orderkey' AS "column", 'number' AS data_type, count(o_orderkey) AS non_null_count, count(DISTINCT o_orderkey) AS unique_count, min(o_orderkey)::DOUBLE AS min, max(o_orderkey)::DOUBLE AS max, round(avg(o_orderkey), 2) AS mean FROM orders
-UNION ALL SELECT 'o_totalprice', 'number', count(o_totalprice), count(DISTINCT o_totalprice), min(o_totalprice), max(o_totalprice), round(avg(o_totalprice), 2) FROM orders
+@query("""SELECT 'o_orderkey' AS "column", 'number' AS data_type, count(o_orderkey) AS non_null_count, count(DISTINCT o_orderkey) AS unique_count, min(o_orderkey)::DOUBLE AS min, max(o_orderkey)::DOUBLE AS max, floor(avg(o_orderkey) * 100 + 0.500001) / 100 AS mean FROM orders
+UNION ALL SELECT 'o_totalprice', 'number', count(o_totalprice), count(DISTINCT o_totalprice), min(o_totalprice), max(o_totalprice), floor(avg(o_totalprice) * 100 + 0.500001) / 100 FROM orders
 UNION ALL SELECT 'o_orderstatus', 'string', count(o_orderstatus), count(DISTINCT o_orderstatus), NULL, NULL, NULL FROM orders
 UNION ALL SELECT 'o_orderpriority', 'string', count(o_orderpriority), count(DISTINCT o_orderpriority), NULL, NULL, NULL FROM orders""")
 def describe_orders(spark, d):
-    return rounded(a.describe(table(spark, d, "orders"), ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]), "mean", places=2)
+    return cents(a.describe(table(spark, d, "orders"), ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]), "mean")
 
 
 @query("""SELECT * FROM (VALUES ('o_orderkey', 'number', false), ('o_custkey', 'number', false), ('o_orderstatus', 'string', false), ('o_totalprice', 'number', false), ('o_orderdate', 'string', false), ('o_orderpriority', 'string', false), ('is_open', 'boolean', false), ('empty', 'string', true)) AS t(name, data_type, nullable)""")

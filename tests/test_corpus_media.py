@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestrata.functions.text import sha256
 from lodestrata.operators import corpus as c
@@ -100,3 +101,9 @@ def test_timestamps_of_short_media(spark):
     for r in m.representative_timestamps(film).collect():
         got.setdefault(r.video_id, []).append(r.start_seconds)
     assert got["a"] == [0.0] and got["b"] == [0.0] and got["c"] == [0.0, 30.0] and len(got["d"]) == 6
+
+
+def test_headings_by_column(spark):
+    texts = ["TRAVEL POLICY", "Travel Policy", "1.2. scope of use", "what to do:", "Travel Policy.", "123 456", "this is a sentence", "", "A - b", "Élan Vital", "ÉLAN", "It's", "It'S", "X" * 121, "a: b", "Word " * 17, "B. next", "Ab1Cd", "ab Cd"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", c.is_heading(F.col("text")).alias("h")).collect()
+    assert {r.text: r.h for r in rows} == {t: c.heading(t, c.tokens_in(t)) for t in texts}

@@ -133,3 +133,26 @@ def test_debug_lists_all_stages(spark):
     final, debug = r.hybrid_search(qs, chunks(spark, PAGES), debug=True)
     assert {x.stage for x in debug.collect()} == {"vector", "lexical", "fused", "reranked", "final"}
     assert [x.citation_id for x in r.build_citations(final).collect()][0] == "citation_p2"
+
+
+def test_nearest_of_queries_in_any_order_and_partitions(spark):
+    rng = np.random.default_rng(4)
+    vectors = [(f"v{i}", rng.normal(size=4).tolist()) for i in range(150)] + [("zero", [0.0] * 4), ("short", [1.0])]
+    queries = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    held = spark.createDataFrame(vectors, "vector_id string, embedding array<double>")
+    want = None
+    for order, parts in ((1, 1), (-1, 7), (1, 3)):
+        asked = spark.createDataFrame(queries[::order], "query_id long, embedding array<double>").repartition(parts)
+        got = sorted((x.query_id, x["rank"], x.vector_id) for x in r.knn(asked, held, 5, block=8).collect())
+        want = want or got
+        assert got == want and len(got) == 300
+    for i, q in queries[:10]:
+        near = sorted((max(0.0, 1 - np.dot(q, v) / np.linalg.norm(q) / np.linalg.norm(v)) if len(v) == 4 and any(v) else 1.0 if len(v) == 4 else 2.0, n) for n, v in vectors)[:5]
+        assert [v for q_id, _, v in want if q_id == str(i)] == [n for _, n in near]
+
+
+def test_approximate_neighbours_are_found(spark):
+    from lodestrata.plans.registry import QUERIES
+
+    found = [x.recall for x in QUERIES["knn_approx_recall"](spark, "/root/testdata/sf0.001").collect()]
+    assert sum(found) >= 0.9 * len(found) > 0
