@@ -70,10 +70,18 @@ def route_queries(spark, d):
     return tx.route_queries(turns, "text").drop("text")
 
 
-@query()
+EMBEDDING_STOP = ", ".join(f"'{w}'" for w in retrieval.EMBEDDING_STOP_WORDS)
+
+
+@query(rf"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all({FOLDED}, '[\p{{L}}\p{{N}}_]+'), lambda t: t NOT IN ({EMBEDDING_STOP}))) AS token FROM documents),
+s AS (SELECT doc_id, ('0x' || substr(sha256(token), 1, 4))::BIGINT % 256 AS slot, count(*) AS c FROM t GROUP BY ALL),
+v AS (SELECT doc_id, string_agg(slot || ':' || CAST(floor(c / sqrt(n) * 1000000 + 0.500001) AS BIGINT), ',' ORDER BY slot) AS slots FROM (SELECT *, sum(c * c) OVER (PARTITION BY doc_id) AS n FROM s) GROUP BY 1)
+SELECT doc_id, 256 AS dim, coalesce(slots, '0:1000000') AS slots FROM documents LEFT JOIN v USING (doc_id)""")
 def hashed_embeddings(spark, d):
+    """Each document's vector as slot:value in millionths, where it is not 0."""
     found = retrieval.embed_hashed(documents(spark, d).select("doc_id", "text"), "text")
-    return found.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    slot = lambda x, i: F.when(x > 0, F.concat_ws(":", i, F.floor(x * 1000000 + 0.500001)))
+    return found.select("doc_id", F.size("embedding").alias("dim"), F.array_join(F.transform("embedding", slot), ",").alias("slots"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0),
