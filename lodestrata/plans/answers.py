@@ -78,13 +78,45 @@ def match_citations(spark, d):
     return guards.match_citations(citations, contexts).select("request_id", "citation_id", "citation_matched", "matched_context")
 
 
-@query()
+#: What the screen of grounding goes by: one row an answer, with its evidence as `answer_tables` lays it out.
+CLAIMS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+(?:[._-][a-z0-9]+)*')), lambda x: length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in guards.CLAIM_STOP_WORDS) + "))"
+#: A number does not begin inside a word; the character before it is matched with it, there being no look-behind.
+NUMBERS = r"list_distinct(regexp_extract_all({}, '(?:^|[^\p{{L}}\p{{N}}_])(-?\d+(?:\.\d+)?)', 1))"
+LACKS = "len(list_filter({}, lambda x: NOT list_contains({}, x))) > 0"
+
+
+def flags(*pairs: tuple[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{code}' END" for test, code in pairs) + "], lambda x: x IS NOT NULL)"
+
+
+def grounded(judged: bool = False) -> str:
+    """CTEs up to `gr`: an answer's groundedness, citation coverage, reasons and whether it is to be rewritten or blocked."""
+    accepted, rejected, review = ("middling AND claims >= 0.25", "middling AND claims < 0.25", "false") if judged else ("false", "false", "middling")
+    reasons = flags(
+        ("has AND wrong", "GROUNDING_CITATION_NOT_IN_CONTEXT"), ("has AND wrong", "GROUNDING_CITATION_COVERAGE_INCOMPLETE"), ("refs", "GROUNDING_UNKNOWN_CITATION_REFERENCE"), ("pages", "GROUNDING_UNKNOWN_PAGE_REFERENCE"),
+        ("irrelevant", "GROUNDING_CONTEXT_IRRELEVANT"), ("unsupported OR bare", "GROUNDING_UNSUPPORTED_CLAIM"), (review, "GROUNDING_SEMANTIC_REVIEW_REQUIRED"), (rejected, "GROUNDING_SEMANTIC_JUDGE_REJECTED"),
+        ("mismatch", "GROUNDING_ANALYTICS_RESULT_MISMATCH"),
+    )
+    silent = " OR ".join(f"contains(lower(d), '{p}')" for p in guards.NO_EVIDENCE)
+    return rf"""{CONVERSED}, fa AS (SELECT *, CASE n % 5 WHEN 4 THEN 'data_analytics' WHEN 3 THEN 'direct_answer' ELSE 'document_search' END AS route, regexp_replace(coalesce(draft, ''), '^\s+|\s+$', '', 'g') AS d, (n % 10) / 10.0::DOUBLE + 0.05 AS relevance,
+  CASE WHEN has THEN question || CASE WHEN n % 2 = 0 THEN ' ' || text ELSE '' END ELSE '' END || ' ' || CASE WHEN has THEN 'conv-' || conv_id || '.txt, page ' || CASE WHEN wrong THEN 2 ELSE 1 END ELSE '' END AS known FROM ev),
+fb AS (SELECT *, {CLAIMS.format("d")} AS own, {CLAIMS.format("known")} AS given, {LACKS.format(r"list_distinct(list_transform(regexp_extract_all(d, '(?i)\bcitation_[A-Za-z0-9_.:-]+\b'), lambda x: lower(x)))", "CASE WHEN has THEN ['citation_k' || request_id] ELSE [] END")} AS refs,
+  {LACKS.format(r"list_transform(regexp_extract_all(d, '(?i)\bpage\s+(\d{1,6})\b', 1), lambda x: CAST(x AS INTEGER))", "CASE WHEN has THEN [CASE WHEN wrong THEN 2 ELSE 1 END] ELSE [] END")} AS pages,
+  {LACKS.format(NUMBERS.format("d"), NUMBERS.format("(coalesce(question, '') || ' ' || known)"))} AS odd_numbers FROM fa),
+fc AS (SELECT *, CASE WHEN len(own) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(own, given)) / len(own) END AS claims FROM fb),
+fd AS (SELECT *, has AND (odd_numbers OR claims <= 0.15) AS unsupported, has AND relevance < 0.1 AS irrelevant, NOT has AND route = 'document_search' AND NOT ({silent}) AS bare, NOT has AND route = 'data_analytics' AND d <> coalesce(text, '') AS mismatch FROM fc),
+fe AS (SELECT *, has AND NOT unsupported AND claims < 0.55 AS middling FROM fd),
+gr AS (SELECT *, CASE WHEN has THEN round(least(1.0, (CASE WHEN wrong THEN 0.0 ELSE 1.0 END::DOUBLE + CASE WHEN {accepted} THEN 0.55 ELSE claims END + relevance) / 3), 4) WHEN bare OR mismatch THEN 0.0 ELSE 1.0 END::DOUBLE AS groundedness,
+  CASE WHEN has AND wrong THEN 0.0 ELSE 1.0 END::DOUBLE AS citation_coverage, {reasons} AS reasons, irrelevant OR unsupported OR {review} OR {rejected} OR bare OR mismatch AS grounding_rewrite, (has AND wrong) OR refs OR pages AS grounding_block FROM fe)"""
+
+
+@query(f"WITH {grounded()} SELECT request_id, groundedness, citation_coverage, array_to_string(reasons, ',') AS reasons, grounding_rewrite, grounding_block FROM gr")
 def screen_grounding(spark, d):
     found = guards.screen_grounding(*answer_tables(spark, d))
     return found.select("request_id", F.round("groundedness", 4).alias("groundedness"), "citation_coverage", F.array_join("grounding_reasons", ",").alias("reasons"), "grounding_rewrite", "grounding_block")
 
 
-@query()
+@query(f"WITH {grounded(judged=True)} SELECT request_id, groundedness, array_to_string(reasons, ',') AS reasons, grounding_rewrite FROM gr")
 def judged_grounding(spark, d):
     """The same with a judge that accepts claims of at least a quarter, asked only for answers of middling coverage."""
     answers, contexts, citations = answer_tables(spark, d)
@@ -93,7 +125,16 @@ def judged_grounding(spark, d):
     return found.select("request_id", F.round("groundedness", 4).alias("groundedness"), F.array_join("grounding_reasons", ",").alias("reasons"), "grounding_rewrite")
 
 
-@query()
+#: The input and output screens of the same answers, and what they come to with the grounding.
+VERDICTS = rf"""{grounded()}, io AS (SELECT *, length(coalesce(question, '')) > 4000 AS long_query, coalesce({sql_any("question", guards.INJECTION)}, false) AS injection, coalesce({sql_any("question", guards.EXTRACTION)}, false) AS extraction, coalesce({sql_any("question", guards.DANGEROUS_TOOL)}, false) AS tool,
+  length(d) < 20 AS short, length(d) > 8000 AS long, {sql_any("d", [guards.MARKUP])} AS markup, {sql_any("d", guards.SECRETS)} AS secret, n % 11 = 0 AS odd_schema FROM gr),
+vd AS (SELECT *, long_query OR injection OR extraction OR tool OR grounding_block OR markup OR secret AS blocked, grounding_rewrite OR short OR long AS redo, n % 2 = 1 AS spent,
+  {flags(("long_query", "INPUT_QUERY_TOO_LONG"), ("injection", "INPUT_PROMPT_INJECTION"), ("extraction", "INPUT_SYSTEM_PROMPT_EXTRACTION"), ("tool", "INPUT_DANGEROUS_TOOL_INSTRUCTION"))} AS before,
+  {flags(("short", "OUTPUT_TOO_SHORT"), ("long", "OUTPUT_TOO_LONG"), ("markup", "OUTPUT_SCRIPT_OR_HTML"), ("secret", "OUTPUT_SECRET_PATTERN"), ("odd_schema", "OUTPUT_GENUI_SCHEMA_INVALID"))} AS after FROM io),
+ve AS (SELECT *, list_concat(before, reasons, after, CASE WHEN NOT blocked AND redo AND spent THEN ['REWRITE_LIMIT_REACHED'] ELSE [] END) AS every, CASE WHEN blocked OR (redo AND spent) THEN 'block' WHEN redo THEN 'rewrite' ELSE 'approve' END AS decision FROM vd)"""
+
+
+@query(f"""WITH {VERDICTS} SELECT request_id, decision, CASE WHEN len(every) > 0 THEN array_to_string(every, ',') WHEN blocked THEN 'GUARDRAIL_BLOCKED' WHEN redo THEN 'GUARDRAIL_REWRITE_REQUIRED' ELSE 'GUARDRAILS_PASSED' END AS reasons, decision <> 'block' AS keeps_citations FROM ve""")
 def verdicts(spark, d):
     found = guards.screen_all(*answer_tables(spark, d))
     return found.select("request_id", "decision", F.array_join("reasons", ",").alias("reasons"), "keeps_citations")
@@ -107,7 +148,10 @@ def routing_metrics(spark, d):
     return evaluate.routing_metrics(cases)
 
 
-@query()
+@query(f"""WITH {grounded()}, q AS (SELECT conv_id + turn AS m, text || {sql_list(ASKS)}[CAST((conv_id + turn) % {len(ASKS)} AS INTEGER) + 1] AS t FROM conversations),
+i AS (SELECT avg(CASE WHEN injected = (m % {len(ASKS)} IN (0, 3, 4)) THEN 1 ELSE 0 END) AS injection_accuracy, count(*) FILTER (injected OR tool OR length(t) > 4000) AS b1, count(*) AS n1 FROM (SELECT *, {sql_any("t", guards.INJECTION + guards.EXTRACTION)} AS injected, {sql_any("t", guards.DANGEROUS_TOOL)} AS tool FROM q)),
+g AS (SELECT avg(CASE WHEN list_contains(reasons, 'GROUNDING_UNSUPPORTED_CLAIM') = (n % {len(TELLS)} = 2) THEN 1 ELSE 0 END) AS unsupported_accuracy, count(*) FILTER (grounding_block) AS b2, count(*) FILTER (grounding_rewrite) AS r2, count(*) AS n2 FROM gr)
+SELECT round(injection_accuracy, 4) AS injection_accuracy, round(unsupported_accuracy, 4) AS unsupported_accuracy, round((b1 + b2) / greatest(n1 + n2, 1), 4) AS block_rate, round(r2 / greatest(n1 + n2, 1), 4) AS rewrite_rate FROM i, g""")
 def guard_metrics(spark, d):
     turns = table(spark, d, "conversations").withColumn("n", F.col("conv_id") + F.col("turn"))
     inputs = guards.screen_inputs(turns.select("n", suffixed("text", ASKS, "n").alias("text")), "text").withColumn("injection_expected", (F.col("n") % len(ASKS)).isin(0, 3, 4))
@@ -115,11 +159,15 @@ def guard_metrics(spark, d):
     return evaluate.guard_metrics(inputs, grounding)
 
 
-@query()
+PHRASE = "array_to_string(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z0-9]+(?:[-_.][a-z0-9]+)*'), ' ')"
+
+
+@query(f"""WITH {grounded()}, p AS (SELECT *, string_split({PHRASE.format("coalesce(question, '')")}, ' ') AS terms, {PHRASE.format("coalesce(draft, '')")} AS phrase FROM gr)
+SELECT round(avg(groundedness), 4) AS groundedness, round(avg(citation_coverage), 4) AS citation_coverage, round(avg(len(list_filter(terms, lambda x: contains(phrase, x))) / len(terms)), 4) AS relevance FROM p""")
 def generation_metrics(spark, d):
     answers, contexts, citations = answer_tables(spark, d)
     found = guards.screen_grounding(answers, contexts, citations)
-    terms = F.slice(F.split(normalized_phrase(F.col("user_query")), " "), 1, 5)
+    terms = F.split(normalized_phrase(F.col("user_query")), " ")
     found = found.withColumn("terms", terms).withColumn("phrase", normalized_phrase(F.col("draft")))
     return evaluate.generation_metrics(found.withColumn("relevance", relevance_proxy(F.col("phrase"), F.col("terms"))))
 
