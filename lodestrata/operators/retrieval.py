@@ -129,7 +129,7 @@ def nearest(k: int) -> Callable:
                     q, v = np.frombuffer(row.q_values).reshape(-1, row.dim), np.frombuffer(row.v_values).reshape(-1, row.dim)
                     qn, vn = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        d = np.maximum(0.0, 1 - (q @ v.T) / (qn[:, None] * vn[None, :]))
+                        d = np.round(np.maximum(0.0, 1 - (q @ v.T) / (qn[:, None] * vn[None, :])), 12)
                     d[(qn == 0)[:, None] | (vn == 0)[None, :]] = 1.0
                 else:
                     d = np.full((len(q_names), len(v_names)), 2.0)
@@ -148,6 +148,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, owners: list | None = No
 
     Vectors and queries are packed into blocks, queries by a hash of their contents into numbered ones. Each block of vectors meets
     each block of queries once, and only k rows a query and task are shuffled for the final rank. Lengths that differ give distance 2, a zero vector 1.
+    Distances are rounded to the 12th place: equal vectors are ties wherever they stand in a block.
     """
     vectors = filter_owners(vectors, owners, "owner_id")
     count = -(-queries.count() // block)
@@ -226,8 +227,9 @@ def rrf(vector: DataFrame, lexical: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
     """FUS1: query_id, chunk_id, vector_rank, lexical_rank, rrf_score, rank."""
     if rrf_k < 1:
         raise ValueError("rrf_k must be at least 1")
-    both = vector.select("query_id", "chunk_id", F.col("rank").alias("vector_rank"), F.lit(None).cast("int").alias("lexical_rank")).unionByName(lexical.select("query_id", "chunk_id", F.lit(None).cast("int").alias("vector_rank"), F.col("rank").alias("lexical_rank")))
-    lists = both.groupBy("query_id", "chunk_id").agg(F.min("vector_rank").alias("vector_rank"), F.min("lexical_rank").alias("lexical_rank"))
+    # joined, not united with null columns: where one plan holds the fusion several times, adaptive reuse took the ranks of one list for the other's
+    first = lambda df, name: df.groupBy("query_id", "chunk_id").agg(F.min("rank").alias(name))
+    lists = first(vector, "vector_rank").join(first(lexical, "lexical_rank"), ["query_id", "chunk_id"], "full_outer")
     term = lambda c: F.coalesce(1.0 / (rrf_k + F.col(c)), F.lit(0.0))
     scored = lists.withColumn("rrf_score", term("vector_rank") + term("lexical_rank"))
     return rank_candidates(scored, [F.desc("rrf_score"), F.least("vector_rank", "lexical_rank"), F.col("chunk_id")])

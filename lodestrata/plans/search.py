@@ -159,21 +159,53 @@ def rerank(spark, d):
     return rounded(retrieval.rerank(asked(spark, d), fused), "score", "query_coverage", places=6).select("query_id", "chunk_id", "score", "query_coverage", "exact_phrase", "rank")
 
 
-@query()
+def normal(text: str) -> str:
+    """A question without its request and source phrases, folded."""
+    flat = rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+    bare = rf"trim(regexp_replace(regexp_replace({flat}, '(?i)^(?:please\s+)?(?:find|locate|look\s+up|search\s+for|show\s+me|tell\s+me)\s+', ''), '(?i)\s+(?:in|from)\s+(?:(?:my|the|uploaded)\s+)?(?:documents?|pdfs?|files?)\.?$', ''), ' .?!')"
+    return f"replace(lower(CASE WHEN {bare} = '' THEN {flat} ELSE {bare} END), 'ß', 'ss')"
+
+
+def vectors_sql(name: str, source: str, key: str, text: str) -> str:
+    """CTE `name`: key, slot, c and the norm of each text's hashed vector; slot 0 where it has no token."""
+    words = rf"list_filter(regexp_extract_all(replace(lower({text}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+'), lambda t: t NOT IN ({EMBEDDING_STOP}))"
+    return f"""{name}_t AS (SELECT {key}, unnest(CASE WHEN len(w) > 0 THEN list_transform(w, lambda t: ('0x' || substr(sha256(t), 1, 4))::BIGINT % 256) ELSE [0] END) AS slot FROM (SELECT {key}, coalesce({words}, []) AS w FROM {source})),
+{name} AS (SELECT *, sqrt(sum(c * c) OVER (PARTITION BY {key})) AS norm FROM (SELECT {key}, slot, count(*) AS c FROM {name}_t GROUP BY ALL))"""
+
+
+#: Distances of hashed vectors to the 12th place, which sums in any order agree on.
+DISTANCE = "round(greatest(0, 1 - sum(a.c * b.c) / (a.norm * b.norm)), 12)"
+NEAR = f"""nq AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS passage, {normal("text")} AS text FROM benchmark), nd AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text AS body FROM documents WHERE text IS NOT NULL),
+{vectors_sql("vq", "nq", "query_id", "text")}, {vectors_sql("vd", "nd", "chunk_id", "body")},
+di AS (SELECT query_id, chunk_id, {DISTANCE} AS distance FROM vq a JOIN vd b USING (slot) GROUP BY query_id, chunk_id, a.norm, b.norm),
+vec AS (SELECT query_id, chunk_id, 1 - distance AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INTEGER) AS rank FROM di QUALIFY rank <= 20 AND score >= 0.25)"""
+#: Both lists, fused, reranked and cut to the contexts, as stages of one table.
+HYBRID = f"""{NEAR}, {LEXICAL.replace("FROM benchmark", "FROM nq").replace("CAST(item_id AS VARCHAR) AS query_id", "query_id")},
+fu AS (SELECT query_id, chunk_id, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + l.rank), 0) AS rrf, least(v.rank, l.rank) AS best FROM vec v FULL JOIN (FROM lex WHERE rank <= 20) l USING (query_id, chunk_id)),
+fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, best, chunk_id) AS INTEGER) AS rank FROM fu),
+bq AS (SELECT query_id, list_distinct({TOKENS}) AS q, array_to_string({ALL}, ' ') AS phrase FROM nq), bd AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, list_distinct({TOKENS}) AS d, array_to_string({ALL}, ' ') AS phrase FROM documents),
+rx AS (SELECT query_id, chunk_id, rrf, CASE WHEN len(q) > 0 THEN len(list_intersect(q, d)) / len(q) ELSE 0 END AS coverage, list_filter(q, lambda t: regexp_matches(t, '[0-9]')) AS ids, d, bq.phrase <> '' AND contains(bd.phrase, bq.phrase) AS exact FROM fused JOIN bq USING (query_id) JOIN bd USING (chunk_id)),
+ry AS (SELECT *, least(1.0, 0.55 * coverage + 0.2 * CASE WHEN len(ids) > 0 THEN len(list_intersect(ids, d)) / len(ids) ELSE coverage END + 0.15 * CAST(exact AS DOUBLE) + 0.1 * rrf / max(rrf) OVER (PARTITION BY query_id)) AS score FROM rx),
+rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rrf DESC, chunk_id) AS INTEGER) AS rank FROM ry QUALIFY rank <= 10)"""
+
+
+@query(f"WITH {HYBRID} SELECT query_id, rank, chunk_id, 'doc-' || chunk_id || '.txt' AS filename, 1 AS page_number, round(score, 6) AS score, round(rrf, 6) AS rrf_score, round(coverage, 6) AS query_coverage, exact AS exact_phrase FROM rr WHERE rank <= 5")
 def hybrid_search(spark, d):
     """W2: every benchmark passage over all documents."""
     found = retrieval.hybrid_search(asked(spark, d), chunks_of(spark, d))
     return rounded(found, "score", "rrf_score", "query_coverage", places=6).select("query_id", "rank", "chunk_id", "filename", "page_number", "score", "rrf_score", "query_coverage", "exact_phrase")
 
 
-@query()
+@query(f"WITH {NEAR} SELECT query_id, rank, chunk_id, 'doc-' || chunk_id || '.txt' AS filename, 1 AS page_number, round(score, 6) AS score FROM vec WHERE rank <= 5")
 def vector_only_search(spark, d):
     return rounded(retrieval.hybrid_search(asked(spark, d), chunks_of(spark, d), "vector_only"), "score", places=6).select("query_id", "rank", "chunk_id", "filename", "page_number", "score")
 
 
-@query()
+@query(f"""WITH {HYBRID} SELECT query_id, stage, rank, chunk_id, floor(score * 1000000 + 0.500001) / 1000000 AS score FROM (SELECT query_id, 'vector' AS stage, rank, chunk_id, score FROM vec UNION ALL SELECT query_id, 'lexical', rank, chunk_id, score FROM lex WHERE rank <= 20
+UNION ALL SELECT query_id, 'fused', rank, chunk_id, rrf FROM fused UNION ALL SELECT query_id, 'reranked', rank, chunk_id, score FROM rr UNION ALL SELECT query_id, 'final', rank, chunk_id, score FROM rr WHERE rank <= 5)""")
 def retrieval_debug(spark, d):
-    return rounded(retrieval.hybrid_search(asked(spark, d), chunks_of(spark, d), debug=True)[1], "score", places=6)
+    found = retrieval.hybrid_search(asked(spark, d), chunks_of(spark, d), debug=True)[1]
+    return found.withColumn("score", F.floor(F.col("score") * 1000000 + 0.500001) / 1000000)
 
 
 @query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS q, v.vec_id AS v, q.label = v.label AS relevant, list_cosine_similarity(q.e, v.e) AS c FROM e q, e v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
@@ -187,7 +219,9 @@ def retrieval_metrics(spark, d):
     return evaluate.retrieval_metrics(known.select(F.lit("vector").alias("mode"), "query_id", "rank", (F.col("ql") == F.col("vl")).alias("relevant")), queries.select(F.col("query_id").cast("string").alias("query_id")), 3)
 
 
-@query()
+@query(f"""WITH {HYBRID}, fo AS (SELECT 'hybrid' AS mode, query_id, chunk_id, rank FROM rr WHERE rank <= 5 UNION ALL SELECT 'vector_only', query_id, chunk_id, rank FROM vec WHERE rank <= 5),
+fi AS (SELECT mode, query_id, min(rank) AS first FROM fo JOIN nd USING (chunk_id) JOIN nq USING (query_id) WHERE contains(body, passage) GROUP BY ALL)
+SELECT mode, round(avg(CASE WHEN first <= 3 THEN 1 ELSE 0 END), 6) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, count(*) AS cases FROM (FROM (SELECT DISTINCT mode FROM fo), (SELECT DISTINCT query_id FROM nq)) LEFT JOIN fi USING (mode, query_id) GROUP BY mode""")
 def benchmark_retrieval_metrics(spark, d):
     """Recall and MRR of both modes; a document is relevant to a passage that it contains."""
     queries, chunks = asked(spark, d), chunks_of(spark, d)
@@ -289,7 +323,11 @@ def media_rollup(spark, d):
     return media.media_rollup(media.build_segments(*media_tables(spark, d)))
 
 
-@query()
+@query(f"""WITH {SEGMENTS}, aq AS (SELECT CAST(user_id AS VARCHAR) AS query_id, string_agg(DISTINCT event_type || event_id, ' ') AS text FROM events GROUP BY 1),
+{vectors_sql("vq", "aq", "query_id", "text")}, {vectors_sql("vd", "sgm", "segment_id", "combined_text")},
+di AS (SELECT query_id, segment_id, {DISTANCE} AS distance FROM vq a JOIN vd b USING (slot) GROUP BY query_id, segment_id, a.norm, b.norm),
+ne AS (SELECT *, 1 - distance AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, segment_id) AS INTEGER) AS rank FROM di QUALIFY rank <= 5 AND score >= 0.1)
+SELECT query_id, rank, segment_id, video_id, s0 AS start_seconds, s1 AS end_seconds, round(score, 6) AS score FROM ne JOIN sgm USING (segment_id)""")
 def search_segments(spark, d):
     """Every user's event types asked of all segments."""
     types = table(spark, d, "events").groupBy("user_id").agg(F.concat_ws(" ", F.array_sort(F.collect_set(F.concat("event_type", F.col("event_id").cast("string"))))).alias("text"))
