@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import answers, logs, search, tables  # noqa: F401  they register their queries
+from lodestrata.plans import answers, files, logs, search, tables  # noqa: F401  they register their queries
 from lodestrata.plans.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
