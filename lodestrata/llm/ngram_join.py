@@ -48,7 +48,7 @@ FULL = 8
 #: Elements of a tile at most, but for a set that has more; one set in SAMPLE looks for digests in about HOT sets or more.
 ELEMENTS, SAMPLE, HOT = 2_000_000, 64, 2048
 PIVOTS, LEADERS = 3, 8
-#: Frequent digests that may be broadcast, 20 bytes each.
+#: Frequent digests, or hashes of texts in blocks, that may be broadcast, 20 bytes each.
 BROADCAST_ROWS = 500_000
 ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -520,6 +520,7 @@ class Join:
         self.width, self.t = width, similarity
         self.spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+        self.texts = self.source.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
         base = staged(self.source.mapInArrow(sketch(width, Bands(similarity)), SKETCH), "sketches")
         self.base, self.classes = base, self._classes(base)
         clashing = self.classes.where("other != last").select("set")
@@ -539,12 +540,14 @@ class Join:
         edges = candidate_edges(self.base.where("n > 0"), self.classes, self.t)
         members = self.classes.select("set", "doc_id", "text_hash", "n").join(components(edges, "blocks").toDF("set", "block"), "set")
         sizes = members.groupBy("block").agg(tile_count(F.count("*"), F.sum("n")).alias("tiles"))
-        return staged(members.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("set"), "tiles").cast("int")), "placed")
+        placed = staged(members.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("set"), "tiles").cast("int")), "placed")
+        if placed.count() <= BROADCAST_ROWS:  # texts outside all blocks are not shuffled; with more, all texts are
+            self.texts = self.texts.join(F.broadcast(placed.select(F.col("text_hash").alias("_hash"))), "_hash", "left_semi")
+        return placed
 
     def links(self, units: DataFrame, every: bool = False) -> DataFrame:
         """Verified links (a, b) of units: rows unit, set, doc_id, text_hash, side, root."""
-        texts = self.source.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
-        whole = units.join(texts, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("unit", "set", "side", "root", "text")
+        whole = units.join(self.texts, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("unit", "set", "side", "root", "text")
         ordered = whole.repartition(self.spread, "unit").sortWithinPartitions("unit", "set", "side")
         return staged(ordered.mapInArrow(verify(self.width, self.t, every), "a long, b long"), "found")
 
