@@ -156,9 +156,44 @@ def request_metrics_stream(events: DataFrame, size: str = "5 minutes", delay: st
     return done.groupBy(F.window("ts", size), "route").agg(F.count("*").alias("requests"), F.sum("latency_ms").alias("total_ms"), F.sum("citation_count").alias("citations"))
 
 
-def consume_once_stream(attempts: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """STM4: the first attempt on each object_path that is in time; replays within the watermark are dropped."""
-    return attempts.withWatermark("ts", delay).where("ts < expires_at").dropDuplicatesWithinWatermark(["object_path"])
+class OnceUsed(StatefulProcessor):
+    """Keeps a path that was used until no attempt on it can be in time any more."""
+
+    def __init__(self, columns: list[str], tie: str | None):
+        self.columns, self.order = columns, ["_ms", tie] if tie else ["_ms"]
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        attempts = pd.concat(list(rows)).set_axis([*self.columns, "_ms", "_until"], axis=1).sort_values(self.order, kind="stable")
+        used = self.until.exists()
+        before, until = int(self.until.get()[0]) if used else None, int(attempts["_until"].max())
+        if before is None or until > before:
+            if used:
+                self.handle.deleteTimer(before)
+            self.until.update((until,))
+            self.handle.registerTimer(until)
+        return iter([] if used else [attempts.iloc[:1].drop(columns=["_ms", "_until"])])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.until.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def consume_once_stream(attempts: DataFrame, delay: str = "1 hour", tie: str | None = None) -> DataFrame:
+    """STM4: the first attempt on each object_path that is in time; replays are dropped, however long after the first.
+
+    A path is kept until event time less the delay has passed the last expires_at seen for it. Of one micro-batch's attempts
+    the earliest counts, equal ones by `tie`. Rows later than the delay are dropped.
+    """
+    timed = attempts.withWatermark("ts", delay).where("ts < expires_at")
+    timed = timed.select(*attempts.columns, F.unix_millis(F.col("ts").cast("timestamp")).alias("_ms"), (F.unix_millis(F.col("expires_at").cast("timestamp")) + 1).alias("_until"))
+    return timed.groupBy("object_path").transformWithStateInPandas(OnceUsed(attempts.columns, tie), attempts.schema, "Append", "EventTime")
 
 
 def ingest_stream(pages: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, key: str = "record_id"):

@@ -139,6 +139,21 @@ def test_streamed_timeouts(spark, tmp_path):
     assert ("open", 4, "error", "STREAM_TIMEOUT") in [tuple(r) for r in got] and "done" not in {r.request_id for r in got}
 
 
+def test_streamed_one_time_use_lasts_until_expiry(spark, tmp_path):
+    st.use_rocksdb(spark)
+    src = str(tmp_path / "in")
+    # p is used, event time moves on by hours, p is tried again while in time, with a later limit too; after that limit it is forgotten
+    turns = [[(1, "p", 100, 20000), (2, "p", 90, 20000), (3, "q", 99, 99)], [(4, "r1", 10000, 10001)], [(5, "p", 15000, 30000), (6, "s", 15000, 40000)], [(7, "r2", 24500, 24501)], [(8, "p", 25000, 30000)], [(9, "r3", 40000, 40001)], [(10, "r4", 41000, 41001)], [(11, "p", 42000, 50000), (12, "s", 39000, 40000)]]
+    for turn in turns:
+        df = spark.createDataFrame(turn, "event_id int, object_path string, t int, e int").select("event_id", "object_path", F.timestamp_seconds("t").alias("ts"), F.timestamp_seconds("e").alias("expires_at"))
+        df.coalesce(1).write.mode("append").parquet(src)
+    stream = st.consume_once_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src), tie="event_id")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = spark.table("once").orderBy("event_id").collect()
+    assert [r.event_id for r in got] == [2, 4, 6, 7, 9, 10, 11] and got[0].ts.timestamp() == 90
+
+
 def test_ingestion_adds_each_record_once(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "record_id string, n int")
