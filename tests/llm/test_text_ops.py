@@ -285,11 +285,11 @@ def near_copies(width, odd):
     return rows
 
 
-#: CAP, HOT and SAMPLE: as they are; blocks in tiles; every shared digest a frequent one; both.
+#: CAP, HOT and SAMPLE: as they are; blocks in tiles; every shared digest a frequent one; both. Nothing fits a broadcast where blocks are in tiles.
 @pytest.mark.parametrize("width,t", [(3, Fraction(9, 10)), (5, Fraction(8, 10))])
 @pytest.mark.parametrize("cap,hot,sample", [(4096, 2048, 64), (8, 2048, 64), (4096, 2, 1), (8, 2, 1)])
 def test_components_against_brute_force(spark, odd, none, monkeypatch, width, t, cap, hot, sample):
-    for name, value in (("CAP", cap), ("HOT", hot), ("SAMPLE", sample)):
+    for name, value in (("CAP", cap), ("HOT", hot), ("SAMPLE", sample), ("BROADCAST_ROWS", 0 if cap == 8 else ngram_join.BROADCAST_ROWS)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies(width, odd)
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width, t)
