@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec, quality_rules, sequence_packing, shard_packing, token_counts, token_files, topk_search
+from lodestrata.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec, quality_rules, sequence_packing, shard_packing, source_divergence, token_counts, token_files, topk_search
 
 QUERIES = {
     "op1_piece_codec": piece_codec.op1_piece_codec,
@@ -17,5 +17,13 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_language_id": language_id.op10_language_id,
     "op11_sequence_packing": sequence_packing.op11_sequence_packing,
+    "op13_source_divergence": source_divergence.op13_source_divergence,
+}
+ORACLES = {
+    "op2_decontaminate": decontaminate.SQL,
+    "token_pattern_counts": token_counts.SQL,
+    "op4_ngram_join": ngram_join.SQL,
+    "op6_topk_search": topk_search.SQL,
+    "op8_line_dedup": line_dedup.SQL,
+    "op13_source_divergence": source_divergence.SQL,
 }
-ORACLES = {"op2_decontaminate": decontaminate.SQL, "token_pattern_counts": token_counts.SQL, "op4_ngram_join": ngram_join.SQL, "op6_topk_search": topk_search.SQL, "op8_line_dedup": line_dedup.SQL}
