@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec, quality_rules, sequence_packing, shard_packing, source_divergence, token_counts, token_files, topk_search
+from lodestrata.llm import decontaminate, hard_negatives, language_id, line_dedup, ngram_join, piece_codec, quality_rules, sequence_packing, shard_packing, source_divergence, token_counts, token_files, topk_search
 
 QUERIES = {
     "op1_piece_codec": piece_codec.op1_piece_codec,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_language_id": language_id.op10_language_id,
     "op11_sequence_packing": sequence_packing.op11_sequence_packing,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_source_divergence": source_divergence.op13_source_divergence,
 }
 ORACLES = {
@@ -25,5 +26,6 @@ ORACLES = {
     "op4_ngram_join": ngram_join.SQL,
     "op6_topk_search": topk_search.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
     "op13_source_divergence": source_divergence.SQL,
 }
