@@ -21,7 +21,7 @@ Other columns are not read. Sums of counts are exact up to 9 * 10**15.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,26 +102,30 @@ def groups_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return each.withColumn("p0", F.when(F.col("terms") > 0, share("2", "greatest(total + 2 * terms, 2)")))
 
 
-def cell_sums(table_: pa.Table) -> pa.Table:
-    """The divergences of a cell's pairs of groups over the terms in its slices; `met` is how many terms that are."""
-    a, b = table_["a"][0].as_py(), table_["b"][0].as_py()
-    flat = table_["term"].combine_chunks()
-    lengths = np.diff(flat.offsets.to_numpy())
-    coded = flat.flatten().dictionary_encode()
-    values = table_["p0"].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    met, names = len(coded.dictionary), table_["g"].to_numpy()
-    dense = np.repeat(values[:, None], met, axis=1)
-    dense[np.repeat(np.arange(len(names)), lengths), coded.indices.to_numpy(zero_copy_only=False)] = table_["p"].combine_chunks().flatten().to_numpy()
-    blocks = names // GROUPS
-    out: list[tuple[np.ndarray, ...]] = []
-    for i in np.flatnonzero(blocks == a):
-        others = np.flatnonzero((blocks == b) & (names > names[i]))
-        if len(others):
-            gap = dense[others] - dense[i]
-            out.append((np.full(len(others), names[i]), names[others], (gap * gap // np.maximum(dense[others] + dense[i], 1)).sum(1)))
-    i, j, sums = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-    columns = [pa.array([table_["lang"][0].as_py()] * len(i), pa.string()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(sums, pa.int64()), pa.array(np.full(len(i), met), pa.int64())]
-    return pa.Table.from_arrays(columns, names=["lang", "i", "j", "value", "met"])
+def cell_sums(size: int) -> Callable[[pa.Table], pa.Table]:
+    """The divergences of a cell's pairs of groups over the terms in its slices; `met` is how many terms that are. size: groups in a block."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        a, b = cell["a"][0].as_py(), cell["b"][0].as_py()
+        terms = cell["term"].combine_chunks()
+        coded = terms.flatten().dictionary_encode()
+        met, names = len(coded.dictionary), cell["g"].to_numpy()
+        absent = cell["p0"].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        dense = np.repeat(absent[:, None], met, axis=1)
+        row = np.repeat(np.arange(len(names)), np.diff(terms.offsets.to_numpy()))
+        dense[row, coded.indices.to_numpy(zero_copy_only=False)] = cell["p"].combine_chunks().flatten().to_numpy()
+        blocks = names // size
+        out = [(np.zeros(0, np.int64),) * 3]
+        for i in np.flatnonzero(blocks == a):
+            others = np.flatnonzero((blocks == b) & (names > names[i]))
+            gap, both = dense[others] - dense[i], dense[others] + dense[i]
+            out.append((np.full(len(others), names[i]), names[others], (gap * gap // np.maximum(both, 1)).sum(1)))
+        i, j, sums = map(np.concatenate, zip(*out, strict=True))
+        lang = pa.array([cell["lang"][0].as_py()] * len(i), pa.string())
+        numbers = [pa.array(x, t) for x, t in ((i, pa.int32()), (j, pa.int32()), (sums, pa.int64()), (np.full(len(i), met), pa.int64()))]
+        return pa.Table.from_arrays([lang, *numbers], names=["lang", "i", "j", "value", "met"])
+
+    return run
 
 
 def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
@@ -135,7 +139,7 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     own, other = F.floor(F.col("g") / GROUPS).cast("int"), F.col("other")
     sent = slices.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("group_blocks") - 1)))
     sent = sent.select("lang", "t", F.least(own, other).alias("a"), F.greatest(own, other).alias("b"), "g", "p0", F.col("own.term").alias("term"), F.col("own.p").alias("p"))
-    parts = sent.groupBy("lang", "t", "a", "b").applyInArrow(cell_sums, "lang string, i int, j int, value long, met long")
+    parts = sent.groupBy("lang", "t", "a", "b").applyInArrow(cell_sums(GROUPS), "lang string, i int, j int, value long, met long")
     sums = parts.groupBy("lang", "i", "j").agg(F.sum("value").alias("sum"), F.sum("met").alias("met"))
     end = lambda n: groups.select("lang", F.col("g").alias(n), F.col("source").alias(f"{n}_source"), F.col("p0").alias(f"{n}_p0"))
     both = sums.join(end("i").join(groups.where("g = 0").select("lang", "terms"), "lang"), ["lang", "i"]).join(end("j"), ["lang", "j"])

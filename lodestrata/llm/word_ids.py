@@ -63,7 +63,7 @@ class Memory:
 class WordIds:
     """Little-endian 32-bit ids of whole texts. Bounded by `held` distinct words, and as many parts of words, twice."""
 
-    def __init__(self, path: str, held: int = 500_000):
+    def __init__(self, path: str, held: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
@@ -111,7 +111,7 @@ class WordIds:
             of = self.parts.known.__getitem__
             known.update((w, of(own[0]) if len(own) == 1 else b"".join(map(of, own))) for w, own in zip(some, cut, strict=True))
 
-    def encode(self, texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of runs of texts, of about `most` bytes each, and their counts by text; null and empty texts have none."""
         texts = texts.cast(pa.large_string()).fill_null("")
         sums = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])

@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_stages_keep_the_columns_and_clean_documents(spark):
