@@ -60,16 +60,28 @@ def fingerprints(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
 
 
 def windows(lines: DataFrame, guarantee: int) -> DataFrame:
-    """A row per shortest run of whole lines with `guarantee` words that begins, or ends, at a line: doc_id, text_hash, line, gram."""
+    """A row per shortest run of whole lines with `guarantee` words that begins, or ends, at a line: doc_id, text_hash, line, gram.
+
+    Lines without words before a line are one digest, of their contents in order: a run of them, however long, costs no more than a line.
+    """
     rows = lines.withColumn("total", F.sum("words").over(W.partitionBy(*KEY))).where(F.col("total") >= guarantee)
-    rows = rows.withColumn("end", F.col("start") + F.col("words")).withColumn("item", F.struct("line", "hash"))
-    blank = F.when(F.col("words") > 0, 0).otherwise(1)  # a blank line comes just before the next words, and just after the last ones
-    rows = rows.withColumn("begins", 2 * F.col("start") - blank).withColumn("ends", 2 * F.col("end") + blank)
-    within = lambda key, a, b: F.transform(F.array_sort(F.collect_list("item").over(W.partitionBy(*KEY).orderBy(key).rangeBetween(a, b))), lambda x: x["hash"])
-    span = 2 * (guarantee - 1)
-    rows = rows.withColumn("on", F.when(F.col("total") - F.col("start") >= guarantee, F.xxhash64(F.lit(0), within("begins", 0, span))))
-    rows = rows.withColumn("back", F.when(F.col("end") >= guarantee, F.xxhash64(F.lit(1), within("ends", -span, 0))))
-    return rows.where("words > 0").select(*KEY, "line", F.explode(F.array("on", "back")).alias("gram")).where("gram is not null")
+    # lines without words have the `start` of the next line with words
+    place = F.col("line") - F.min("line").over(W.partitionBy(*KEY, "start"))
+    blank, worded = F.col("words") == 0, F.struct("line", "hash", "words", "total")
+    rows = rows.withColumn("place", place).groupBy(*KEY, "start").agg(
+        F.count(F.when(blank, 1)).alias("n_blank"),
+        F.bit_xor(F.when(blank, F.xxhash64("place", "hash"))).alias("blanks"),
+        F.max(F.when(~blank, worded)).alias("own"),
+    )
+    rows = rows.where("own is not null").select(*KEY, "start", "own.*", F.xxhash64("n_blank", "blanks", "own.hash").alias("link"))
+    rows = rows.withColumn("end", F.col("start") + F.col("words")).withColumn("item", F.struct("hash", "link"))
+    run = lambda key, a, b: F.collect_list("item").over(W.partitionBy(*KEY).orderBy(key).rangeBetween(a, b))
+    rows = rows.withColumns({"ahead": run("start", 0, guarantee - 1), "behind": run("end", 1 - guarantee, 0)})
+    links = lambda c: F.transform(F.slice(c, 2, F.size(c)), lambda x: x["link"])  # noqa: E731  what is before the first line does not count
+    gram = lambda side, c: F.xxhash64(F.lit(side), F.get(c, F.lit(0))["hash"], links(c))
+    rows = rows.withColumn("on", F.when(F.col("total") - F.col("start") >= guarantee, gram(0, "ahead")))
+    rows = rows.withColumn("back", F.when(F.col("end") >= guarantee, gram(1, "behind")))
+    return rows.select(*KEY, "line", F.explode(F.array("on", "back")).alias("gram")).where("gram is not null")
 
 
 def with_first(places: DataFrame) -> DataFrame:

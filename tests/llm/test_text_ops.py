@@ -235,6 +235,16 @@ def test_a_run_goes_to_its_last_line_and_across_blank_ones(spark):
     assert got[1] == [long, "other words"] and got[3] == ["c c"] and got[4] == [more, "", more + " x"] and got[6] == ["f f"]
 
 
+def test_long_runs_of_blank_lines_count_by_their_contents(spark):
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(35))
+    a, b, many = words("a"), words("b"), [""] * 100_000
+    rows = [(1, [a, *many, b]), (2, ["x x", a, *many, b]), (3, [a, *many, "", b]), (4, [a, *many[1:], " ", b]), (5, ["y y", *many, a, *many, b, *many])]
+    d = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    left = {r.doc_id: [w for w in r.text.split("\n") if w.strip()] for r in line_dedup.dedup_lines(d, noise=50).collect()}
+    # the run goes where the blank lines between its lines are the same, whatever stands around it
+    assert left == {1: [a, b], 2: ["x x"], 3: [a, b], 4: [a, b], 5: ["y y"]}
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.columns == odd.columns and got.count() == odd.count() and line_dedup.dedup_lines(none).count() == 0
