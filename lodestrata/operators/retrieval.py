@@ -10,13 +10,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import normalize_query, normalized_phrase, tokenize
+from lodestrata.operators import lexical
+from lodestrata.sources.staging import in_rounds, staged
 
 # --- fixed values ---
 EMBEDDING_STOP_WORDS = ["a", "an", "and", "are", "document", "documents", "find", "for", "in", "is", "my", "of", "on", "the", "this", "to", "what"]
@@ -146,40 +146,24 @@ def nearest(k: int) -> Callable:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, owners: list | None = None, block: int = 1024) -> DataFrame:
     """VEC2/JOI2: query_id, vector_id, distance, rank of the k nearest vectors of each query, exactly.
 
-    Vectors and queries are packed into blocks, queries by a hash of their contents into numbered ones. Each block of vectors meets
-    each block of queries once, and only k rows a query and task are shuffled for the final rank. Lengths that differ give distance 2, a zero vector 1.
-    Distances are rounded to the 12th place: equal vectors are ties wherever they stand in a block.
+    Vectors and queries are packed into blocks. Blocks of queries are broadcast, a bounded number of bytes at a time, so each block of
+    vectors meets them in the task that holds it: the work is spread as the vectors are, and only k rows a query and task are shuffled
+    for the final rank. Lengths that differ give distance 2, a zero vector 1. Distances are rounded to the 12th place: equal vectors are
+    ties wherever they stand in a block.
     """
     vectors = filter_owners(vectors, owners, "owner_id")
-    count = -(-queries.count() // block)
-    slim = queries.select(F.col("query_id").cast("string").alias("id"), "embedding")
-    asked = blocks(slim.withColumn("block", F.pmod(F.xxhash64("id", "embedding"), F.lit(max(count, 1))).cast("int")).repartition("block"), "q_names", "q_values", block)
-    held = blocks(vectors.select(F.col("vector_id").cast("string").alias("id"), "embedding", F.lit(0).alias("block")), "v_names", "v_values", block).select("v_names", "v_values", F.col("dim").alias("v_dim"))
-    sent = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1))))
-    found = sent.join(asked, "block").mapInPandas(nearest(k), "query_id string, vector_id string, distance double")
+    slim = lambda df, key: df.select(F.col(key).cast("string").alias("id"), "embedding", F.lit(0).alias("block"))
+    asked, rounds = in_rounds(blocks(slim(queries, "query_id"), "q_names", "q_values", block).drop("block"), F.octet_length("q_values"), "queries")
+    held = blocks(slim(vectors, "vector_id"), "v_names", "v_values", block).select("v_names", "v_values", F.col("dim").alias("v_dim"))
+    if rounds > 1:
+        held = staged(held, "vectors", 16)
+    kind = "query_id string, vector_id string, distance double"
+    found = queries.sparkSession.createDataFrame([], kind)
+    for r in range(rounds):
+        found = found.unionByName(held.crossJoin(F.broadcast(asked.where(F.col("round") == r))).mapInPandas(nearest(k), kind))
     return rank_candidates(found, [F.col("distance"), F.col("vector_id")], k)
 
 
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.3, tables: int = 8, reach: float = 2.0, seed: int = 3) -> DataFrame:
-    """VEC3: candidates by random projections of unit vectors, scored exactly; `reach` bounds their Euclidean distance."""
-    unit = lambda df, key, name: df.where(F.size("embedding") > 0).select(F.col(key).cast("string").alias(key), array_to_vector(F.transform("embedding", lambda x: x / norm(F.col("embedding")))).alias("unit")).where(F.col(key).isNotNull())
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
-    held = unit(vectors, "vector_id", "v")
-    model = lsh.fit(held)
-    near = model.approxSimilarityJoin(unit(queries, "query_id", "q"), held, reach, distCol="euclid")
-    found = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vector_id").alias("vector_id"), (F.col("euclid") ** 2 / 2).alias("distance"))
-    return rank_candidates(found, [F.col("distance"), F.col("vector_id")], k)
-
-
-def norm(v: Column) -> Column:
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(length > 0, length).otherwise(1.0)
-
-
-#: Terms of queries that may be broadcast, about 60 bytes each.
-BROADCAST_TERMS = 500_000
-
-
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, length, token, tf."""
     tokens = chunks.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
@@ -207,19 +191,13 @@ def raw_idf() -> Column:
     return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-    """LEX2: query_id, chunk_id, score, rank. Repeated query tokens count again; only chunks that share a token are candidates."""
-    tf = postings(chunks)
-    vocabulary = vocabulary_of(tf)
-    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    # the condition, which always holds, keeps the column: so both uses of the vocabulary have the same exchanges, and texts are tokenised once
-    known = asked.join(vocabulary.where("tokens > 0"), "token").crossJoin(F.broadcast(stats_of(chunks, vocabulary)))
-    weight = F.when(raw_idf() < 0, epsilon * F.col("mean_idf")).otherwise(raw_idf())
-    terms = known.select("query_id", "token", "times", "avg_length", weight.alias("weight"))
-    part = F.col("times") * F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)  # then frequent tokens are joined wherever their postings lie
-    scores = tf.join(terms, "token").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = K1, b: float = B, epsilon: float = EPSILON, tokens: DataFrame | None = None) -> DataFrame:
+    """LEX2: query_id, chunk_id, score, rank. Repeated query tokens count again; only chunks that share a token are candidates.
+
+    tokens: those of chunks, as lexical.stage_tokens gives them, if they are staged already.
+    """
+    tokens = lexical.stage_tokens(chunks) if tokens is None else tokens
+    scores = lexical.best_chunks(queries, tokens, tokenize(F.col("text")), k, k1, b, epsilon)
     return rank_candidates(scores, [F.desc(F.round("score", 9)), F.col("chunk_id")], k)  # sums in another order are still ties
 
 
@@ -236,17 +214,19 @@ def rrf(vector: DataFrame, lexical: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
 
 
 def rerank(queries: DataFrame, fused: DataFrame, k: int = RERANK_TOP_K) -> DataFrame:
-    """RRK1: fused candidates with their `text`, by coverage, identifiers, phrase and fusion score."""
-    asked = queries.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("q"), normalized_phrase(F.col("text")).alias("phrase"))
+    """RRK1: fused candidates with their `text`, or `tokens` and `phrase`, by coverage, identifiers, phrase and fusion score."""
+    if "tokens" not in fused.columns:
+        fused = fused.withColumns({"tokens": tokenize(F.col("text")), "phrase": normalized_phrase(F.col("text"))})
+    asked = queries.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("q"), normalized_phrase(F.col("text")).alias("asked"))
     asked = asked.withColumn("ids", F.filter("q", lambda t: t.rlike("[0-9]")))
-    found = fused.join(asked, "query_id").withColumn("d", tokenize(F.col("text")))
-    share = lambda part: F.size(F.array_intersect(part, "d")) / F.size(part)
+    found = fused.join(asked, "query_id")
+    share = lambda part: F.size(F.array_intersect(part, "tokens")) / F.size(part)
     found = found.withColumn("query_coverage", F.when(F.size("q") > 0, share(F.col("q"))).otherwise(0.0))
-    found = found.withColumn("exact_phrase", (F.col("phrase") != "") & F.contains(normalized_phrase(F.col("text")), F.col("phrase")))
+    found = found.withColumn("exact_phrase", (F.col("asked") != "") & F.contains("phrase", "asked"))
     top = F.max("rrf_score").over(W.partitionBy("query_id"))
     identifiers = F.when(F.size("ids") > 0, share(F.col("ids"))).otherwise(F.col("query_coverage"))
     score = F.least(F.lit(1.0), 0.55 * F.col("query_coverage") + 0.20 * identifiers + 0.15 * F.col("exact_phrase").cast("double") + 0.10 * F.when(top > 0, F.col("rrf_score") / top).otherwise(0.0))
-    scored = found.withColumn("score", score).drop("q", "d", "ids", "phrase", "rank")
+    scored = found.withColumn("score", score).drop("q", "ids", "asked", "tokens", "phrase", "rank")
     return rank_candidates(scored, [F.desc(F.round("score", 9)), F.desc("rrf_score"), F.col("chunk_id")], k)
 
 
@@ -269,16 +249,22 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", e
     chunks = filter_owners(chunks, owners)
     vectors = embeddings if embeddings is not None else embed_hashed(chunks.select(F.col("chunk_id").alias("vector_id"), "text"), "text", dim).drop("text")
     near = knn(embed_hashed(asked, "text", dim), vectors, VECTOR_TOP_K).select("query_id", F.col("vector_id").alias("chunk_id"), "distance")
-    vector = similarity_floor(resolve_matches(near, chunks.select("chunk_id"), "chunk_id"), MIN_SIMILARITY)
+    # the lists are small, and each is read several times
+    vector = staged(similarity_floor(resolve_matches(near, chunks.select("chunk_id"), "chunk_id"), MIN_SIMILARITY), "vector-list")
     stages = [vector.select("query_id", "chunk_id", "score", "rank", F.lit("vector").alias("stage"))]
     if mode == "vector_only":
         found = vector.join(chunks, "chunk_id")
     else:
-        lexical = bm25(asked, chunks, LEXICAL_TOP_K).select(F.col("query_id").cast("string").alias("query_id"), "chunk_id", "score", "rank")
-        fused = rrf(vector, lexical)
-        ordered = rerank(asked.withColumn("query_id", F.col("query_id").cast("string")), fused.join(chunks.select("chunk_id", "text"), "chunk_id"))
-        found = ordered.drop("text").join(chunks, "chunk_id")
-        stages += [lexical.withColumn("stage", F.lit("lexical")), fused.select("query_id", "chunk_id", F.col("rrf_score").alias("score"), "rank", F.lit("fused").alias("stage")), ordered.select("query_id", "chunk_id", "score", "rank", F.lit("reranked").alias("stage"))]
+        tokens = lexical.stage_tokens(chunks)
+        words = bm25(asked, chunks, LEXICAL_TOP_K, tokens=tokens)
+        words = staged(words.select(F.col("query_id").cast("string").alias("query_id"), "chunk_id", "score", "rank"), "lexical-list")
+        fused = rrf(vector, words)
+        ordered = rerank(asked.withColumn("query_id", F.col("query_id").cast("string")), fused.join(tokens, "chunk_id"))
+        ordered = staged(ordered, "reranked-list")
+        found = ordered.join(chunks, "chunk_id")
+        stages.append(words.withColumn("stage", F.lit("lexical")))
+        stages.append(fused.select("query_id", "chunk_id", F.col("rrf_score").alias("score"), "rank", F.lit("fused").alias("stage")))
+        stages.append(ordered.select("query_id", "chunk_id", "score", "rank", F.lit("reranked").alias("stage")))
     final = select_context(found, min(top_k, FINAL_TOP_K))
     if not debug:
         return final

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as tx
-from lodestrata.operators import corpus, evaluate, media, retrieval
+from lodestrata.operators import corpus, evaluate, media, neighbours, retrieval
 from lodestrata.plans.common import query, rounded, spread, table
 from lodestrata.sources.tables import pages_from_text
 
@@ -99,11 +99,15 @@ def vector_tables(spark, d):
 
 @query()
 def knn_approx_recall(spark, d):
-    """The share of the exact neighbours that the approximate search finds, of every query."""
+    """Of every query: the share of the exact neighbours that the approximate search finds, and the shares of all vectors that it estimates and scores."""
     queries, vectors = vector_tables(spark, d)
-    exact, near = retrieval.knn(queries, vectors, 10), retrieval.knn_approx(queries, vectors, 10)
+    index = neighbours.build_index(vectors, 10)
+    exact, near = retrieval.knn(queries, vectors, 10), neighbours.search(index, queries, vectors, 10)
     met = exact.select("query_id", "vector_id").join(near.select("query_id", "vector_id", F.lit(1).alias("found")), ["query_id", "vector_id"], "left")
-    return met.groupBy("query_id").agg(F.round(F.count("found") / F.count("*"), 4).alias("recall"))
+    recall = met.groupBy("query_id").agg(F.round(F.count("found") / F.count("*"), 4).alias("recall"))
+    share = lambda c: F.round(F.col(c) / F.col("n"), 4).alias(f"{c}_share")
+    every = recall.join(neighbours.work(index, queries), "query_id").crossJoin(F.broadcast(vectors.agg(F.count("*").alias("n"))))
+    return every.select("query_id", "recall", share("estimated"), share("scored"))
 
 
 STATS = f"""t AS (SELECT doc_id, {TOKENS} AS tokens FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS token FROM t),

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import evaluate as ev
+from lodestrata.operators import neighbours as n
 from lodestrata.operators import retrieval as r
+from lodestrata.sources import staging
 
 
 def chunks(spark, texts):
@@ -82,12 +84,65 @@ def test_neighbours_against_brute_force(spark, parts):
 
 def test_approximate_neighbours_are_exactly_scored(spark):
     rng = np.random.default_rng(3)
-    vs = spark.createDataFrame([(f"v{i}", (rng.normal(size=4)).tolist()) for i in range(200)], "vector_id string, embedding array<double>")
-    qs = vs.limit(5).select(F.col("vector_id").alias("query_id"), "embedding")
-    exact = {(x.query_id, x.vector_id): x.distance for x in r.knn(qs, vs.withColumn("owner_id", F.lit("o")), 5).collect()}
-    near = {(x.query_id, x.vector_id): x.distance for x in r.knn_approx(qs, vs, 5).collect()}
+    centres = rng.normal(size=(12, 10))
+    rows = [(f"v{i}", (centres[i % 12] + 0.3 * rng.normal(size=10)).tolist()) for i in range(600)]
+    odd = [("zero", [0.0] * 10), ("short", [1.0]), ("none", []), ("null", None), ("nan", [float("nan")] * 10)]
+    vs = spark.createDataFrame(rows + odd, "vector_id string, embedding array<double>").repartition(3)
+    qs = spark.createDataFrame(rows[::60] + [("z", [0.0] * 10), ("s", [2.0]), ("far", (-centres.sum(0)).tolist())], "query_id string, embedding array<double>")
+    index = n.build_index(vs, 5, parts=5)
+    assert index.packets.agg(F.sum("n")).first()[0] == 600  # every row with a direction is indexed
+    table = lambda df: {(x.query_id, x.vector_id): x.distance for x in df.collect()}
+    exact, near = table(r.knn(qs, vs, 5)), table(n.search(index, qs, vs, 5))
     met = exact.keys() & near.keys()
-    assert len(met) >= 0.8 * len(exact) and all(abs(exact[k] - near[k]) < 1e-6 for k in met)
+    assert len(near) == len(exact) and len(met) >= 0.9 * len(exact) and all(abs(exact[k] - near[k]) < 1e-9 for k in met)
+    assert {k: v for k, v in near.items() if k[0] in "zs"} == {k: v for k, v in exact.items() if k[0] in "zs"}
+    costs = n.work(index, qs).collect()
+    assert len(costs) == 11 and all(x.scored < 0.1 * 600 and x.estimated < 0.5 * 600 for x in costs)
+
+
+def test_an_index_of_nothing_and_of_one_row(spark):
+    none = spark.createDataFrame([], "vector_id string, embedding array<double>")
+    one = spark.createDataFrame([("a", [1.0, 0.0])], "vector_id string, embedding array<double>")
+    qs = spark.createDataFrame([("q", [1.0, 1.0])], "query_id string, embedding array<double>")
+    assert n.knn_approx(qs, none, 3).count() == 0 and n.knn_approx(qs.where("false"), one, 3).count() == 0
+    assert [(x.vector_id, round(x.distance, 6), x["rank"]) for x in n.knn_approx(qs, one, 3).collect()] == [("a", 0.292893, 1)]
+
+
+def test_codes_keep_what_they_stand_for():
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(300, 7))
+    q = n.fit(points, 4, 3, 0)
+    lists = q.assign(points)
+    codes = q.encode(points, lists)
+    for which in range(4):
+        own = lists == which
+        exact = ((points[:5, None, :] - points[own][None]) ** 2).sum(2)
+        assert np.abs(q.estimates(points[:5], which, codes[own]) - exact).max() < 0.6 * exact.max()
+
+
+def test_work_is_spread_without_broadcast_joins(spark):
+    """Blocks of vectors are searched where they lie, also with broadcasts and adaptive execution off and few queries."""
+    rng = np.random.default_rng(6)
+    vs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(8000)], "vector_id long, embedding array<double>").repartition(8)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = r.knn(vs.limit(20).select(F.col("vector_id").alias("query_id"), "embedding"), vs, 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and found.count() == 60
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_queries_in_many_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(90)], "vector_id long, embedding array<double>")
+    qs = vs.where("vector_id < 25").select(F.col("vector_id").alias("query_id"), "embedding")
+    want = sorted(map(tuple, r.knn(qs, vs, 4, block=6).collect()))
+    monkeypatch.setattr(staging, "ROUND_BYTES", 200)
+    assert sorted(map(tuple, r.knn(qs, vs, 4, block=6).collect())) == want and len(want) == 100
 
 
 def test_hashed_embeddings():
@@ -151,8 +206,10 @@ def test_nearest_of_queries_in_any_order_and_partitions(spark):
         assert [v for q_id, _, v in want if q_id == str(i)] == [n for _, n in near]
 
 
-def test_approximate_neighbours_are_found(spark):
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_approximate_neighbours_are_found(spark, scale):
     from lodestrata.plans.registry import QUERIES
 
-    found = [x.recall for x in QUERIES["knn_approx_recall"](spark, "/root/testdata/sf0.001").collect()]
-    assert sum(found) >= 0.9 * len(found) > 0
+    found = QUERIES["knn_approx_recall"](spark, f"/root/testdata/{scale}").collect()
+    assert sum(x.recall for x in found) >= 0.9 * len(found) > 0
+    assert sum(x.scored_share for x in found) < 0.1 * len(found)
