@@ -60,14 +60,16 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_rows: in
         at = at.select("*", F.explode_outer(F.array(*[F.lit(x) for x in lengths])).alias("length"))
     fits = (F.col("at") >= 0) & (F.col("at") + F.col("length") <= F.col("n_words"))
     h = reduce(lambda rest, x: F.when(F.col("length") == x, hash_at(x)).otherwise(rest), lengths[1:], hash_at(lengths[0]))
-    at = at.withColumn("h", F.when(fits, h))
+    # documents' own rows have keys of their own and a length of no window, so that they are spread and match nothing
+    at = at.where(fits | ((F.col("at") == -1) & (F.col("length") == lengths[0])))
+    at = at.withColumn("h", F.when(fits, h).otherwise(F.xxhash64("doc_id", "text_hash")))
+    length = F.when(F.col("at") >= 0, F.col("length")).otherwise(-1)
     own = F.when(F.col("at") >= 0, F.slice("words", F.col("at") + 1, F.col("length"))).alias("own")
     if not small:  # a shuffle follows: it carries each position's own words, not those of the whole text
         at = at.select("doc_id", "text_hash", "n_words", "at", "h", "length", F.when(fits, own).alias("own"))
         own = F.col("own")
-    seen = at.join(hashes.withColumn("known", F.lit(True)), ["h", "length"], "left")
-    seen = seen.where(F.col("known") | ((F.col("at") == -1) & (F.col("length") == lengths[0])))
-    seen = seen.select("doc_id", "text_hash", "n_words", "at", "h", "length", own)
+    seen = at.withColumn("length", length).join(hashes.withColumn("known", F.lit(True)), ["h", "length"], "left")
+    seen = seen.where(F.col("known") | (F.col("at") == -1)).select("doc_id", "text_hash", "n_words", "at", "h", "length", own)
     hit = seen.join(windows.select("h", "length", "window", "items"), ["h", "length"], "left")
     sure = F.col("own") == F.col("window")
     by_doc = hit.groupBy("doc_id", "text_hash").agg(

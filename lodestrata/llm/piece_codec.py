@@ -16,6 +16,7 @@ The model's path is a parameter; it must be readable where tasks run, as install
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import heapq
@@ -279,12 +280,12 @@ class Vocabulary:
         return "".join(out) + (lenient(bytes(raw)) if raw else "")
 
 
+codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))
+
+
 def lenient(raw: bytes) -> str:
     """UTF-8 with U+FFFD for each byte that starts no valid character."""
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError as e:
-        return raw[: e.start].decode("utf-8") + "�" + lenient(raw[e.start + 1 :])
+    return raw.decode("utf-8", "each_byte")
 
 
 def sha256(s: str) -> str:

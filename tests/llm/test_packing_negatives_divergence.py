@@ -163,7 +163,7 @@ def brute_negatives(rows, is_anchor, grid, k, n, share=(80, 100)):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block,chunk,rounds", [(3, 7, 64 << 20), (512, 2048, 64 << 20), (2, 50, 1)])
+@pytest.mark.parametrize("block,chunk,rounds", [(3, 7, 64 << 20), (512, 2048, 64 << 20), (9, 50, 1)])
 def test_negatives_against_brute_force(spark, monkeypatch, block, chunk, rounds):
     monkeypatch.setattr(hard_negatives, "BROADCAST_BYTES", rounds)
     rng = np.random.default_rng(block)
