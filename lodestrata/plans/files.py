@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,21 +11,11 @@ from lodestrata.plans.common import query, spread, table
 from lodestrata.plans.search import ALL, vector_tables
 from lodestrata.sources import store
 from lodestrata.sources import tables as src
+from lodestrata.sources.staging import new_path
 from lodestrata.streaming import events as ev
 from lodestrata.streaming.state import ingest_stream
 
 
-def new_path(spark, name: str) -> str:
-    """A path of its own in the folder that driver and executors share: spark.checkpoint.dir, or on one machine a temporary one."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not home:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        home = spark.sparkContext.getCheckpointDir()
-    return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS segment, 'of "' || lower(c_mktsegment) || '", so' AS note FROM customer""")
 def csv_dataset(spark, d):
     """Customers as strict CSV files, with blanks, quotes and commas, read back as text."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.plans.common import query, table
+from lodestrata.sources.staging import new_path
 from lodestrata.streaming import events as ev
+from lodestrata.streaming import state
 
 KINDS = {"signup": "request.started", "view": "route.selected", "click": "retrieval.completed", "purchase": "response.completed", "error": "error"}
 SEQ = """s AS (SELECT *, CAST(user_id AS VARCHAR) AS request_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS sequence, CASE event_type WHEN 'signup' THEN 'request.started' WHEN 'view' THEN 'route.selected' WHEN 'click' THEN 'retrieval.completed' WHEN 'purchase' THEN 'response.completed' ELSE 'error' END AS type,
@@ -30,15 +33,60 @@ def check_sequences(spark, d):
     return ev.check_sequences(requests(spark, d))
 
 
-@query(f"""WITH {SEQ} SELECT request_id, CASE arg_max(type, sequence) WHEN 'request.started' THEN 'Thinking' WHEN 'route.selected' THEN CASE WHEN arg_max(route, sequence) = 'data_analytics' THEN 'Analyzing Data' ELSE 'Routing' END
+FOLD = f"""WITH {SEQ} SELECT request_id, CASE arg_max(type, sequence) WHEN 'request.started' THEN 'Thinking' WHEN 'route.selected' THEN CASE WHEN arg_max(route, sequence) = 'data_analytics' THEN 'Analyzing Data' ELSE 'Routing' END
   WHEN 'retrieval.completed' THEN CASE WHEN arg_max(v, sequence) % 2 = 0 THEN 'Searching Documents' ELSE 'Searching Video' END WHEN 'response.completed' THEN 'Complete' ELSE 'Error' END AS phase,
-  arg_max(route, sequence) FILTER (type = 'route.selected') AS route, coalesce(arg_max('answer ' || event_id, sequence) FILTER (type = 'response.completed'), '') AS answer, arg_max('failed ' || event_id, sequence) FILTER (type = 'error') AS error, CAST(count(*) AS INTEGER) AS n_activity FROM s GROUP BY 1""")
+  arg_max(route, sequence) FILTER (type = 'route.selected') AS route, coalesce(arg_max('answer ' || event_id, sequence) FILTER (type = 'response.completed'), '') AS answer, arg_max('failed ' || event_id, sequence) FILTER (type = 'error') AS error, CAST(count(*) AS INTEGER) AS n_activity FROM s GROUP BY 1"""
+
+
+@query(FOLD)
 def fold_requests(spark, d):
     return ev.fold_requests(ev.distinct_events(requests(spark, d))).select("request_id", "phase", "route", "answer", "error", F.size("activity").alias("n_activity"))
 
 
-@query(f"""WITH {SEQ}, p AS (SELECT request_id, max(route) FILTER (type = 'route.selected') AS route, sum(v) FILTER (type = 'retrieval.completed') AS r, max(v) FILTER (type = 'response.completed') AS t, max(0) FILTER (type = 'response.completed') AS c, count(*) FILTER (type = 'error') AS e FROM s GROUP BY 1)
-SELECT route, count(*) AS requests, coalesce(sum(r), 0)::BIGINT AS candidates, coalesce(sum(r), 0)::BIGINT AS retrieval_ms, coalesce(sum(t), 0)::BIGINT AS total_ms, coalesce(sum(c), 0)::BIGINT AS citations, 0::BIGINT AS rewrites, sum(e)::BIGINT AS errors FROM p GROUP BY 1""")
+METRICS = f"""WITH {SEQ}, p AS (SELECT request_id, max(route) FILTER (type = 'route.selected') AS route, sum(v) FILTER (type = 'retrieval.completed') AS r, max(v) FILTER (type = 'response.completed') AS t, max(0) FILTER (type = 'response.completed') AS c, count(*) FILTER (type = 'error') AS e FROM s GROUP BY 1)
+SELECT route, count(*) AS requests, coalesce(sum(r), 0)::BIGINT AS candidates, coalesce(sum(r), 0)::BIGINT AS retrieval_ms, coalesce(sum(t), 0)::BIGINT AS total_ms, coalesce(sum(c), 0)::BIGINT AS citations, 0::BIGINT AS rewrites, sum(e)::BIGINT AS errors FROM p GROUP BY 1"""
+
+
+def in_arrival(spark, d, files: int = 6) -> DataFrame:
+    """The requests' events as a stream of files, in an order other than that of time."""
+    path = new_path(spark, "arrivals")
+    requests(spark, d).repartition(files, F.xxhash64("request_id", "sequence")).write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def run_stream(stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stream gives until its input ends, with the micro-batch in which it came."""
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, "stream")
+
+    def keep(df: DataFrame, batch: int) -> None:  # a batch that is run again replaces what it left
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).trigger(availableNow=True)
+    writer.option("checkpointLocation", new_path(spark, "progress")).start().awaitTermination()
+    return spark.read.schema(f"{ddl(stream)}, batch int").parquet(path)
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+@query(FOLD)
+def fold_requests_stream(spark, d):
+    """The last state that the stream gives of each request."""
+    state.use_rocksdb(spark)
+    out = run_stream(state.fold_requests_stream(in_arrival(spark, d), None), "update")
+    newest = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("batch")))
+    last = out.withColumn("n", newest).where("n = 1")
+    return last.select("request_id", "phase", "route", "answer", "error", F.size("activity").alias("n_activity"))
+
+
+@query(METRICS)
+def request_metrics_stream(spark, d):
+    state.use_rocksdb(spark)
+    return state.route_totals(run_stream(state.request_metrics_stream(in_arrival(spark, d), None), "append"))
+
+
+@query(METRICS)
 def request_metrics(spark, d):
     return ev.request_metrics(requests(spark, d))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.sources.staging import staged
+
 # --- fixed values: event types, fields and limits ---
 ROUTES = ["document_search", "video_search", "data_analytics", "direct_answer"]
 TOOLS = ["document_search", "video_search"]
@@ -22,6 +24,8 @@ EVENT = (
     "result struct<decision: string, groundedness_score: double, citation_coverage: double, schema_valid: boolean>, rewrite_count int, final_response string, citations array<" + CITATION + ">, citation_count int, "
     "components array<string>, code string, message string, retryable boolean"
 )
+PHASES = {"request.started": "Thinking", "generation.started": "Synthesizing", "generation.token": "Synthesizing", "guardrail.completed": "Validating", "response.completed": "Complete", "error": "Error"}
+LABELS = {"request.started": "Request accepted", "route.selected": "Route selected", "retrieval.started": "Evidence search started", "retrieval.completed": "Evidence search completed", "generation.started": "Answer synthesis started", "genui.created": "Visual output validated", "guardrail.completed": "Sentinel validation completed", "response.completed": "Response completed", "error": "Request stopped"}
 LIMIT, WINDOW_MS, TIMEOUT_SECONDS = 30, 60_000, 120
 # --- end of fixed values ---
 
@@ -96,16 +100,16 @@ FOLDED = ["phase", "route", "answer", "citations", "decision", "groundedness", "
 
 def phase_of(kind: Column, tool: Column, route: Column) -> Column:
     searching = F.when(tool == "document_search", "Searching Documents").otherwise("Searching Video")
-    return (
-        F.when(kind == "request.started", "Thinking").when(kind == "route.selected", F.when(route == "data_analytics", "Analyzing Data").otherwise("Routing")).when(kind.isin("retrieval.started", "retrieval.completed"), searching)
-        .when(kind.isin("generation.started", "generation.token"), "Synthesizing").when(kind == "guardrail.completed", "Validating").when(kind == "response.completed", "Complete").when(kind == "error", "Error")
-    )
+    out = F.when(kind == "route.selected", F.when(route == "data_analytics", "Analyzing Data").otherwise("Routing"))
+    out = out.when(kind.isin("retrieval.started", "retrieval.completed"), searching)
+    for name, phase in PHASES.items():
+        out = out.when(kind == name, phase)
+    return out
 
 
 def label_of(kind: Column) -> Column:
-    names = {"request.started": "Request accepted", "route.selected": "Route selected", "retrieval.started": "Evidence search started", "retrieval.completed": "Evidence search completed", "generation.started": "Answer synthesis started", "genui.created": "Visual output validated", "guardrail.completed": "Sentinel validation completed", "response.completed": "Response completed", "error": "Request stopped"}
     out = F.lit(None).cast("string")
-    for k, v in names.items():
+    for k, v in LABELS.items():
         out = F.when(kind == k, v).otherwise(out)
     return out
 
@@ -164,25 +168,94 @@ def jumps(ms: np.ndarray, limit: int, window_ms: int) -> tuple[np.ndarray, np.nd
     return count <= limit, np.maximum(0, limit - count), reset
 
 
-def rate_limit(events: DataFrame, key: str, limit: int = LIMIT, window_ms: int = WINDOW_MS, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+#: Rows of a key from which on it is cut into ranges of time of about as many.
+HOT_ROWS = 1_000_000
+
+
+def time_bounds(slim: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """hot_key, bounds: times that cut each key of more than hot_rows rows into ranges of about as many; there are few such keys."""
+    counts = slim.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows).withColumnRenamed(key, "hot_key")
+    counts = staged(counts, "hot-keys")
+    most = counts.agg(F.max("rows")).first()[0]
+    if most is None:
+        return counts.select("hot_key", F.array().cast("array<bigint>").alias("bounds"))
+    cuts = -(-most // hot_rows)
+    shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    own = slim.join(F.broadcast(counts), F.col(key).eqNullSafe(F.col("hot_key")))
+    return staged(own.groupBy("hot_key").agg(F.array_distinct(F.percentile_approx("ms", shares, max(10_000, 20 * cuts))).alias("bounds")), "time-bounds")
+
+
+def transition(ms: np.ndarray, window_ms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a range of sorted times does to the window that is open before it.
+
+    Times up to which that window may last, and for each when the last window of the range then opens and how many times are in it. A
+    window that lasts beyond the last of them has the whole range in it.
+    """
+    n = len(ms)
+    follows = np.searchsorted(ms, ms + window_ms, side="left")
+    last = np.where(follows < n, follows, np.arange(n))  # the window that opens next, or itself
+    for _ in range(int(n).bit_length()):
+        last = last[last]
+    starts = np.arange(min(n, int(follows[0]) + 1))  # a window from before the first time ends in these at the latest
+    keep = np.append(last[starts][1:] != last[starts][:-1], True)
+    return ms[starts][keep], ms[last[starts]][keep], n - last[starts][keep]
+
+
+def states_before(ranged: DataFrame, key: str, window_ms: int) -> DataFrame:
+    """hot_key, hot_range, opened, used: the window that is open before each range of a hot key, by its ranges' transitions in turn."""
+    kind = dict(ranged.dtypes)[key]
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        until, opened, used = transition(np.sort(rows["ms"].to_numpy()), window_ms)
+        return pd.DataFrame({"hot_key": rows[key].iloc[:1], "hot_range": rows["range"].iloc[:1], "n": len(rows), "until": [until], "opened": [opened], "used": [used]})
+
+    def chained(rows: pd.DataFrame) -> pd.DataFrame:
+        opened, used, out = None, 0, []
+        for r in rows.sort_values("hot_range").itertuples():
+            out.append((r.hot_key, r.hot_range, opened, used))
+            at = 0 if opened is None else int(np.searchsorted(r.until, opened + window_ms, side="left"))
+            if at < len(r.until):
+                opened, used = int(r.opened[at]), int(r.used[at])
+            else:
+                used += r.n
+        return pd.DataFrame(out, columns=["hot_key", "hot_range", "opened", "used"]).astype({"opened": "Int64"})
+
+    hot = ranged.where("hot").select(key, "range", "ms")
+    parts = hot.groupBy(key, "range").applyInPandas(summed, f"hot_key {kind}, hot_range int, n long, until array<bigint>, opened array<bigint>, used array<bigint>")
+    return parts.groupBy("hot_key").applyInPandas(chained, f"hot_key {kind}, hot_range int, opened long, used long")
+
+
+def rate_limit(events: DataFrame, key: str, limit: int = LIMIT, window_ms: int = WINDOW_MS, ts: str = "ts", tie: str = "event_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """STM3: events with allowed, remaining, reset_at of a fixed window per key that opens with its first request.
 
-    Keys are ranged over sorted partitions and read as a stream, so a key's rows are never held together.
+    Keys are read from sorted partitions as a stream, so a key's rows are never held together. A key of more than hot_rows rows is cut into
+    ranges of time for many tasks: each range is first reduced to what it does to an open window, these are applied one after the other,
+    and then each range is counted on its own from the window that is open before it.
     """
     spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = events.select(key, tie, F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"))
+    bounds = time_bounds(slim, key, hot_rows)
+    ranged = slim.join(F.broadcast(bounds), F.col(key).eqNullSafe(F.col("hot_key")), "left")
+    before = F.size(F.filter("bounds", lambda b: b < F.col("ms")))
+    ranged = ranged.select(key, tie, "ms", F.col("bounds").isNotNull().alias("hot"), F.when(F.col("bounds").isNotNull(), before).otherwise(0).alias("range"))
+    states = states_before(ranged, key, window_ms)
+    same = F.col(key).eqNullSafe(F.col("hot_key")) & (F.col("range") == F.col("hot_range"))
+    ready = ranged.join(F.broadcast(states), same, "left").select(key, tie, "ms", "range", "opened", F.coalesce("used", F.lit(0)).alias("used"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, opened, used = None, None, 0  # of the key that the last part ended in
+        at, opened, used = None, None, 0  # of the range that the last part ended in
         for part in parts:
             if not len(part):
                 continue
             out = []
-            for k, rows in part.groupby(key, sort=False, dropna=False):
+            for (k, span), rows in part.groupby([key, "range"], sort=False, dropna=False):
                 ms = rows["ms"].to_numpy()
-                first = 0
-                pieces = []
-                if at is not None and (k == at[0] or (pd.isna(k) and pd.isna(at[0]))) and opened is not None:
+                k = None if pd.isna(k) else k
+                if at != (k, span):
+                    first = rows["opened"].iloc[0]
+                    opened, used, at = None if pd.isna(first) else int(first), int(rows["used"].iloc[0]), (k, span)
+                first, pieces = 0, []
+                if opened is not None:
                     first = int(np.searchsorted(ms, opened + window_ms, side="left"))
                     c = used + np.arange(1, first + 1)
                     pieces.append((c <= limit, np.maximum(0, limit - c), np.full(first, opened + window_ms)))
@@ -191,12 +264,13 @@ def rate_limit(events: DataFrame, key: str, limit: int = LIMIT, window_ms: int =
                     allowed, remaining, reset = jumps(ms[first:], limit, window_ms)
                     pieces.append((allowed, remaining, reset))
                     opened, used = int(reset[-1]) - window_ms, int((reset == reset[-1]).sum())
-                at = (k,)
-                out.append(rows[[key, tie]].assign(allowed=np.concatenate([p[0] for p in pieces]), remaining=np.concatenate([p[1] for p in pieces]), reset_ms=np.concatenate([p[2] for p in pieces])))
+                joined = {c: np.concatenate([p[i] for p in pieces]) for i, c in enumerate(("allowed", "remaining", "reset_ms"))}
+                out.append(rows[[key, tie]].assign(**joined))
             yield pd.concat(out)
 
     kinds = dict(events.dtypes)
-    found = slim.repartition(spread, key).sortWithinPartitions(key, "ms", tie).mapInPandas(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, allowed boolean, remaining long, reset_ms long")
+    ordered = ready.repartition(spread, key, "range").sortWithinPartitions(key, "range", "ms", tie)
+    found = ordered.mapInPandas(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, allowed boolean, remaining long, reset_ms long")
     return found.withColumn("reset_at", F.timestamp_millis("reset_ms")).drop("reset_ms")
 
 

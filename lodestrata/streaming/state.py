@@ -14,10 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from lodestrata.streaming.events import LIMIT, TERMINAL, TIMEOUT_SECONDS, WINDOW_MS
+from lodestrata.streaming.events import CITATION, LABELS, LIMIT, PHASES, TERMINAL, TIMEOUT_SECONDS, WINDOW_MS
 
 DAY_MS = 86_400_000
-STATE = "request_id string, phase string, route string, answer string, groundedness double, latency_ms long, error string, last_sequence int"
+STATE = (
+    f"request_id string, phase string, route string, answer string, citations array<{CITATION}>, decision string, groundedness double, citation_coverage double, "
+    "latency_ms long, rewrite_count int, error string, activity array<string>, last_sequence int"
+)
+
+
+CITED = [c.split(":")[0].strip() for c in CITATION.removeprefix("struct<").split(",")]
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -34,55 +40,149 @@ def phase(event: dict) -> str:
         return "Analyzing Data" if event.get("route") == "data_analytics" else "Routing"
     if event["type"].startswith("retrieval."):
         return "Searching Documents" if event.get("tool") == "document_search" else "Searching Video"
-    return {"request.started": "Thinking", "generation.started": "Synthesizing", "generation.token": "Synthesizing", "guardrail.completed": "Validating", "response.completed": "Complete", "error": "Error"}.get(event["type"], "")
+    return PHASES.get(event["type"], "")
 
 
-def fold(events: list[dict]) -> dict:
-    """The state after events in sequence order; as fold_requests gives it for a table."""
-    out = {"phase": "Idle", "route": None, "answer": "", "groundedness": None, "latency_ms": None, "error": None, "last_sequence": None}
-    for e in events:
-        out["phase"] = phase(e) or out["phase"]
-        out["last_sequence"] = e["sequence"]
-        kind = e["type"]
+class Fold:
+    """A request's state from its events in any order, each taken in once and for itself.
+
+    `head` keeps for each field the sequence that set it last. The answer is the last final response and the tokens behind it: tokens that
+    come in order are appended, and only one that comes late has the answer put together again, from `events`. So with the activity.
+    events: a map of sequence to (type, token) with get, put and items.
+    """
+
+    def __init__(self, head: dict | None, events):
+        empty = {"last": 0, "set": {}, "final_at": None, "tokens": "", "token_at": 0, "activity": [], "label_at": 0}
+        self.head, self.events = head or empty, events
+
+    def _set(self, name: str, at: int, value) -> None:
+        if at > self.head["set"].get(name, (0, None))[0]:
+            self.head["set"][name] = (at, value)
+
+    def _value(self, name: str):
+        return self.head["set"].get(name, (0, None))[1]
+
+    def take(self, event: dict) -> None:
+        at, kind, head = event["sequence"], event["type"], self.head
+        if at <= head["last"] and self.events.get(at) is not None:
+            return  # the first of a sequence holds
+        token = (event.get("token") or "") if kind == "generation.token" else None
+        self.events.put(at, (kind, token))
+        head["last"] = max(head["last"], at)
+        if sets := phase(event):
+            self._set("phase", at, sets)
         if kind == "route.selected":
-            out["route"] = e.get("route")
-        elif kind == "generation.token":
-            out["answer"] += e.get("token") or ""
+            self._set("route", at, event.get("route"))
+        elif kind == "error":
+            self._set("error", at, event.get("message"))
         elif kind == "guardrail.completed":
-            out |= {"groundedness": (e.get("result") or {}).get("groundedness_score"), "latency_ms": None}
+            self._set("result", at, event.get("result") or {})
+            self._set("guard_rewrites", at, event.get("rewrite_count"))
         elif kind == "response.completed":
-            out["answer"] = e.get("final_response") or ""
-            out["latency_ms"] = e.get("latency_ms") if out["groundedness"] is not None else None
-        elif kind == "error":
-            out["error"] = e.get("message")
-    return out
+            for name in ("final_response", "citations", "latency_ms", "rewrite_count"):
+                self._set(name, at, event.get(name))
+            if head["final_at"] is None or at > head["final_at"]:
+                head["final_at"] = at
+                if head["token_at"] > at:
+                    self._join_tokens()
+                else:
+                    head["tokens"] = ""
+        elif token is not None and at > (head["final_at"] or 0):
+            if at > head["token_at"]:
+                head["tokens"] += token
+            else:
+                self._join_tokens()
+        if token is not None:
+            head["token_at"] = max(head["token_at"], at)
+        if kind in LABELS:
+            if at > head["label_at"]:
+                head["activity"].append(LABELS[kind])
+                head["label_at"] = at
+            else:
+                head["activity"] = [LABELS[k] for _, (k, _) in sorted(self.events.items()) if k in LABELS]
+
+    def _join_tokens(self) -> None:
+        later = self.head["final_at"] or 0
+        self.head["tokens"] = "".join(t for at, (_, t) in sorted(self.events.items()) if t is not None and at > later)
+
+    def row(self) -> dict:
+        head, result = self.head, self._value("result") or {}
+        guarded = head["set"].get("result", (None,))[0]
+        closed = guarded is not None and head["final_at"] is not None and head["final_at"] > guarded
+        return {
+            "phase": self._value("phase") or "Idle",
+            "route": self._value("route"),
+            "answer": (self._value("final_response") or "") + head["tokens"],
+            "citations": [{k: c.get(k) for k in CITED} for c in self._value("citations") or []],
+            "decision": result.get("decision"),
+            "groundedness": result.get("groundedness_score"),
+            "citation_coverage": result.get("citation_coverage"),
+            "latency_ms": self._value("latency_ms") if closed else None,
+            "rewrite_count": self._value("rewrite_count") if closed else self._value("guard_rewrites"),
+            "error": self._value("error"),
+            "activity": head["activity"],
+            "last_sequence": head["last"],
+        }
+
+
+class Held(dict):
+    """Events in memory."""
+
+    put = dict.__setitem__
+
+
+def fold(events: list[dict]) -> dict:
+    """The state after events in any order."""
+    own = Fold(None, Held())
+    for e in events:
+        own.take(e)
+    return own.row()
+
+
+class KeptEvents:
+    """The map state of a request's events."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def get(self, at: int):
+        return self.state.getValue((at,)) if self.state.containsKey((at,)) else None
+
+    def put(self, at: int, event: tuple) -> None:
+        self.state.updateValue((at,), event)
+
+    def items(self) -> Iterator[tuple[int, tuple]]:
+        return ((int(k[0]), tuple(v)) for k, v in self.state.iterator())
 
 
 class RequestFold(StatefulProcessor):
-    """Keeps a request's events by sequence, so that late ones fall into place."""
+    """Keeps a request's events in a map by sequence and what they come to beside it: an arrival reads and writes itself only."""
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
-        self.kept = handle.getListState("events", "sequence int, body string", self.ttl_ms)
+        self.head = handle.getValueState("head", "body string", self.ttl_ms)
+        self.events = handle.getMapState("events", "sequence int", "type string, token string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        have = {int(s): b for s, b in self.kept.get()} if self.kept.exists() else {}
+        own = Fold(json.loads(self.head.get()[0]) if self.head.exists() else None, KeptEvents(self.events))
         for part in rows:
-            for s, b in zip(part["sequence"], part["body"], strict=True):
-                have.setdefault(int(s), b)
-        ordered = sorted(have.items())
-        self.kept.put(ordered)
-        yield pd.DataFrame([{"request_id": key[0]} | fold([json.loads(b) for _, b in ordered])])
+            for body in part["body"]:
+                own.take(json.loads(body))
+        self.head.update((json.dumps(own.head),))
+        yield pd.DataFrame([{"request_id": key[0]} | own.row()]).astype({"latency_ms": "Int64", "rewrite_count": "Int32"})
 
     def close(self) -> None:
         pass
 
 
 def fold_requests_stream(events: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
-    """STM1: each request's state whenever events of it arrive, in any order. events: request_id, sequence, type and fields."""
-    body = events.select("request_id", "sequence", F.to_json(F.struct(*[c for c in events.columns if c != "ts"])).alias("body"))
+    """STM1: each request's state, all fields of fold_requests, whenever events of it arrive, in any order.
+
+    events: request_id, sequence, type and fields. Of several events of one sequence the one that arrives first holds.
+    """
+    body = events.select("request_id", F.to_json(F.struct(*[c for c in events.columns if c != "ts"])).alias("body"))
     return body.groupBy("request_id").transformWithStateInPandas(RequestFold(ttl_ms), STATE, "Update", time_mode(ttl_ms))
 
 
@@ -115,45 +215,111 @@ def rate_limit_stream(events: DataFrame, key: str, limit: int = LIMIT, window_ms
 
 
 class StaleRequests(StatefulProcessor):
-    def __init__(self, timeout_s: int, code: str):
-        self.timeout_ms, self.code = timeout_s * 1000, code
+    """The last event of a request until it ends, then a mark that it ended, which goes when nothing of it can be in time any more."""
+
+    def __init__(self, timeout_s: int, grace_s: int, code: str):
+        self.timeout_ms, self.grace_ms, self.code = timeout_s * 1000, grace_s * 1000, code
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "sequence int, ms long, ended boolean")
+        self.last = handle.getValueState("last", "sequence int, ms long, ended boolean, due long")
+
+    def _keep(self, seq: int, ms: int, ended: bool, due: int | None) -> None:
+        """Hold the state, and have the timer at the time that is now due."""
+        at = ms + (self.grace_ms if ended else self.timeout_ms)
+        if due != at:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(at)
+        self.last.update((seq, ms, ended, at))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, ms, ended = self.last.get() if self.last.exists() else (0, 0, False)
+        seq, ms, ended, due = self.last.get() if self.last.exists() else (0, 0, False, None)
         for part in rows:
             seq, ms = max(int(seq), int(part["sequence"].max())), max(int(ms), int(part["ms"].max()))
             ended = bool(ended) or bool(part["type"].isin(TERMINAL).any())
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.last.update((seq, ms, ended))
-        if not ended:
-            self.handle.registerTimer(ms + self.timeout_ms)
+        self._keep(int(seq), int(ms), bool(ended), None if due is None else int(due))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seq, ms, ended = self.last.get()
-        if not ended:
-            self.last.update((int(seq) + 1, int(ms), True))
-            yield pd.DataFrame([{"request_id": key[0], "sequence": int(seq) + 1, "type": "error", "code": self.code}])
+        if not self.last.exists():
+            return
+        seq, ms, ended, due = self.last.get()
+        if expiredTimerInfo.getExpiryTimeInMs() != int(due):
+            return
+        if ended:
+            self.last.clear()
+            return
+        self._keep(int(seq) + 1, int(due), True, None)
+        yield pd.DataFrame([{"request_id": key[0], "sequence": int(seq) + 1, "type": "error", "code": self.code}])
 
     def close(self) -> None:
         pass
 
 
-def close_stale_stream(events: DataFrame, timeout_s: int = TIMEOUT_SECONDS, code: str = "STREAM_TIMEOUT", delay: str = "10 seconds") -> DataFrame:
-    """STM5: an error event for each request without an end once event time has passed its last event by the timeout."""
+def close_stale_stream(events: DataFrame, timeout_s: int = TIMEOUT_SECONDS, code: str = "STREAM_TIMEOUT", delay: str = "10 seconds", grace_s: int = 600) -> DataFrame:
+    """STM5: an error event for each request without an end once event time has passed its last event by the timeout.
+
+    A request that ended, by itself or so, is remembered for grace_s of event time after its last event; later events of it give no second
+    error in that time. Then its state is dropped.
+    """
     slim = events.select("request_id", "sequence", "type", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", delay)
-    return slim.groupBy("request_id").transformWithStateInPandas(StaleRequests(timeout_s, code), "request_id string, sequence int, type string, code string", "Append", "EventTime")
+    return slim.groupBy("request_id").transformWithStateInPandas(StaleRequests(timeout_s, grace_s, code), "request_id string, sequence int, type string, code string", "Append", "EventTime")
+
+
+COUNTED = ["candidates", "retrieval_ms", "total_ms", "citations", "rewrites", "errors"]
+
+
+class RequestTotals(StatefulProcessor):
+    """What a request adds to the metrics of its route; a change of it is taken back with the old sign and put in with the new."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.held = handle.getValueState("held", "route string, " + ", ".join(f"{c} long" for c in COUNTED), self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = tuple(self.held.get()) if self.held.exists() else None
+        route, *sums = old or (None, *[0] * len(COUNTED))
+        new = dict(zip(COUNTED, map(int, sums), strict=True))
+        for part in rows:
+            of = lambda c, *kinds, p=part: p.loc[p["type"].isin(kinds), c].dropna()
+            route = max([*([route] if route is not None else []), *of("route", "route.selected")], default=None)
+            new["candidates"] += int(of("candidate_count", "retrieval.completed").sum())
+            new["retrieval_ms"] += int(of("latency_ms", "retrieval.completed").sum())
+            for name, column, kinds in (("total_ms", "latency_ms", TERMINAL[:1]), ("citations", "citation_count", TERMINAL[:1]), ("rewrites", "rewrite_count", ["guardrail.completed", *TERMINAL[:1]])):
+                new[name] = max([new[name], *map(int, of(column, *kinds))])
+            new["errors"] += int((part["type"] == "error").sum())
+        self.held.update((route, *new.values()))
+        signed = [(route, 1, *new.values())]
+        if old:
+            signed.append((old[0], -1, *[-int(x) for x in old[1:]]))
+        yield pd.DataFrame(signed, columns=["route", "requests", *COUNTED])
+
+    def close(self) -> None:
+        pass
+
+
+def request_metrics_stream(events: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
+    """STM2: signed changes of the metrics by route; their sums by route are at any time what request_metrics gives for the events so far.
+
+    Numbers of events are not negative. A request of which nothing came for ttl_ms counts as another one if it goes on.
+    """
+    numbers = ["candidate_count", "latency_ms", "citation_count", "rewrite_count"]
+    slim = events.select("request_id", "type", "route", *[F.col(c).cast("double").alias(c) for c in numbers])
+    return slim.groupBy("request_id").transformWithStateInPandas(RequestTotals(ttl_ms), "route string, requests long, " + ", ".join(f"{c} long" for c in COUNTED), "Append", time_mode(ttl_ms))
+
+
+def route_totals(changes: DataFrame) -> DataFrame:
+    """The metrics by route from the changes that request_metrics_stream has given."""
+    sums = changes.groupBy("route").agg(*[F.sum(c).alias(c) for c in ("requests", *COUNTED)])
+    return sums.where("requests != 0")
 
 
-def request_metrics_stream(events: DataFrame, size: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """STM2: counts and latencies by window and route of completed responses; late rows past the watermark are dropped."""
-    done = events.withWatermark("ts", delay).where("type = 'response.completed'")
-    return done.groupBy(F.window("ts", size), "route").agg(F.count("*").alias("requests"), F.sum("latency_ms").alias("total_ms"), F.sum("citation_count").alias("citations"))
+def error_counts_stream(events: DataFrame, size: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
+    """STM2: errors by window and code."""
+    return events.withWatermark("ts", delay).where("type = 'error'").groupBy(F.window("ts", size), "code").agg(F.count("*").alias("errors"))
 
 
 class OnceUsed(StatefulProcessor):

@@ -1,9 +1,11 @@
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.plans import logs
 from lodestrata.sources import store
 from lodestrata.sources.tables import admit_files, read_eval_cases
 from lodestrata.streaming import events as ev
@@ -121,9 +123,63 @@ def streamed(spark, tmp_path, df, build, mode):
 
 def test_streamed_fold_equals_the_table(spark, tmp_path):
     df = table_of(spark, lines(LOG[::-1], "a") + lines(LOG[:6], "b"))
-    got = {r.request_id: (r.phase, r.answer, r.groundedness, r.latency_ms) for r in streamed(spark, tmp_path, df, lambda s: st.fold_requests_stream(s, None), "update").collect()}
-    want = {r.request_id: (r.phase, r.answer, r.groundedness, r.latency_ms) for r in ev.fold_requests(df).collect()}
-    assert got == want
+    columns = [c for c in ev.fold_requests(df).columns if c != "request_id"]
+    got = {r.request_id: [r[c] for c in columns] for r in streamed(spark, tmp_path, df, lambda s: st.fold_requests_stream(s, None), "update").collect()}
+    want = {r.request_id: [r[c] for c in columns] for r in ev.fold_requests(df).collect()}
+    assert got == want and len(got) == 2
+
+
+def folded(events):
+    """The state after events in order of sequence, all of them read."""
+    out = {"phase": "Idle", "route": None, "answer": "", "citations": [], "result": {}, "latency_ms": None, "error": None, "activity": [], "final_at": 0, "guard_at": 0, "guard_rewrites": None, "rewrite_count": None}
+    for e in sorted(events, key=lambda e: e["sequence"]):
+        kind = e["type"]
+        out["phase"] = st.phase(e) or out["phase"]
+        out["activity"] = out["activity"] + [ev.LABELS[k] for k in [kind] if k in ev.LABELS]
+        if kind == "route.selected":
+            out["route"] = e.get("route")
+        elif kind == "error":
+            out["error"] = e.get("message")
+        elif kind == "generation.token":
+            out["answer"] += e["token"]
+        elif kind == "guardrail.completed":
+            out |= {"result": e["result"], "guard_rewrites": e["rewrite_count"], "guard_at": e["sequence"]}
+        elif kind == "response.completed":
+            out |= {"answer": e["final_response"], "latency_ms": e["latency_ms"], "rewrite_count": e["rewrite_count"], "final_at": e["sequence"]}
+    closed = 0 < out["guard_at"] < out["final_at"]
+    return (out["phase"], out["route"], out["answer"], out["result"].get("decision"), out["latency_ms"] if closed else None, out["rewrite_count"] if closed else out["guard_rewrites"], out["error"], out["activity"])
+
+
+def test_folds_of_every_prefix_in_any_order():
+    rng = random.Random(9)
+    kinds = ["request.started", "route.selected", "retrieval.completed", "generation.token", "generation.token", "generation.token", "guardrail.completed", "response.completed", "error"]
+    for _ in range(150):
+        events = [{"sequence": i, "type": rng.choice(kinds), "route": rng.choice(ev.ROUTES), "tool": rng.choice(ev.TOOLS), "token": f"t{i} ", "result": {"decision": f"d{i}"}, "rewrite_count": i % 2, "final_response": f"final {i}. ", "latency_ms": i, "message": f"m{i}"} for i in range(1, 15)]
+        arrivals = events[:]
+        rng.shuffle(arrivals)
+        own = st.Fold(None, st.Held())
+        for n, e in enumerate(arrivals, 1):
+            own.take(e)
+            own.take(e | {"type": "error", "message": "a second event of the sequence"})
+            own.head = json.loads(json.dumps(own.head))  # as it is kept between batches
+            row = own.row()
+            assert tuple(row[c] for c in ("phase", "route", "answer", "decision", "latency_ms", "rewrite_count", "error", "activity")) == folded(arrivals[:n])
+
+
+def test_streamed_metrics_are_those_of_the_table_after_each_batch(spark, tmp_path):
+    st.use_rocksdb(spark)
+    src, rng = str(tmp_path / "in"), random.Random(3)
+    kinds = ["route.selected", "retrieval.completed", "guardrail.completed", "response.completed", "error"]
+    schema = "request_id string, sequence int, type string, route string, candidate_count int, latency_ms int, citation_count int, rewrite_count int, code string, ts timestamp"
+    rows = [(f"r{rng.randint(0, 4)}", i, rng.choice(kinds), rng.choice(ev.ROUTES), rng.choice([None, i]), i, i % 5, i % 2, rng.choice(ev.ERROR_CODES), None) for i in range(60)]
+    for at in range(0, 60, 20):
+        spark.createDataFrame(rows[at : at + 20], schema).withColumn("ts", F.timestamp_seconds("sequence")).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    changes = logs.run_stream(st.request_metrics_stream(stream, None), "append")
+    for batch in range(3):
+        table = lambda df: {r.route: tuple(r[c] for c in ("requests", *st.COUNTED)) for r in df.collect()}
+        so_far = spark.createDataFrame(rows[: 20 * batch + 20], schema)
+        assert table(st.route_totals(changes.where(f"batch <= {batch}"))) == table(ev.request_metrics(so_far))
 
 
 def test_streamed_limiter_equals_the_table(spark, tmp_path):
@@ -133,10 +189,39 @@ def test_streamed_limiter_equals_the_table(spark, tmp_path):
     assert got == want
 
 
-def test_streamed_timeouts(spark, tmp_path):
-    df = table_of(spark, lines(LOG[:3], "open") + lines(LOG, "done")).unionByName(table_of(spark, lines([LOG[0]], "later")).withColumn("ts", F.timestamp_seconds(F.lit(5000))))
-    got = streamed(spark, tmp_path, df.select("request_id", "sequence", "type", "ts"), st.close_stale_stream, "append").collect()
-    assert ("open", 4, "error", "STREAM_TIMEOUT") in [tuple(r) for r in got] and "done" not in {r.request_id for r in got}
+def test_streamed_timeouts_and_what_is_left_of_them(spark, tmp_path):
+    st.use_rocksdb(spark)
+    src = str(tmp_path / "in")
+    # open stops without an end, done ends; both have late events while they are remembered, and nothing is kept in the end
+    turns = [[("open", 1, "request.started", 10), ("done", 1, "request.started", 10), ("done", 2, "error", 11)], [("x", 1, "error", 300)], [("x", 2, "error", 310)]]
+    turns += [[("open", 2, "route.selected", 311), ("done", 3, "route.selected", 311)], [("y", 1, "error", 700)], [("z", 1, "error", 5000)], [("z", 2, "error", 9000)], [("z", 3, "error", 20000)]]
+    schema = "request_id string, sequence int, type string, t long"
+    for turn in turns:
+        spark.createDataFrame(turn, schema).withColumn("ts", F.timestamp_seconds("t")).drop("t").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("request_id string, sequence int, type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    found = st.close_stale_stream(stream, timeout_s=120, delay="10 seconds", grace_s=600)
+    q = found.writeStream.outputMode("append").format("memory").queryName("stale").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    assert [tuple(r) for r in spark.table("stale").collect()] == [("open", 2, "error", "STREAM_TIMEOUT")]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4  # z at most, with its timer
+
+
+@pytest.mark.parametrize("window", [7, 40, 100_000])
+def test_a_hot_key_is_cut_and_counts_as_one(spark, window):
+    rng = np.random.default_rng(window)
+    times = np.sort(rng.integers(0, 900, 700)).tolist()
+    rows = [("hot", i, t) for i, t in enumerate(times)] + [(rng.choice(["a", "b"]).item(), 1000 + i, int(t)) for i, t in enumerate(rng.integers(0, 900, 60))] + [(None, 2000 + i, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "k string, event_id long, ms long").select("k", "event_id", F.timestamp_millis("ms").alias("ts"))
+    got = {(r.k, r.event_id): (r.allowed, r.remaining, r.reset) for r in ev.rate_limit(df, "k", 3, window, hot_rows=50).withColumn("reset", F.unix_millis("reset_at")).collect()}
+    want, open_ = {}, {}
+    for k, i, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        reset, used = open_.get(k, (None, 0))
+        reset, used = (t + window, 1) if reset is None or reset <= t else (reset, used + 1)
+        open_[k] = reset, used
+        want[k, i] = (used <= 3, max(0, 3 - used), reset)
+    assert got == want
+    slim = df.select("k", F.unix_millis("ts").alias("ms"))
+    assert {r.hot_key: len(r.bounds) >= 1 for r in ev.time_bounds(slim, "k", 50).collect()} == {"hot": True, None: True}
 
 
 def test_streamed_one_time_use_lasts_until_expiry(spark, tmp_path):
