@@ -11,6 +11,7 @@ from lodestrata.plans.common import query, spread, table
 from lodestrata.plans.search import ALL, vector_tables
 from lodestrata.sources import store
 from lodestrata.sources import tables as src
+from lodestrata.sources.keyed import KeyedStore
 from lodestrata.sources.staging import new_path
 from lodestrata.streaming import events as ev
 from lodestrata.streaming.state import ingest_stream
@@ -82,10 +83,11 @@ def ingested_documents(spark, d):
     texts = spread(table(spark, d, "documents").select("text"))
     texts.write.parquet(source)
     build = lambda df: df.select(tx.sha256(F.coalesce("text", F.lit(""))).alias("record_id"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    held = KeyedStore(spark, path)
     for _ in range(2):
         pages = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 100).parquet(source)
-        ingest_stream(pages, path, build, new_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(path).select("record_id", "n_chars")
+        ingest_stream(pages, held, build, new_path(spark, "progress")).awaitTermination()
+    return held.records().select("record_id", "n_chars")
 
 
 @query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS q, v.vec_id AS v, q.label = v.label AND q.vec_id % 3 = v.vec_id % 3 AS relevant, greatest(0, 1 - list_cosine_similarity(q.e, v.e)) AS distance FROM e q, e v WHERE q.vec_id % 50 = 0),

@@ -30,8 +30,10 @@ def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def append_summary(df: DataFrame, path: str, key: str = "run_id") -> None:
-    """SRC7: append a run's summary; a run_id that is there already is refused."""
+    """SRC7: append a run's summary; a run_id that is there already, or twice in df, is refused."""
     spark = df.sparkSession
+    if df.groupBy(key).count().where("count > 1").limit(1).count():
+        raise DuplicateRecord("a run comes twice")
     if exists(spark, path) and df.join(spark.read.parquet(path).select(key), key, "left_semi").limit(1).count():
         raise DuplicateRecord("the run is already stored")
     df.coalesce(1).write.mode("append").parquet(path)

@@ -6,6 +6,7 @@ without data, so a query that is to end by itself (availableNow) takes ttl_ms=No
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from lodestrata.sources.keyed import KeyedStore
 from lodestrata.streaming.events import CITATION, LABELS, LIMIT, PHASES, TERMINAL, TIMEOUT_SECONDS, WINDOW_MS
 
 DAY_MS = 86_400_000
@@ -362,17 +364,14 @@ def consume_once_stream(attempts: DataFrame, delay: str = "1 hour", tie: str | N
     return timed.groupBy("object_path").transformWithStateInPandas(OnceUsed(attempts.columns, tie), attempts.schema, "Append", "EventTime")
 
 
-def ingest_stream(pages: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, key: str = "record_id"):
-    """STM6: a query that turns new pages into records by `build` and appends those that the store under path lacks.
+def ingest_stream(pages: DataFrame, store: KeyedStore, build: Callable[[DataFrame], DataFrame], checkpoint: str):
+    """STM6: a query that turns new pages into records by `build` and adds those that the store lacks.
 
-    Ids are functions of content, so a batch that is run again adds nothing.
+    A micro-batch is a batch of the store under the stream's checkpoint and its number: run again it adds nothing twice.
     """
-    from lodestrata.sources.store import exists
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def batch(df: DataFrame, _: int) -> None:
-        new = build(df).dropDuplicates([key])
-        if exists(df.sparkSession, path):
-            new = new.join(df.sparkSession.read.parquet(path).select(key), key, "left_anti")
-        new.write.mode("append").parquet(path)
+    def batch(df: DataFrame, number: int) -> None:
+        store.add(f"{name}-{number:09}", build(df))
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

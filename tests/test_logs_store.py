@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.plans import logs
-from lodestrata.sources import store
+from lodestrata.sources import keyed, store
 from lodestrata.sources.tables import admit_files, read_eval_cases
 from lodestrata.streaming import events as ev
 from lodestrata.streaming import state as st
@@ -244,8 +244,27 @@ def test_ingestion_adds_each_record_once(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "record_id string, n int")
     for turn in (1, 2):
         df.coalesce(1).write.mode("append").parquet(src)
-        st.ingest_stream(spark.readStream.schema(df.schema).parquet(src), out, lambda d: d, str(tmp_path / f"cp{turn}")).awaitTermination(60)
-    assert sorted(r.record_id for r in spark.read.parquet(out).collect()) == ["a", "b"]
+        held = keyed.KeyedStore(spark, out)
+        st.ingest_stream(spark.readStream.schema(df.schema).parquet(src), held, lambda d: d, str(tmp_path / f"cp{turn}")).awaitTermination(60)
+    assert sorted(r.record_id for r in held.records().collect()) == ["a", "b"] and len(held.batches()) == 2
+
+
+def test_a_batch_reads_its_buckets_only_and_runs_again_cleanly(spark, tmp_path):
+    out = keyed.KeyedStore(spark, str(tmp_path / "out"), buckets=64, bits=1 << 20)
+    rows = lambda a, b: spark.range(a, b).select(F.concat(F.lit("k"), "id").alias("record_id"), "id")
+    read = [out.add(f"b{i}", rows(2000 * i, 2000 * i + 2000)) for i in range(3)]
+    assert max(read) < 200  # new keys are not compared with the stored ones, however many these are
+    assert 0 < out.add("b3", rows(5990, 6010)) < 1500 and out.records().count() == 6010
+    assert out.add("b3", rows(0, 9000)) == 0 and out.records().count() == 6010  # it counts already
+    (tmp_path / "out/filters/batch=b3/_SUCCESS").unlink()  # as if the batch had broken off
+    assert out.records().count() == 6000
+    out.add("b3", rows(5990, 6010))
+    assert out.records().count() == out.records().distinct().count() == 6010
+
+
+def test_a_run_twice_at_once_is_refused(spark, tmp_path):
+    with pytest.raises(store.DuplicateRecord):
+        store.append_summary(spark.createDataFrame([("r", 1), ("r", 2)], "run_id string, created_at int"), str(tmp_path / "runs"))
 
 
 def test_store_refuses_known_ids(spark, tmp_path):
