@@ -115,6 +115,22 @@ def fingerprint(config: Column) -> Column:
     return sha256(F.to_json(config))
 
 
+def dataset_checksum(cases: DataFrame, assets: DataFrame) -> DataFrame:
+    """HSH2: dataset_id, checksum over a dataset's cases and the checksums of its assets, as a tree of hashes.
+
+    cases: dataset_id, kind, case_id and further fields; assets: dataset_id, path, checksum. Leaves are named digests; those whose names'
+    hashes begin alike, one 4096th each, are a node, in order of name; the root is over the nodes. So neither the order of rows nor
+    their partitions matter, and no task holds more than a node's leaves.
+    """
+    fields = sorted(c for c in cases.columns if c != "dataset_id")
+    name = lambda *parts: F.concat_ws(":", *[p if isinstance(p, Column) else F.col(p).cast("string") for p in parts])
+    own = cases.select("dataset_id", name(F.lit("case"), "kind", "case_id").alias("name"), sha256(F.to_json(F.struct(*fields))).alias("digest"))
+    leaves = own.unionByName(assets.select("dataset_id", name(F.lit("asset"), "path").alias("name"), F.col("checksum").alias("digest")))
+    joined = lambda a, b: sha256(F.array_join(F.array_sort(F.collect_list(F.concat(F.col(a), F.lit("="), F.col(b)))), "\n"))
+    nodes = leaves.groupBy("dataset_id", F.substring(sha256(F.col("name")), 1, 3).alias("node")).agg(joined("name", "digest").alias("digest"))
+    return nodes.groupBy("dataset_id").agg(joined("node", "digest").alias("checksum"))
+
+
 def unique_in_order(items: Column) -> Column:
     """SET4."""
     return F.array_distinct(items)

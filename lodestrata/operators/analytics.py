@@ -43,6 +43,40 @@ def validate_op(schema: T.StructType, op: dict, max_limit: int = 1000) -> None:
         raise InvalidOperation(f"limit must be 1 to {max_limit}")
 
 
+OPERATION = "op_id string, grouped boolean, keys array<string>, aggs array<struct<fn: string, field: string, alias: string>>, sort array<string>, columns array<string>, `limit` int"
+
+
+def check_operations(operations: DataFrame, schema: DataFrame, max_limit: int = 1000) -> DataFrame:
+    """FIL6 over rows: op_id, reason (null if the operation fits), detail (the columns that do not, sorted).
+
+    operations: rows of OPERATION, whose lists may be null; schema: name, data_type of one table, as infer_schema gives them. The first rule
+    that is broken is the reason: names, numbers of keys and aggregates, aggregates without a column, numeric columns, aliases, limit.
+    """
+    kinds = schema.agg(F.map_from_entries(F.collect_list(F.struct("name", "data_type"))).alias("_kinds"))  # one row, of a table's columns
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(F.col(c), none)
+    aggs = F.coalesce(F.col("aggs"), F.array().cast("array<struct<fn: string, field: string, alias: string>>"))
+    ready = operations.crossJoin(F.broadcast(kinds)).withColumns({"_keys": listed("keys"), "_aggs": aggs})
+    kind = lambda name: F.try_element_at("_kinds", name)
+    fields = F.filter(F.transform("_aggs", lambda a: a["field"]), lambda f: f.isNotNull())
+    named = F.concat("_keys", fields, listed("sort"), listed("columns"))
+    unknown = F.array_sort(F.array_distinct(F.filter(named, lambda c: kind(c).isNull())))
+    summed = F.filter("_aggs", lambda a: (a["fn"] != "count") & a["field"].isNotNull())
+    text = F.array_sort(F.array_distinct(F.filter(F.transform(summed, lambda a: a["field"]), lambda c: kind(c) != "number")))
+    ready = ready.withColumns({"_unknown": unknown, "_text": text, "_size": F.size("_keys")})
+    reason = (
+        F.when(F.size("_unknown") > 0, "UNKNOWN_COLUMN")
+        .when((F.col("_size") > 3) | (F.coalesce("grouped", F.lit(False)) & (F.col("_size") < 1)), "BAD_GROUPING")
+        .when(F.size("_aggs") > 10, "TOO_MANY_AGGREGATES")
+        .when(F.exists("_aggs", lambda a: (a["fn"] != "count") & a["field"].isNull()), "COLUMN_REQUIRED")
+        .when(F.size("_text") > 0, "NOT_NUMERIC")
+        .when(F.exists("_aggs", lambda a: a["alias"].isNotNull() & ~a["alias"].rlike(f"^(?:{ALIAS.pattern})$")), "BAD_ALIAS")
+        .when(~F.coalesce(F.col("limit"), F.lit(1)).between(1, max_limit), "BAD_LIMIT")
+    )
+    wrong = F.when(F.size("_unknown") > 0, F.col("_unknown")).when(F.col("reason") == "NOT_NUMERIC", F.col("_text"))
+    return ready.withColumn("reason", reason).select("op_id", "reason", F.array_join(F.coalesce(wrong, none), ",").alias("detail"))
+
+
 def infer_schema(df: DataFrame) -> DataFrame:
     """SRC2: name, data_type, nullable of text columns, over all rows in one pass.
 

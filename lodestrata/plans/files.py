@@ -6,11 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as tx
-from lodestrata.operators import corpus, evaluate, retrieval
+from lodestrata.operators import analytics, corpus, evaluate, retrieval
 from lodestrata.plans.common import query, spread, table
 from lodestrata.plans.search import ALL, vector_tables
 from lodestrata.sources import store
 from lodestrata.sources import tables as src
+from lodestrata.sources.files import admit_files, write_files
 from lodestrata.sources.keyed import KeyedStore
 from lodestrata.sources.staging import new_path
 from lodestrata.streaming import events as ev
@@ -120,3 +121,53 @@ def headings(spark, d):
 def unique_terms(spark, d):
     terms = spread(table(spark, d, "documents")).select("doc_id", tx.unique_in_order(tx.all_tokens(tx.fold_text(F.col("text")))).alias("t")).where("size(t) > 0")
     return terms.select("doc_id", F.size("t").cast("long").alias("n_terms"), tx.sha256(F.array_join("t", " ")).alias("terms_sha256"))
+
+
+CASE = "{'case_id': conv_id || ':' || turn, 'expected_route': CASE WHEN turn % 2 = 0 THEN 'document_search' ELSE 'direct_answer' END, 'expected_tool': role, 'kind': 'routing', 'query': text}"
+
+
+@query(f"""WITH l AS (SELECT 'part-' || (turn % 4) AS dataset_id, 'case:routing:' || conv_id || ':' || turn AS name, sha256(CAST(to_json({CASE}) AS VARCHAR)) AS digest FROM conversations
+  UNION ALL SELECT 'part-' || (doc_id % 4), 'asset:doc-' || doc_id || '.txt', sha256(coalesce(text, '')) FROM documents),
+n AS (SELECT dataset_id, substr(sha256(name), 1, 3) AS node, sha256(string_agg(name || '=' || digest, chr(10) ORDER BY encode(name || '=' || digest))) AS digest FROM l GROUP BY ALL)
+SELECT dataset_id, sha256(string_agg(node || '=' || digest, chr(10) ORDER BY node)) AS checksum FROM n GROUP BY 1""")
+def dataset_checksums(spark, d):
+    """Turns as routing cases of four datasets, with the documents as their assets."""
+    part = lambda c: F.concat(F.lit("part-"), (F.col(c) % 4).cast("string")).alias("dataset_id")
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    route = F.when(F.col("turn") % 2 == 0, "document_search").otherwise("direct_answer")
+    turns = table(spark, d, "conversations").select(part("turn"), F.lit("routing").alias("kind"), key.alias("case_id"), F.col("text").alias("query"), route.alias("expected_route"), F.col("role").alias("expected_tool"))
+    path = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    assets = table(spark, d, "documents").select(part("doc_id"), path.alias("path"), tx.sha256(F.coalesce("text", F.lit(""))).alias("checksum"))
+    return tx.dataset_checksum(turns, assets)
+
+
+@query("""WITH f AS (SELECT 'page-' || page_id || CASE WHEN page_id % 7 = 0 THEN '.txt' WHEN page_id % 7 = 1 THEN '.PDF' ELSE '.pdf' END AS filename,
+  CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN coalesce(html, '') ELSE '%PDF-1.7' || chr(10) || coalesce(html, '') END AS body FROM pages)
+SELECT filename, strlen(body)::BIGINT AS size_bytes, sha256(body) AS checksum, CASE WHEN lower(filename) NOT LIKE '%.pdf' THEN 'UNSUPPORTED_EXTENSION' WHEN body = '' THEN 'EMPTY_FILE' WHEN strlen(body) > 3000 THEN 'FILE_TOO_LARGE'
+  WHEN NOT contains(body[1:1024], '%PDF-') THEN 'BAD_SIGNATURE' END AS reason FROM f""")
+def admitted_files(spark, d):
+    """Pages written as files, some empty, of other kinds or too large, and admitted as documents."""
+    n = F.col("page_id")
+    name = F.concat(F.lit("page-"), n.cast("string"), F.when(n % 7 == 0, ".txt").when(n % 7 == 1, ".PDF").otherwise(".pdf"))
+    html = F.coalesce("html", F.lit(""))
+    body = F.when(n % 5 == 0, F.lit("")).when(n % 5 == 1, html).otherwise(F.concat(F.lit("%PDF-1.7\n"), html))
+    folder = new_path(spark, "uploads")
+    write_files(spread(table(spark, d, "pages")).select(name.alias("filename"), F.encode(body, "UTF-8").alias("content")), folder)
+    return admit_files(spark, folder, "pdf", 3000).drop("path")
+
+
+@query("""WITH o AS (SELECT event_id, floor(value)::BIGINT AS v, event_type AS t FROM events)
+SELECT event_id::VARCHAR AS op_id, CASE WHEN t = 'view' AND v % 3 = 0 THEN 'UNKNOWN_COLUMN' WHEN t = 'click' AND v % 4 = 0 THEN 'BAD_GROUPING' WHEN t = 'purchase' AND v % 2 = 0 THEN 'NOT_NUMERIC' WHEN t = 'signup' AND v % 2 = 0 THEN 'COLUMN_REQUIRED'
+  WHEN t = 'error' AND v % 3 = 0 THEN 'BAD_ALIAS' WHEN v % 11 = 0 THEN 'BAD_LIMIT' END AS reason,
+  CASE WHEN t = 'view' AND v % 3 = 0 THEN 'no_' || v WHEN t = 'purchase' AND v % 2 = 0 THEN 'o_orderstatus' ELSE '' END AS detail FROM o""")
+def checked_operations(spark, d):
+    """A requested operation on orders for each event, with faults by rule, checked against the columns of orders."""
+    v, of = F.floor("value").cast("int"), lambda kind, n: (F.col("event_type") == kind) & (F.floor("value").cast("int") % n == 0)
+    field = F.when(of("purchase", 2), "o_orderstatus").when(of("signup", 2), F.lit(None)).otherwise("o_totalprice")
+    agg = F.struct(F.lit("sum").alias("fn"), field.alias("field"), F.when(of("error", 3), "not an alias").otherwise("total").alias("alias"))
+    keys = F.when(of("click", 4), F.array().cast("array<string>")).otherwise(F.array(F.when(of("view", 3), F.concat(F.lit("no_"), v.cast("string"))).otherwise("o_orderpriority")))
+    limit = F.when(v % 11 == 0, 0).otherwise(10)
+    asked = table(spark, d, "events").select(F.col("event_id").cast("string").alias("op_id"), F.lit(True).alias("grouped"), keys.alias("keys"), F.array(agg).alias("aggs"), F.array(F.lit("o_orderdate")).alias("sort"), F.lit(None).cast("array<string>").alias("columns"), limit.alias("limit"))
+    fields = table(spark, d, "orders").schema.fields
+    schema = spark.createDataFrame([(f.name, analytics.kind(f)) for f in fields], "name string, data_type string")
+    return analytics.check_operations(asked, schema)

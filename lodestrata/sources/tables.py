@@ -64,13 +64,3 @@ def pages_from_text(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     starts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("lines") / lines_per_page).cast("int") - 1, F.lit(0))), lambda i: i * lines_per_page)
     paged = base.select("document_id", "filename", "lines", F.posexplode(starts).alias("at", "start"))
     return paged.select("document_id", "filename", (F.col("at") + 1).alias("page_number"), F.slice("lines", F.col("start") + 1, lines_per_page).alias("paragraphs"))
-
-
-def admit_files(spark: SparkSession, glob: str, kind: str, max_bytes: int) -> DataFrame:
-    """SRC5: path, filename, size_bytes, checksum, reason (null if admitted) of pdf or mp4 files. Spark passes over empty files, so
-    those are not listed and thus not admitted."""
-    files = spark.read.format("binaryFile").load(glob)
-    name = F.element_at(F.split("path", "/"), -1)
-    magic = F.contains(F.substring("content", 1, PDF_WINDOW), F.lit(b"%PDF-")) if kind == "pdf" else F.contains(F.substring("content", 5, MEDIA_WINDOW - 4), F.lit(b"ftyp"))
-    reason = F.when(~F.lower(name).endswith("." + kind), "UNSUPPORTED_EXTENSION").when(F.col("length") > max_bytes, "FILE_TOO_LARGE").when(~magic, "BAD_SIGNATURE")
-    return files.select("path", name.alias("filename"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum"), reason.alias("reason"))

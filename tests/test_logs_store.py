@@ -5,9 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.functions import text
+from lodestrata.operators import analytics
 from lodestrata.plans import logs
 from lodestrata.sources import keyed, store
-from lodestrata.sources.tables import admit_files, read_eval_cases
+from lodestrata.sources.files import admit_files
+from lodestrata.sources.tables import read_eval_cases
 from lodestrata.streaming import events as ev
 from lodestrata.streaming import state as st
 
@@ -307,7 +310,7 @@ def test_admission(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"%PDF-")
     (tmp_path / "d.pdf").write_bytes(b"")
     got = {r.filename: r.reason for r in admit_files(spark, str(tmp_path), "pdf", 100).collect()}
-    assert got == {"a.pdf": None, "b.pdf": "BAD_SIGNATURE", "c.txt": "UNSUPPORTED_EXTENSION"}
+    assert got == {"a.pdf": None, "b.pdf": "BAD_SIGNATURE", "c.txt": "UNSUPPORTED_EXTENSION", "d.pdf": "EMPTY_FILE"}
     (tmp_path / "v.mp4").write_bytes(b"\0\0\0\x18ftypmp42")
     assert admit_files(spark, str(tmp_path / "v.mp4"), "mp4", 10).head().reason == "FILE_TOO_LARGE" and admit_files(spark, str(tmp_path / "v.mp4"), "mp4", 100).head().reason is None
 
@@ -317,6 +320,38 @@ def test_evaluation_cases(spark, tmp_path):
     assert read_eval_cases(spark, str(tmp_path / "e.json"), "cases").head().relevant_page == 2
 
 
+def test_checksums_of_datasets_do_not_depend_on_order(spark):
+    cases = spark.createDataFrame([("d", "routing", f"c{i}", f"question {i}") for i in range(300)] + [("e", "routing", "c1", None)], "dataset_id string, kind string, case_id string, query string")
+    assets = spark.createDataFrame([("d", "a.pdf", "0a"), ("d", "b.pdf", "0b"), ("f", "c.pdf", "0c")], "dataset_id string, path string, checksum string")
+    of = lambda c, a: {r.dataset_id: r.checksum for r in text.dataset_checksum(c, a).collect()}
+    first = of(cases, assets)
+    assert set(first) == {"d", "e", "f"} and of(cases.orderBy(F.desc("case_id")).repartition(7), assets.orderBy(F.rand(1))) == first
+    other = of(cases.withColumn("query", F.when(F.col("case_id") == "c7", "changed").otherwise(F.col("query"))), assets)
+    assert other["d"] != first["d"] and other["e"] == first["e"]
+    assert of(cases, assets.withColumn("checksum", F.lit("0b")))["d"] != first["d"]
+
+
+def test_operations_as_rows_are_judged_as_one_by_one(spark):
+    rng, data = random.Random(4), spark.createDataFrame([], "a int, b string, c double, d boolean, e date")
+    schema = spark.createDataFrame([(f.name, analytics.kind(f)) for f in data.schema.fields], "name string, data_type string")
+    names = ["a", "b", "c", "d", "e", "nope"]
+    some = lambda most: [rng.choice(names[: rng.choice([5, 6])]) for _ in range(rng.randint(0, most))]
+    ops = []
+    for i in range(200):
+        aggs = [(rng.choice(["sum", "count", "mean"]), rng.choice(["a", "c", "c", "b", None]), rng.choice(["total", "x_1", "1x", None])) for _ in range(rng.choice([0, 1, 1, 2, 11]))]
+        ops.append((str(i), rng.random() < 0.3, some(4), aggs, rng.choice([None, some(1)]), some(1), rng.choice([None, 0, 1, 1000, 1001])))
+    got = {r.op_id: r for r in analytics.check_operations(spark.createDataFrame(ops, analytics.OPERATION), schema).collect()}
+    for op_id, grouped, keys, aggs, sort, columns, limit in ops:
+        op = {"grouped": grouped, "keys": keys, "aggs": [{"fn": f} | ({"field": c} if c else {}) | ({"alias": x} if x else {}) for f, c, x in aggs], "sort": [(c, 1) for c in sort or []], "columns": columns} | ({} if limit is None else {"limit": limit})
+        try:
+            analytics.validate_op(data.schema, op)
+            assert got[op_id].reason is None and got[op_id].detail == ""
+        except analytics.InvalidOperation as e:
+            assert got[op_id].reason is not None
+            if "unknown" in str(e):
+                assert got[op_id].reason == "UNKNOWN_COLUMN" and set(got[op_id].detail.split(",")) == {c for c in [*keys, *[c for _, c, _ in aggs if c], *(sort or []), *columns] if c not in data.columns}
+
+
 def test_upload_intents(spark):
     rows = [("a", "document", "p1", 5, 10, None), ("b", "video", "p1", 5, 10, None), ("c", "document", "p1", 5, 10, 1), ("d", "document", "p1", 5, 1, None), ("e", "document", "p9", 5, 10, None), ("f", "document", "p1", 6, 10, None)]
     intents = spark.createDataFrame(rows, "upload_id string, asset_type string, object_path string, size_bytes int, e int, c int").withColumn("expires_at", F.timestamp_seconds("e")).withColumn("consumed_at", F.timestamp_seconds("c"))
