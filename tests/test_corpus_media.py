@@ -1,5 +1,7 @@
 import random
+import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -107,3 +109,98 @@ def test_headings_by_column(spark):
     texts = ["TRAVEL POLICY", "Travel Policy", "1.2. scope of use", "what to do:", "Travel Policy.", "123 456", "this is a sentence", "", "A - b", "Élan Vital", "ÉLAN", "It's", "It'S", "X" * 121, "a: b", "Word " * 17, "B. next", "Ab1Cd", "ab Cd"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", c.is_heading(F.col("text")).alias("h")).collect()
     assert {r.text: r.h for r in rows} == {t: c.heading(t, c.tokens_in(t)) for t in texts}
+
+
+# ---- chunks against a packing that counts everything anew at each step ----
+
+COUNT = re.compile(r"\w+(?:['’-]\w+)*|[^\w\s]")
+
+
+def size(*texts):
+    return sum(len(COUNT.findall(t)) for t in texts)
+
+
+def parts_of(text):
+    return [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", text) if s.strip()]
+
+
+def units_of(text, most):
+    if size(text) <= most:
+        return [(text, c.heading(text, size(text)))]
+    out = []
+    for sentence in parts_of(text):
+        tokens = COUNT.findall(sentence)
+        runs = [sentence] if len(tokens) <= most else [" ".join(tokens[i : i + most]) for i in range(0, len(tokens), most)]
+        out += [(r, False) for r in runs]
+    return out
+
+
+def naive_chunks(paragraphs, most, least, overlap):
+    groups = []
+    for unit, opens in [u for p in paragraphs for u in units_of(p, most)]:
+        if not groups or opens or size(*groups[-1], unit) > most:
+            groups.append([])
+        groups[-1].append(unit)
+    if len(groups) > 1 and size(*groups[-1]) < least:
+        both = groups[-2] + groups[-1]
+        if size(*both) <= most:
+            groups[-2:] = [both]
+        else:
+            for at in range(1, len(both)):
+                if all(least <= size(*side) <= most for side in (both[:at], both[at:])):
+                    groups[-2:] = [both[:at], both[at:]]
+                    break
+    i = 0
+    while i + 1 < len(groups):
+        own, after = groups[i], groups[i + 1]
+        if size(*own) < least:
+            if size(*own, *after) <= most:
+                groups[i : i + 2] = [own + after]
+                continue
+            while size(*own) < least and len(after) > 1 and size(*own, after[0]) <= most and size(*after[1:]) >= least:
+                own.append(after.pop(0))
+            words, missing = after[0].split(), least - size(*own)
+            for n in range(1, len(words)):
+                if missing > 0 and size(" ".join(words[:n])) >= missing:
+                    left, right = " ".join(words[:n]), " ".join(words[n:])
+                    if size(*own, left) <= most and size(right, *after[1:]) >= least:
+                        own.append(left)
+                        after[0] = right
+                    break
+        i += 1
+    texts = ["\n\n".join(g) for g in groups]
+    out = texts[:1]
+    for before, text in zip(texts, texts[1:]):
+        lead = []
+        for sentence in reversed(parts_of(before)):
+            if size(sentence, *lead) > overlap:
+                break
+            lead.insert(0, sentence)
+        first = " ".join(lead) if lead else " ".join(COUNT.findall(before)[-overlap:] if overlap else [])
+        out.append(f"{first}\n\n{text}" if first and size(first, text) <= most else text)
+    return out
+
+
+@pytest.mark.parametrize("most,least,overlap", [(400, 80, 40), (60, 20, 8), (25, 10, 0)])
+def test_chunks_of_every_document_against_a_naive_packing(spark, most, least, overlap):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pages = pages_from_text(docs, lines_per_page=10)
+    found = {}
+    for r in c.chunk_pages(pages, most, least, overlap).collect():
+        found.setdefault((r.document_id, r.page_number), []).append((r.position, r.text, r.token_estimate))
+    rows = pages.collect()
+    for r in rows:
+        want = naive_chunks(list(r.paragraphs), most, least, overlap)
+        got = sorted(found.pop((r.document_id, r.page_number), []))
+        assert [t for _, t, _ in got] == want and [n for _, _, n in got] == [size(t) for t in want]
+    assert not found and len({r.document_id for r in rows}) == 200
+
+
+def test_small_chunks_against_a_naive_packing():
+    rng = random.Random(12)
+    for _ in range(300):
+        words = lambda n: " ".join(rng.choice(["alpha", "beta-2", "it's", "Gamma", "d.", "e!", "5"]) for _ in range(n))
+        page = [rng.choice(["INTRODUCTION", "Results:", words(rng.randint(1, 30)), words(rng.randint(1, 90))]) for _ in range(rng.randint(1, 9))]
+        most = rng.randint(8, 40)
+        least, overlap = rng.randint(1, most // 2), rng.randint(0, 6)
+        assert [t for t, _ in c.pack_page(page, most, least, overlap)] == naive_chunks(page, most, least, overlap)
