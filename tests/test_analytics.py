@@ -1,8 +1,12 @@
+import csv
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import analytics as a
-from lodestrata.sources.tables import InvalidDataset, read_csv_dataset
+from lodestrata.sources.tables import InvalidDataset, csv_records, read_csv_dataset
 
 REVENUE = "region,product,revenue,units,active\nNorth,Atlas,120.50,10,true\nNorth,Beacon,80.25,8,true\nSouth,Atlas,150.00,12,true\nSouth,Beacon,95.75,9,false\nWest,Atlas,110.00,11,true\nWest,Beacon,70.50,7,false\n"
 
@@ -86,3 +90,29 @@ def test_rows_of_another_width_fail(spark, tmp_path):
 def test_newest_first(spark):
     t = spark.createDataFrame([(1, 5), (2, 7), (3, 7)], "id int, created_at int")
     assert [r.id for r in a.list_recent(t).collect()] == [3, 2, 1] and [r.id for r in a.list_recent(t, 1).collect()] == [3]
+
+
+def test_one_csv_file_is_read_in_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    cells = ["plain", "", "  padded ", 'say "hi"', "two\nlines", "a,b", "\n\n", '"', 'x\n"y",z', "é ü", "5"]
+    rows = [["a", "b", "c"]] + [[rng.choice(cells) for _ in range(3)] for _ in range(400)]
+    path = tmp_path / "long.csv"
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        csv.writer(f, lineterminator="\n").writerows(rows)
+        f.write('unquoted 5" pipe,7" pipe,"8"" pipe\n on"\nlast 1" one,,2\n')
+    with open(path, newline="", encoding="utf-8") as f:
+        want = [tuple(x.strip() or None for x in row) for row in list(csv.reader(f))[1:]]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = read_csv_dataset(spark, str(path))
+        assert csv_records(spark, str(path)).rdd.getNumPartitions() > 4
+        strip = lambda x: x.strip() or None if x is not None else None
+        assert Counter(tuple(strip(x) for x in r) for r in found.collect()) == Counter(r for r in want if any(r))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    path.write_text('a,b\n1,"open\n2,3\n')
+    with pytest.raises(InvalidDataset):
+        read_csv_dataset(spark, str(path))
