@@ -1,6 +1,7 @@
 """Exact top-k search by inner product, in three phases under one uniform threshold.
 
-Vectors are packed into chunks, queries into blocks; each chunk meets each block once, in whichever task holds the pair.
+Vectors are packed into chunks, queries into blocks. Blocks are broadcast, a bounded number of bytes at a time, and each chunk meets each
+block in the task that holds the chunk: the table is read once in each phase and round, and never copied for blocks of queries.
 
 1. Gather: a task ranks its candidates by their score over the leading components, takes the exact scores of the k best
    and hands in, for each query, the k highest of those. The k-th highest of all scores handed in is a safe cutoff: at
@@ -26,9 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.llm._shared import staged, table
+from lodestrata.llm._shared import small_batches, staged, table
+from lodestrata.sources.staging import in_rounds
 
 BLOCK = 2048
+#: Bytes of queries that are broadcast at a time.
+BROADCAST_BYTES = 64 << 20
 NONE = np.iinfo(np.int64).min + 1  # of which the negative is also a number
 
 
@@ -160,22 +164,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, to_grid: Callable
     spark = vectors.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grid = lambda df: usable(df, vec_id, embedding, lambda x: to_grid(x).cast("double"))
-    chunks = staged(packed(grid(vectors), "chunk", block), "chunks")
+    rows = grid(vectors)
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)  # a small file is one split, and what follows is heavy
+    chunks = staged(packed(rows, "chunk", block), "chunks")
     asked = grid(queries).groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = staged(packed(asked.coalesce(max(1, spread // 8)), "block", block), "blocks")
-    sizes = {r["dim"]: r["n"] for r in blocks.groupBy("dim").agg(F.countDistinct("block").alias("n")).collect()}  # a row per vector length
-    if not sizes:
+    named = packed(asked.coalesce(max(1, spread // 8)), "block", block).select("dim", "block", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
+    blocks, rounds = in_rounds(named, F.octet_length("q_values"), "blocks", BROADCAST_BYTES)
+    longest = blocks.agg(F.max("dim")).first()[0]
+    if longest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    lead = max(1, round(lead_share * max(sizes)))
-    named = lambda df: df.select("dim", "block", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
-    names = named(blocks).select("dim", "block")
-    # each chunk is sent once to each block of queries: blocks number 1 / `block` of the queries
-    pairs = chunks.join(F.broadcast(names) if sum(sizes.values()) <= 10_000 else names, "dim").repartition(spread, "dim", "block", "chunk")
-    handed = pairs.join(named(blocks), ["dim", "block"]).mapInPandas(gather(k, lead), "dim int, block long, query_id long, score long")
+    lead = max(1, round(lead_share * longest))
+
+    def met(asked: DataFrame, search: Callable, kind: str, name: str) -> DataFrame:
+        """search over all pairs: chunks stay in their tasks, and blocks of queries come to them, some at a time."""
+        out = spark.createDataFrame([], kind)
+        for r in range(rounds):
+            pairs = chunks.join(F.broadcast(asked.where(F.col("round") == r)), "dim")
+            with small_batches(spark, 8):
+                out = out.unionByName(staged(pairs.mapInPandas(search, kind), name))
+        return out
+
+    handed = met(blocks, gather(k, lead), "dim int, block long, query_id long, score long", "handed")
     row = F.row_number().over(W.partitionBy("query_id", "dim", "block").orderBy(F.desc("score")))
     cuts = handed.withColumn("row", row).where(F.col("row") == k).groupBy("dim", "block").agg(F.collect_list("query_id").alias("cut_ids"), F.collect_list("score").alias("cuts"))
-    ready = named(blocks).join(cuts, ["dim", "block"], "left")
-    found = pairs.join(ready, ["dim", "block"]).mapInPandas(collect(k, lead), "query_id long, vec_id long, score long")
+    ready = staged(blocks.join(cuts, ["dim", "block"], "left"), "cutoffs")
+    found = met(ready, collect(k, lead), "query_id long, vec_id long, score long", "found")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

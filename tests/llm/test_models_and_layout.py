@@ -22,12 +22,13 @@ SMALL = "/root/testdata/sf0.001"
 # ---- 6: top-k ----
 
 
-@pytest.mark.parametrize("block,k", [(7, 3), (1000, 20)])
-def test_best_scores_against_brute_force(spark, block, k):
+@pytest.mark.parametrize("block,k,most", [(7, 3, 1), (1000, 20, 64 << 20)])
+def test_best_scores_against_brute_force(spark, monkeypatch, block, k, most):
+    monkeypatch.setattr(topk_search, "BROADCAST_BYTES", most)  # 1: each block of queries in a round of its own
     rng = np.random.default_rng(k)
     rows = [(i, rng.normal(0, 0.3, 8).round(2).tolist()) for i in range(90)]
     rows += [(90, [float("nan")] * 8), (91, None), (92, [1.0, None] * 4), (93, []), (94, [0.5] * 5), (None, [0.1] * 8), (95, rows[0][1]), (0, rows[1][1]), (96, [float("inf")] * 8), (100, [1e18] * 8), (101, [-1e18] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'d' as dim", "1 as block", "2 as id", "'v' as vector", "0 as round").repartition(3)
     grid = {}
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
