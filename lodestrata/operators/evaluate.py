@@ -13,10 +13,14 @@ def label_results(results: DataFrame, chunks: DataFrame, cases: DataFrame) -> Da
     return placed.join(wanted, ["query_id", "filename", "page_number", "chunk_index"], "left").withColumn("relevant", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def retrieval_metrics(results: DataFrame, cases: DataFrame, k: int) -> DataFrame:
-    """AGG9: recall_at_k and mrr by mode, over all cases. results: mode, query_id, rank, relevant."""
+def retrieval_metrics(results: DataFrame, cases: DataFrame, k: int, modes: list[str] | None = None) -> DataFrame:
+    """AGG9: recall_at_k and mrr by mode, over all cases. results: mode, query_id, rank, relevant.
+
+    modes: names, few, of which each has a row also where results have none of it; without, those that results have.
+    """
     first = results.where("relevant").groupBy("mode", "query_id").agg(F.min("rank").alias("first"))
-    every = results.select("mode").distinct().crossJoin(F.broadcast(cases.select("query_id").distinct()))
+    named = results.select("mode").distinct() if modes is None else results.sparkSession.createDataFrame([(m,) for m in modes], "mode string")
+    every = cases.select("query_id").distinct().crossJoin(F.broadcast(named))
     scored = every.join(first, ["mode", "query_id"], "left")
     hit = F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))
     return scored.groupBy("mode").agg(F.round(F.avg(hit), 6).alias("recall_at_k"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.count("*").alias("cases"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a table that one broadcast may hold; a larger one is broadcast in rounds.
 ROUND_BYTES = 16 << 20
+#: What this process has staged, until `remove_staged`.
+STAGED: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -41,6 +43,7 @@ def small_batches(spark: SparkSession, rows: int):
 def staged(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     """df written and read again: cuts the lineage and keeps work from being done twice."""
     path = new_path(df.sparkSession, name)
+    STAGED.append(path)
     with small_batches(df.sparkSession, batch):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -60,3 +63,13 @@ def in_rounds(blocks: DataFrame, size: Column, name: str, limit: int | None = No
     if not last:
         return held.drop("_at").withColumn("round", F.lit(0)), 0 if last is None else 1
     return staged(held.join(rounds, "_at").drop("_at"), name, 64), last + 1
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete the tables that this process has staged, once nothing is read from them any more; how many there were."""
+    paths = STAGED[:]
+    STAGED.clear()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

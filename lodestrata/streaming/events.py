@@ -276,10 +276,15 @@ def rate_limit(events: DataFrame, key: str, limit: int = LIMIT, window_ms: int =
 
 def consume_once(attempts: DataFrame, tie: str = "event_id") -> DataFrame:
     """STM4: attempts with `outcome`: the first before expires_at consumes; later ones are replays, others expired.
-    attempts: object_path, ts, expires_at."""
+
+    attempts: object_path, ts, expires_at, and tie, which tells attempts of one time apart. A path's first attempt is an aggregate that is
+    joined back: no task holds or sorts all attempts on a path.
+    """
     fresh = F.col("ts") < F.col("expires_at")
-    n = F.sum(fresh.cast("int")).over(W.partitionBy("object_path").orderBy("ts", tie).rowsBetween(W.unboundedPreceding, 0))
-    return attempts.withColumn("outcome", F.when(~fresh, "EXPIRED").when(n == 1, "CONSUMED").otherwise("REPLAYED"))
+    first = attempts.where(fresh).groupBy(F.col("object_path").alias("_path")).agg(F.min(F.struct("ts", tie)).alias("_first"))
+    joined = attempts.join(first, F.col("object_path").eqNullSafe(F.col("_path")), "left")
+    used = F.struct("ts", tie).eqNullSafe(F.col("_first"))
+    return joined.withColumn("outcome", F.when(~fresh, "EXPIRED").when(used, "CONSUMED").otherwise("REPLAYED")).drop("_path", "_first")
 
 
 def close_stale_requests(events: DataFrame, now: Column, timeout_s: int = TIMEOUT_SECONDS, code: str = "STREAM_TIMEOUT") -> DataFrame:

@@ -6,7 +6,7 @@ from lodestrata.plans.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 #: A query of each family, compared with its SQL at the smallest scale; the driver compares all.
-SAMPLE = ["group_three_keys", "describe_orders", "bm25_topk", "rerank", "rrf_fused", "boilerplate_lines", "overlap_spans", "claim_coverage", "screen_inputs", "rate_limit_users", "validate_events", "fold_requests", "retrieval_debug", "search_segments", "verdicts", "judged_grounding", "csv_dataset", "event_frames", "ingested_documents", "headings"]
+SAMPLE = ["group_three_keys", "describe_orders", "bm25_topk", "rerank", "rrf_fused", "boilerplate_lines", "overlap_spans", "claim_coverage", "screen_inputs", "rate_limit_users", "validate_events", "fold_requests", "retrieval_debug", "search_segments", "verdicts", "judged_grounding", "csv_dataset", "event_frames", "ingested_documents", "headings", "dataset_checksums", "checked_operations", "fold_requests_stream"]
 
 
 def test_entry_gives_ranked_contexts(spark):

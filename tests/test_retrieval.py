@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -136,6 +137,13 @@ def test_work_is_spread_without_broadcast_joins(spark):
             spark.conf.set(k, v)
 
 
+def test_staged_tables_can_be_removed(spark, tmp_path):
+    kept = staging.staged(spark.range(3).toDF("id"), "kept")
+    paths = [f.removeprefix("file://").rsplit("/", 1)[0] for f in kept.inputFiles()]
+    assert kept.count() == 3 and os.path.isdir(paths[0])
+    assert staging.remove_staged(spark) >= 1 and not os.path.exists(paths[0]) and staging.remove_staged(spark) == 0
+
+
 def test_queries_in_many_rounds(spark, monkeypatch):
     rng = np.random.default_rng(7)
     vs = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(90)], "vector_id long, embedding array<double>")
@@ -177,6 +185,8 @@ def test_metrics_count_queries_without_hits(spark):
     res = spark.createDataFrame([("h", "1", 2, True), ("h", "2", 1, False)], "mode string, query_id string, rank int, relevant boolean")
     m = ev.retrieval_metrics(res, spark.createDataFrame([("1",), ("2",), ("3",)], "query_id string"), 3).head()
     assert (round(m.recall_at_k, 4), round(m.mrr, 4), m.cases) == (0.3333, 0.1667, 3)
+    both = ev.retrieval_metrics(res, spark.createDataFrame([("1",), ("2",)], "query_id string"), 3, ["h", "none"]).collect()
+    assert {x["mode"]: (x.recall_at_k, x.cases) for x in both} == {"h": (0.5, 2), "none": (0.0, 2)}
 
 
 def test_owner_filter_of_nothing(spark):
