@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm._shared import small_batches, staged, table
 from lodestrata.llm.topk_search import exact
+from lodestrata.sources.staging import in_rounds
 
 CHUNK, BLOCK = 2048, 512
 #: Bytes of anchors that are broadcast at a time.
@@ -211,8 +212,8 @@ def find_negatives(k: int, share: tuple[int, int]) -> Callable:
     return run
 
 
-def in_blocks(anchors: DataFrame, size: int) -> DataFrame:
-    """Blocks of anchors of like signs with their trees, and the round in which each is broadcast."""
+def in_blocks(anchors: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Blocks of anchors of like signs with their trees and the round in which each is broadcast, and how many rounds there are."""
 
     def planted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -227,20 +228,15 @@ def in_blocks(anchors: DataFrame, size: int) -> DataFrame:
         once = anchors.groupBy("id").agg(F.min(F.struct("vector", "label")).alias("own")).select("id", "own.*")
         sorted_ = once.repartitionByRange(signs, "id").sortWithinPartitions(signs, "id")
         packets = packed(sorted_, size).mapInPandas(planted, "a_ids binary, a_labels binary, a_values binary, dim int, nodes binary, parents binary, edges binary")
-        blocks = staged(packets.withColumn("block", F.monotonically_increasing_id()), "anchor-blocks")
-    # a row of two numbers for `size` anchors
-    ends = blocks.select("block", F.sum(F.octet_length("a_values")).over(W.orderBy("block")).alias("end"))
-    return staged(blocks.join(ends.select("block", F.floor((F.col("end") - 1) / BROADCAST_BYTES).cast("int").alias("round")), "block"), "anchor-rounds")
+        return in_rounds(packets.withColumn("block", F.monotonically_increasing_id()), F.octet_length("a_values"), "anchor-blocks", BROADCAST_BYTES)
 
 
-def against(chunks: DataFrame, blocks: DataFrame, search: Callable, kind: str, name: str) -> DataFrame:
+def against(chunks: DataFrame, blocks: DataFrame, rounds: int, search: Callable, kind: str, name: str) -> DataFrame:
     """search over all pairs of chunks and blocks, one round of blocks after the other."""
-    spark = chunks.sparkSession
-    rounds = blocks.agg(F.max("round")).first()[0]
-    out = spark.createDataFrame([], kind)
-    for r in range(0 if rounds is None else rounds + 1):
+    out = chunks.sparkSession.createDataFrame([], kind)
+    for r in range(rounds):
         pairs = chunks.join(F.broadcast(blocks.where(F.col("round") == r)), "dim")
-        with small_batches(spark, 8):
+        with small_batches(chunks.sparkSession, 8):
             out = out.unionByName(staged(pairs.mapInPandas(search, kind), name))
     return out
 
@@ -256,14 +252,14 @@ def mine(
         rows = rows.repartition(spark.sparkContext.defaultParallelism)  # a small file is one split, and what follows is heavy
     with small_batches(spark):
         chunks = staged(packed(rows, chunk), "chunks")
-    blocks = in_blocks(usable(anchors, to_grid, vec_id, embedding, label), block)
-    first = against(chunks, blocks, find_positives(positives), "block long, anchor_id long, positive_id long, positive_score long", "positives")
+    blocks, rounds = in_blocks(usable(anchors, to_grid, vec_id, embedding, label), block)
+    first = against(chunks, blocks, rounds, find_positives(positives), "block long, anchor_id long, positive_id long, positive_score long", "positives")
     place = F.row_number().over(W.partitionBy("block", "anchor_id").orderBy(F.desc("positive_score"), "positive_id"))
     best = first.withColumn("place", place).where(F.col("place") <= positives)
     # a block's anchors have `positives` windows each at most
     windows = best.groupBy("block").agg(F.collect_list(F.struct("anchor_id", "place", "positive_id", "positive_score")).alias("windows"))
     ready = staged(blocks.join(windows, "block"), "anchor-windows")
-    found = against(chunks, ready, find_negatives(negatives, share), "anchor_id long, place int, positive_id long, positive_score long, negative_id long, negative_score long", "negatives")
+    found = against(chunks, ready, rounds, find_negatives(negatives, share), "anchor_id long, place int, positive_id long, positive_score long, negative_id long, negative_score long", "negatives")
     rank = F.row_number().over(W.partitionBy("anchor_id", "place").orderBy(F.desc("negative_score"), "negative_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
