@@ -58,7 +58,8 @@ def in_rounds(blocks: DataFrame, size: Column, name: str, limit: int | None = No
     limit = limit or ROUND_BYTES
     held = staged(blocks.withColumn("_at", F.monotonically_increasing_id()), name, 64)
     ends = held.select("_at", F.sum(size.cast("long")).over(W.orderBy("_at").rowsBetween(W.unboundedPreceding, 0)).alias("_end"))
-    rounds = ends.select("_at", F.floor((F.col("_end") - 1) / limit).cast("int").alias("round"))
+    filled = ends.select("_at", F.floor((F.col("_end") - 1) / limit).alias("_full"))
+    rounds = filled.select("_at", (F.dense_rank().over(W.orderBy("_full")) - 1).alias("round"))  # large blocks leave no numbers out
     last = rounds.agg(F.max("round")).first()[0]
     if not last:
         return held.drop("_at").withColumn("round", F.lit(0)), 0 if last is None else 1
