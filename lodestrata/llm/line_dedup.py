@@ -121,7 +121,8 @@ def dedup_lines(docs: DataFrame, noise: int = NOISE, guarantee: int = GUARANTEE,
     gone = gone.withColumnRenamed("doc_id", id_).withColumnRenamed("text_hash", hash_)
     joined = docs.join(gone, docs[doc_id].eqNullSafe(gone[id_]) & (F.xxhash64(docs[text]) == gone[hash_]), "left")
     parts = F.split(docs[text], "\n")
-    clean = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone_), lambda i: F.get(parts, i)), "\n")
+    left = lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), gone_), lambda i: F.get(p, i)), "\n")
+    clean = F.get(F.transform(F.array(parts), left), F.lit(0))  # the text is split once, not for each line
     columns = [F.when(F.col(gone_).isNull(), docs[c]).otherwise(clean).alias(c) if c == text else docs[c] for c in docs.columns]
     if report:
         columns.append(F.coalesce(gone_, F.array().cast("array<int>")).alias(report))
