@@ -9,9 +9,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from math import isnan
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -19,6 +20,8 @@ from lodestrata.sources.keyed import KeyedStore
 from lodestrata.streaming.events import CITATION, LABELS, LIMIT, PHASES, TERMINAL, TIMEOUT_SECONDS, WINDOW_MS
 
 DAY_MS = 86_400_000
+#: Events of a request that are kept with its head.
+RECENT = 256
 STATE = (
     f"request_id string, phase string, route string, answer string, citations array<{CITATION}>, decision string, groundedness double, citation_coverage double, "
     "latency_ms long, rewrite_count int, error string, activity array<string>, last_sequence int"
@@ -142,23 +145,35 @@ def fold(events: list[dict]) -> dict:
 
 
 class KeptEvents:
-    """The map state of a request's events."""
+    """A request's events: those that came last, kept with its head, and a map state of the ones before.
 
-    def __init__(self, state):
-        self.state = state
+    Each call of a state costs milliseconds, so events go to the map only once RECENT of them are together.
+    """
+
+    def __init__(self, state, recent: list, moved: bool):
+        self.state, self.moved = state, moved  # moved: whether the map holds any
+        self.recent = {at: tuple(event) for at, event in recent}
 
     def get(self, at: int):
+        if (event := self.recent.get(at)) is not None or not self.moved:
+            return event
         return self.state.getValue((at,)) if self.state.containsKey((at,)) else None
 
     def put(self, at: int, event: tuple) -> None:
-        self.state.updateValue((at,), event)
+        self.recent[at] = event
+        if len(self.recent) > RECENT:
+            for own, kept in self.recent.items():
+                self.state.updateValue((own,), kept)
+            self.recent, self.moved = {}, True
 
     def items(self) -> Iterator[tuple[int, tuple]]:
-        return ((int(k[0]), tuple(v)) for k, v in self.state.iterator())
+        if self.moved:
+            yield from ((int(k[0]), tuple(v)) for k, v in self.state.iterator())
+        yield from self.recent.items()
 
 
 class RequestFold(StatefulProcessor):
-    """Keeps a request's events in a map by sequence and what they come to beside it: an arrival reads and writes itself only."""
+    """Keeps what a request's events come to, with the last of them, in one value, which an arrival reads and writes once; earlier ones in a map by sequence."""
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
@@ -167,13 +182,14 @@ class RequestFold(StatefulProcessor):
         self.head = handle.getValueState("head", "body string", self.ttl_ms)
         self.events = handle.getMapState("events", "sequence int", "type string, token string", self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = Fold(json.loads(self.head.get()[0]) if self.head.exists() else None, KeptEvents(self.events))
-        for part in rows:
-            for body in part["body"]:
-                own.take(json.loads(body))
-        self.head.update((json.dumps(own.head),))
-        yield pd.DataFrame([{"request_id": key[0]} | own.row()]).astype({"latency_ms": "Int64", "rewrite_count": "Int32"})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.head.get()
+        head, recent, moved = json.loads(held[0]) if held else (None, [], False)
+        own = Fold(head, KeptEvents(self.events, recent, moved))
+        for row in rows:
+            own.take(json.loads(row["body"]))
+        self.head.update((json.dumps([own.head, list(own.events.recent.items()), own.events.moved]),))
+        yield Row(request_id=key[0], **own.row())
 
     def close(self) -> None:
         pass
@@ -185,7 +201,7 @@ def fold_requests_stream(events: DataFrame, ttl_ms: int | None = DAY_MS) -> Data
     events: request_id, sequence, type and fields. Of several events of one sequence the one that arrives first holds.
     """
     body = events.select("request_id", F.to_json(F.struct(*[c for c in events.columns if c != "ts"])).alias("body"))
-    return body.groupBy("request_id").transformWithStateInPandas(RequestFold(ttl_ms), STATE, "Update", time_mode(ttl_ms))
+    return body.groupBy("request_id").transformWithState(RequestFold(ttl_ms), STATE, "Update", time_mode(ttl_ms))
 
 
 class Limiter(StatefulProcessor):
@@ -281,23 +297,28 @@ class RequestTotals(StatefulProcessor):
     def init(self, handle) -> None:
         self.held = handle.getValueState("held", "route string, " + ", ".join(f"{c} long" for c in COUNTED), self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = tuple(self.held.get()) if self.held.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = self.held.get()
         route, *sums = old or (None, *[0] * len(COUNTED))
         new = dict(zip(COUNTED, map(int, sums), strict=True))
-        for part in rows:
-            of = lambda c, *kinds, p=part: p.loc[p["type"].isin(kinds), c].dropna()
-            route = max([*([route] if route is not None else []), *of("route", "route.selected")], default=None)
-            new["candidates"] += int(of("candidate_count", "retrieval.completed").sum())
-            new["retrieval_ms"] += int(of("latency_ms", "retrieval.completed").sum())
-            for name, column, kinds in (("total_ms", "latency_ms", TERMINAL[:1]), ("citations", "citation_count", TERMINAL[:1]), ("rewrites", "rewrite_count", ["guardrail.completed", *TERMINAL[:1]])):
-                new[name] = max([new[name], *map(int, of(column, *kinds))])
-            new["errors"] += int((part["type"] == "error").sum())
+        candidates, retrieval_ms = 0.0, 0.0
+        for row in rows:
+            kind = row["type"]
+            of = lambda c, row=row: 0.0 if row[c] is None or isnan(row[c]) else row[c]
+            if kind == "route.selected" and row["route"] is not None:
+                route = row["route"] if route is None else max(route, row["route"])
+            elif kind == "retrieval.completed":
+                candidates, retrieval_ms = candidates + of("candidate_count"), retrieval_ms + of("latency_ms")
+            elif kind == TERMINAL[0]:
+                new["total_ms"], new["citations"] = max(new["total_ms"], int(of("latency_ms"))), max(new["citations"], int(of("citation_count")))
+            if kind in ("guardrail.completed", TERMINAL[0]):
+                new["rewrites"] = max(new["rewrites"], int(of("rewrite_count")))
+            new["errors"] += kind == "error"
+        new["candidates"], new["retrieval_ms"] = new["candidates"] + int(candidates), new["retrieval_ms"] + int(retrieval_ms)
         self.held.update((route, *new.values()))
-        signed = [(route, 1, *new.values())]
+        yield Row(route=route, requests=1, **new)
         if old:
-            signed.append((old[0], -1, *[-int(x) for x in old[1:]]))
-        yield pd.DataFrame(signed, columns=["route", "requests", *COUNTED])
+            yield Row(route=old[0], requests=-1, **{c: -int(x) for c, x in zip(COUNTED, old[1:], strict=True)})
 
     def close(self) -> None:
         pass
@@ -310,7 +331,7 @@ def request_metrics_stream(events: DataFrame, ttl_ms: int | None = DAY_MS) -> Da
     """
     numbers = ["candidate_count", "latency_ms", "citation_count", "rewrite_count"]
     slim = events.select("request_id", "type", "route", *[F.col(c).cast("double").alias(c) for c in numbers])
-    return slim.groupBy("request_id").transformWithStateInPandas(RequestTotals(ttl_ms), "route string, requests long, " + ", ".join(f"{c} long" for c in COUNTED), "Append", time_mode(ttl_ms))
+    return slim.groupBy("request_id").transformWithState(RequestTotals(ttl_ms), "route string, requests long, " + ", ".join(f"{c} long" for c in COUNTED), "Append", time_mode(ttl_ms))
 
 
 def route_totals(changes: DataFrame) -> DataFrame:

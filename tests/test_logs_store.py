@@ -357,3 +357,42 @@ def test_upload_intents(spark):
     intents = spark.createDataFrame(rows, "upload_id string, asset_type string, object_path string, size_bytes int, e int, c int").withColumn("expires_at", F.timestamp_seconds("e")).withColumn("consumed_at", F.timestamp_seconds("c"))
     got = store.valid_intents(intents, spark.createDataFrame([("p1", 5)], "object_path string, stored_bytes int"), "1970-01-01 00:00:05", "document")
     assert [r.reason for r in got.orderBy("upload_id").collect()] == [None, "WRONG_ASSET_TYPE", "ALREADY_CONSUMED", "EXPIRED", "OBJECT_MISSING", "SIZE_MISMATCH"]
+
+
+class Counted:
+    """A map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.held
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def iterator(self):
+        return iter(self.held.items())
+
+
+def test_events_beside_the_head_call_no_state(monkeypatch):
+    monkeypatch.setattr(st, "RECENT", 20)
+    state, want = Counted(), st.Fold(None, st.Held())
+    own = st.Fold(None, st.KeptEvents(state, [], False))
+    order = [i ^ 3 for i in range(40, 100)] + list(range(1, 40)) + [50, 5]
+    for n, at in enumerate(order, 1):
+        event = {"sequence": at, "type": "generation.token" if at % 3 else "route.selected", "token": f"t{at} ", "route": str(at)}
+        own.take(event)
+        want.take(event)
+        if n == 20:
+            assert state.calls == 0
+        kept = json.loads(json.dumps([own.head, list(own.events.recent.items()), own.events.moved]))  # as between batches
+        own = st.Fold(kept[0], st.KeptEvents(state, *kept[1:]))
+        assert own.row() == want.row()
+    assert len(state.held) + len(own.events.recent) == 99 and len(own.events.recent) <= 20
