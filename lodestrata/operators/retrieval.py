@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ EMBEDDING_STOP_WORDS = ["a", "an", "and", "are", "document", "documents", "find"
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 VECTOR_TOP_K, LEXICAL_TOP_K, RERANK_TOP_K, FINAL_TOP_K, MIN_SIMILARITY = 20, 20, 10, 5, 0.25
 # --- end of fixed values ---
+#: Texts whose vectors a task holds at once.
+EMBEDDED = 1000
 
 
 def filter_owners(df: DataFrame, ids: list | DataFrame | None, column: str = "document_id") -> DataFrame:
@@ -57,11 +61,13 @@ def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list], o
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            texts = part[text_col].fillna("").tolist()
-            vectors = embedder(texts)
-            if len(vectors) != len(texts) or any(len(v) == 0 for v in vectors):
-                raise ValueError("the embedder must return one non-empty vector for each text")
-            yield part.assign(**{out: list(vectors)})
+            for i in range(0, len(part), EMBEDDED):
+                own = part.iloc[i : i + EMBEDDED]
+                texts = own[text_col].fillna("").tolist()
+                vectors = embedder(texts)
+                if len(vectors) != len(texts) or any(len(v) == 0 for v in vectors):
+                    raise ValueError("the embedder must return one non-empty vector for each text")
+                yield own.assign(**{out: list(vectors)})
 
     return df.mapInPandas(run, schema)
 
@@ -117,28 +123,50 @@ def blocks(vectors: DataFrame, names: str, values: str, rows: int) -> DataFrame:
     return vectors.mapInPandas(pack, f"dim int, block int, {names} array<string>, {values} binary")
 
 
-def nearest(k: int) -> Callable:
-    """The k nearest of each pair of blocks by (cosine distance, id), kept as a running best per task."""
+def nearest(asked, k: int, block: int) -> Callable:
+    """The k nearest of each query by (cosine distance, id), kept as a running best per task.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[str, list[tuple[float, str]]] = {}
-        for part in parts:
-            for row in part.itertuples():
-                q_names, v_names = list(row.q_names), np.array(list(row.v_names), dtype=object)
-                if row.dim == row.v_dim and row.dim:
-                    q, v = np.frombuffer(row.q_values).reshape(-1, row.dim), np.frombuffer(row.v_values).reshape(-1, row.dim)
-                    qn, vn = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        d = np.round(np.maximum(0.0, 1 - (q @ v.T) / (qn[:, None] * vn[None, :])), 12)
-                    d[(qn == 0)[:, None] | (vn == 0)[None, :]] = 1.0
-                else:
-                    d = np.full((len(q_names), len(v_names)), 2.0)
-                edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                for i, name in enumerate(q_names):
-                    at = np.flatnonzero(d[i] <= edge[i])
-                    best[name] = sorted(best.get(name, []) + list(zip(d[i][at].tolist(), v_names[at], strict=True)))[:k]
-        rows = [(q, v, d) for q, own in best.items() for d, v in own]
-        yield pd.DataFrame(rows, columns=["query_id", "vector_id", "distance"])
+    asked: a broadcast of [(dim, names, values)] of blocks of queries. Vectors are taken `block` at a time, those of one length together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = [(dim, names, np.frombuffer(values).reshape(len(names), dim)) for dim, names, values in asked.value]
+        best = [[([], [])] * len(names) for _, names, _ in queries]  # of each query: distances, ids
+        least = [np.full(len(names), np.inf) for _, names, _ in queries]  # the k-th best distance so far
+
+        def meet(n: int, names: np.ndarray, v: np.ndarray) -> None:
+            dim, q_names, q = queries[n]
+            if dim == v.shape[1] and dim:
+                qn, vn = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d = np.round(np.maximum(0.0, 1 - (q @ v.T) / (qn[:, None] * vn[None, :])), 12)
+                d[(qn == 0)[:, None] | (vn == 0)[None, :]] = 1.0
+            else:
+                d = np.full((len(q_names), len(names)), 2.0)
+            edge = np.minimum(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1], least[n])
+            close = d <= edge[:, None]
+            for i in np.flatnonzero(close.any(1)):
+                own = sorted(zip([*best[n][i][0], *d[i, close[i]].tolist()], [*best[n][i][1], *names[close[i]]], strict=True))[:k]
+                best[n][i] = tuple(zip(*own, strict=True))
+                if len(own) == k:
+                    least[n][i] = own[-1][0]
+
+        for batch in batches:
+            names, lists = np.array(batch.column("id").to_pylist(), object), batch.column("embedding")
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            starts, flat = np.cumsum(lengths) - lengths, lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            for dim in np.unique(lengths):
+                rows = np.flatnonzero(lengths == dim)
+                for i in range(0, len(rows), block):
+                    at = rows[i : i + block]
+                    v = flat[starts[at][:, None] + np.arange(dim)]
+                    for n in range(len(queries)):
+                        meet(n, names[at], v)
+        for (_, names, _), own in zip(queries, best, strict=True):
+            for i in range(0, len(names), block):
+                rows = [(name, x, d) for name, found in zip(names[i : i + block], own[i : i + block], strict=True) for d, x in zip(*found, strict=True)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.float64()), strict=True)], names=["query_id", "vector_id", "distance"])
 
     return run
 
@@ -146,21 +174,22 @@ def nearest(k: int) -> Callable:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, owners: list | None = None, block: int = 1024) -> DataFrame:
     """VEC2/JOI2: query_id, vector_id, distance, rank of the k nearest vectors of each query, exactly.
 
-    Vectors and queries are packed into blocks. Blocks of queries are broadcast, a bounded number of bytes at a time, so each block of
-    vectors meets them in the task that holds it: the work is spread as the vectors are, and only k rows a query and task are shuffled
-    for the final rank. Lengths that differ give distance 2, a zero vector 1. Distances are rounded to the 12th place: equal vectors are
-    ties wherever they stand in a block.
+    Queries are packed into blocks and broadcast, a bounded number of bytes at a time, and meet the vectors in the tasks that hold
+    them: the work is spread as the vectors are, a task holds an Arrow batch of vectors beside the queries of a round, and only k rows
+    a query and task are shuffled for the final rank. Lengths that differ give distance 2, a zero vector 1. Distances are rounded to
+    the 12th place: equal vectors are ties wherever they stand in a block.
     """
-    vectors = filter_owners(vectors, owners, "owner_id")
-    slim = lambda df, key: df.select(F.col(key).cast("string").alias("id"), "embedding", F.lit(0).alias("block"))
-    asked, rounds = in_rounds(blocks(slim(queries, "query_id"), "q_names", "q_values", block).drop("block"), F.octet_length("q_values"), "queries")
-    held = blocks(slim(vectors, "vector_id"), "v_names", "v_values", block).select("v_names", "v_values", F.col("dim").alias("v_dim"))
+    spark, vectors = queries.sparkSession, filter_owners(vectors, owners, "owner_id")
+    slim = lambda df, key: df.select(F.col(key).cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked, rounds = in_rounds(blocks(slim(queries, "query_id").withColumn("block", F.lit(0)), "q_names", "q_values", block).drop("block"), F.octet_length("q_values"), "queries")
+    held = slim(vectors, "vector_id")
     if rounds > 1:
-        held = staged(held, "vectors", 16)
+        held = staged(held, "vectors")
     kind = "query_id string, vector_id string, distance double"
-    found = queries.sparkSession.createDataFrame([], kind)
+    found = spark.createDataFrame([], kind)
     for r in range(rounds):
-        found = found.unionByName(held.crossJoin(F.broadcast(asked.where(F.col("round") == r))).mapInPandas(nearest(k), kind))
+        own = [(row["dim"], list(row["q_names"]), bytes(row["q_values"])) for row in asked.where(F.col("round") == r).collect()]  # of one round: bounded
+        found = found.unionByName(held.mapInArrow(nearest(spark.sparkContext.broadcast(own), k, block), kind))
     return rank_candidates(found, [F.col("distance"), F.col("vector_id")], k)
 
 

@@ -223,3 +223,36 @@ def test_approximate_neighbours_are_found(spark, scale):
     found = QUERIES["knn_approx_recall"](spark, f"/root/testdata/{scale}").collect()
     assert sum(x.recall for x in found) >= 0.9 * len(found) > 0
     assert sum(x.scored_share for x in found) < 0.1 * len(found)
+
+
+def test_a_labels_first_rows_are_ranked_once(spark, monkeypatch):
+    from lodestrata.plans import search
+
+    met, ranked = [], r.rank_candidates
+    monkeypatch.setattr(r, "rank_candidates", lambda df, order, k=None: (met.append(df) if "c" in df.columns else None, ranked(df, order, k))[1])
+    search.rrf_fused(spark, "/root/testdata/sf0.01")
+    assert [df.count() for df in met] == [20 * search.vector_tables(spark, "/root/testdata/sf0.01")[0].count()]
+
+
+def test_vectors_meet_queries_without_a_join(spark):
+    e = spark.createDataFrame([(str(i), [float(i % 7), 1.0] if i % 5 else [1.0] * (i % 3) if i % 10 else None) for i in range(300)], "id string, embedding array<double>")
+    found = r.knn(e.where("id < 3").withColumnRenamed("id", "query_id"), e.withColumnRenamed("id", "vector_id"), 4, block=7)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    rows = {x.id: x.embedding or [] for x in e.collect()}
+
+    def distance(a, b):
+        if len(a) != len(b) or not a:
+            return 2.0
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(max(0.0, 1 - np.dot(a, b) / size), 12) if size else 1.0
+
+    want = {(q, n, v) for q in rows if int(q) < 3 for n, (_, v) in enumerate(sorted((distance(rows[q], rows[v]), v) for v in rows)[:4], 1)}
+    assert {(x.query_id, x["rank"], x.vector_id) for x in found.collect()} == want
+
+
+def test_texts_are_embedded_some_at_a_time(spark):
+    def embedder(texts):
+        assert len(texts) <= 1000
+        return [[1.0]] * len(texts)
+
+    assert r.embed(spark.range(2500).selectExpr("string(id) AS t").coalesce(1), "t", embedder).count() == 2500
