@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as tx
@@ -147,7 +148,9 @@ def rrf_fused(spark, d):
     queries, vectors = vector_tables(spark, d)
     near = retrieval.knn(queries, vectors, 20).select("query_id", F.col("vector_id").alias("chunk_id"), "rank")
     labels = table(spark, d, "embeddings").select("vec_id", "label")
-    same = labels.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "label").join(labels.withColumnRenamed("vec_id", "c"), "label")
+    # the order does not depend on the query: a label's first rows are those of each of its queries
+    first = labels.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("vec_id"))).where("n <= 20").select("label", F.col("vec_id").alias("c"))
+    same = labels.where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "label").join(first, "label")
     by_label = retrieval.rank_candidates(same, [F.col("c")], 20).select("query_id", F.col("c").cast("string").alias("chunk_id"), "rank")
     return rounded(retrieval.rrf(near, by_label), "rrf_score", places=8)
 
@@ -284,8 +287,6 @@ jn AS (SELECT sg.*, coalesce((SELECT string_agg(text, ' ' ORDER BY t0, t1, text)
 
 
 def media_tables(spark, d):
-    from pyspark.sql import Window as W
-
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("video_id"), "event_id", "event_type", "ts")
     first = F.min("ts").over(W.partitionBy("video_id"))
     e = e.withColumn("s", F.floor(F.floor((F.date_trunc("second", "ts").cast("long") - F.date_trunc("second", first).cast("long"))) / 10000.0).cast("double"))
