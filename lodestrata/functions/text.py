@@ -19,12 +19,20 @@ ANALYTICS_TERMS = ["aggregate", "average", "calculate", "compare", "count", "csv
 VIDEO_TERMS = ["clip", "frame", "minute", "scene", "timestamp", "transcript", "video", "watch"]
 DOCUMENT_TERMS = ["contract", "document", "file", "page", "pdf", "policy", "report", "section"]
 # --- end of fixed values ---
+#: Characters, as in a class of a pattern, that NFKC leaves as they are, whatever stands beside them, and case folding lowers (ß: ss).
+PLAIN = r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u00FF\u2012-\u2015\u2018-\u2022\u20AC"
 
 
 @F.pandas_udf(T.StringType())
-def fold_text(texts: pd.Series) -> pd.Series:
-    """NFKC and case folding, which Spark has no function for (TXT1-3)."""
-    return texts.map(lambda t: None if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold())
+def fold_other(texts: pd.Series) -> pd.Series:
+    """NFKC and case folding of any text, which Spark has no function for."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def fold_text(text: Column) -> Column:
+    """NFKC and case folding (TXT1-3). Texts of PLAIN characters fold by lower case and ß alone; only others go to Python."""
+    other = text.rlike(f"[^{PLAIN}]")
+    return F.when(~other, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(fold_other(F.when(other, text)))
 
 
 def normalize_query(text: Column) -> Column:
