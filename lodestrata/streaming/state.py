@@ -6,12 +6,15 @@ without data, so a query that is to end by itself (availableNow) takes ttl_ms=No
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Callable, Iterator
-from math import isnan
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -286,52 +289,73 @@ def close_stale_stream(events: DataFrame, timeout_s: int = TIMEOUT_SECONDS, code
 
 
 COUNTED = ["candidates", "retrieval_ms", "total_ms", "citations", "rewrites", "errors"]
+TOTALS = pa.schema([("request_id", pa.string()), ("route", pa.string()), *[(c, pa.int64()) for c in COUNTED], ("ms", pa.int64())])
+#: How totals of one request come together; of a batch's events candidates and retrieval_ms are summed up as doubles first.
+TOGETHER = [("route", "max"), ("candidates", "sum"), ("retrieval_ms", "sum"), ("total_ms", "max"), ("citations", "max"), ("rewrites", "max"), ("errors", "sum")]
 
 
-class RequestTotals(StatefulProcessor):
-    """What a request adds to the metrics of its route; a change of it is taken back with the old sign and put in with the new."""
+def totals(rows: pa.Table) -> pa.Table:
+    """One row a request."""
+    return rows.group_by("request_id", use_threads=False).aggregate([*TOGETHER, ("ms", "max")]).rename_columns(TOTALS.names)
 
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
 
-    def init(self, handle) -> None:
-        self.held = handle.getValueState("held", "route string, " + ", ".join(f"{c} long" for c in COUNTED), self.ttl_ms)
+def metric_changes(new: pa.Table, old: pa.Table) -> pa.Table:
+    """By route, what the requests of new add and those of old take back; routes without a change are left out."""
+    parts = [t.select(["route", *COUNTED]).append_column("requests", pa.array(np.full(len(t), 1))) for t in (new, old)]
+    for c in ("requests", *COUNTED):
+        parts[1] = parts[1].set_column(parts[1].schema.get_field_index(c), c, pc.negate(parts[1][c]))
+    sums = pa.concat_tables(parts).group_by("route", use_threads=False).aggregate([(c, "sum") for c in ("requests", *COUNTED)])
+    sums = sums.rename_columns(["route", "requests", *COUNTED])
+    return sums.filter(functools.reduce(pc.or_, [pc.not_equal(sums[c], 0) for c in ("requests", *COUNTED)]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old = self.held.get()
-        route, *sums = old or (None, *[0] * len(COUNTED))
-        new = dict(zip(COUNTED, map(int, sums), strict=True))
-        candidates, retrieval_ms = 0.0, 0.0
-        for row in rows:
-            kind = row["type"]
-            of = lambda c, row=row: 0.0 if row[c] is None or isnan(row[c]) else row[c]
-            if kind == "route.selected" and row["route"] is not None:
-                route = row["route"] if route is None else max(route, row["route"])
-            elif kind == "retrieval.completed":
-                candidates, retrieval_ms = candidates + of("candidate_count"), retrieval_ms + of("latency_ms")
-            elif kind == TERMINAL[0]:
-                new["total_ms"], new["citations"] = max(new["total_ms"], int(of("latency_ms"))), max(new["citations"], int(of("citation_count")))
-            if kind in ("guardrail.completed", TERMINAL[0]):
-                new["rewrites"] = max(new["rewrites"], int(of("rewrite_count")))
-            new["errors"] += kind == "error"
-        new["candidates"], new["retrieval_ms"] = new["candidates"] + int(candidates), new["retrieval_ms"] + int(retrieval_ms)
-        self.held.update((route, *new.values()))
-        yield Row(route=route, requests=1, **new)
-        if old:
-            yield Row(route=old[0], requests=-1, **{c: -int(x) for c, x in zip(COUNTED, old[1:], strict=True)})
 
-    def close(self) -> None:
-        pass
+def fold_totals(ttl_ms: int | None) -> Callable:
+    """For applyInPandasWithState: what the requests of a bucket add to the metrics, kept as one Arrow table."""
+    events = pa.schema([f if f.name not in ("candidates", "retrieval_ms") else f.with_type(pa.float64()) for f in TOTALS])
 
-
-def request_metrics_stream(events: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
+    def run(key, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        now = 0 if ttl_ms is None else held.getCurrentProcessingTimeMs()
+        old = pa.ipc.open_stream(bytes(held.get[0])).read_all() if held.exists else TOTALS.empty_table()
+        if ttl_ms is not None:
+            old = old.filter(pc.greater(old["ms"], now - ttl_ms))
+        table = lambda p: pa.table([pa.array(p[f.name].to_numpy() if f.name != "ms" else np.full(len(p), now), f.type, from_pandas=True) for f in events], events)
+        found = [totals(table(p)) for p in parts]
+        fresh = totals(pa.concat_tables(found))
+        for c in ("candidates", "retrieval_ms"):
+            fresh = fresh.set_column(fresh.schema.get_field_index(c), c, pc.cast(pc.trunc(fresh[c]), pa.int64()))
+        new = totals(pa.concat_tables([old, fresh.cast(TOTALS)])).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, TOTALS) as out:
+            out.write_table(new)
+        held.update((sink.getvalue().to_pybytes(),))
+        if ttl_ms is not None:
+            held.setTimeoutDuration(ttl_ms)
+        yield metric_changes(new, old).to_pandas()
+
+    return run
+
+
+def request_metrics_stream(events: DataFrame, ttl_ms: int | None = DAY_MS, buckets: int = 2048) -> DataFrame:
     """STM2: signed changes of the metrics by route; their sums by route are at any time what request_metrics gives for the events so far.
 
     Numbers of events are not negative. A request of which nothing came for ttl_ms counts as another one if it goes on.
+    Requests lie in buckets by a hash of their id. A bucket comes to its task with its rows and is worked on as a whole, so calls are
+    as many as buckets, not requests; a bucket that gets an event is written again. A stream's number of buckets must not change.
     """
-    numbers = ["candidate_count", "latency_ms", "citation_count", "rewrite_count"]
-    slim = events.select("request_id", "type", "route", *[F.col(c).cast("double").alias(c) for c in numbers])
-    return slim.groupBy("request_id").transformWithState(RequestTotals(ttl_ms), "route string, requests long, " + ", ".join(f"{c} long" for c in COUNTED), "Append", time_mode(ttl_ms))
+    number = lambda c, *kinds: F.when(F.col("type").isin(*kinds), F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    whole = lambda c, *kinds: F.greatest(number(c, *kinds).cast("long"), F.lit(0))
+    slim = events.select(
+        F.pmod(F.xxhash64("request_id"), F.lit(buckets)).alias("bucket"), F.col("request_id").cast("string").alias("request_id"), F.when(F.col("type") == "route.selected", F.col("route")).alias("route"),
+        number("candidate_count", "retrieval.completed").alias("candidates"), number("latency_ms", "retrieval.completed").alias("retrieval_ms"),
+        whole("latency_ms", TERMINAL[0]).alias("total_ms"), whole("citation_count", TERMINAL[0]).alias("citations"), whole("rewrite_count", "guardrail.completed", TERMINAL[0]).alias("rewrites"),
+        F.when(F.col("type") == "error", 1).otherwise(0).cast("long").alias("errors"),
+    )
+    schema = "route string, requests long, " + ", ".join(f"{c} long" for c in COUNTED)
+    timeout = "NoTimeout" if ttl_ms is None else "ProcessingTimeTimeout"
+    return slim.groupBy("bucket").applyInPandasWithState(fold_totals(ttl_ms), schema, "body binary", "append", timeout)
 
 
 def route_totals(changes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,41 @@ def test_streamed_metrics_are_those_of_the_table_after_each_batch(spark, tmp_pat
         assert table(st.route_totals(changes.where(f"batch <= {batch}"))) == table(ev.request_metrics(so_far))
 
 
+def test_streamed_metrics_work_by_bucket_not_by_request(spark, tmp_path):
+    st.use_rocksdb(spark)
+    src = str(tmp_path / "in")
+    rows = spark.range(6000).select(F.concat(F.lit("r"), F.col("id") % 2000).alias("request_id"), F.lit("route.selected").alias("type"), F.element_at(F.array(*map(F.lit, ev.ROUTES)), (F.col("id") % 3 + 1).cast("int")).alias("route"), *[F.lit(1).alias(c) for c in ("candidate_count", "latency_ms", "citation_count", "rewrite_count")])
+    rows.unionByName(rows.limit(40).withColumn("request_id", F.lit(None).cast("string"))).repartition(2).write.parquet(src)
+    changes = logs.run_stream(st.request_metrics_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src), None, buckets=16), "append")
+    assert changes.where("batch = 0").count() <= 16 * 4 and changes.where("batch = 1").count() <= 16 * 4
+    assert {r.route: r.requests for r in st.route_totals(changes).collect()} == {r.route: r.requests for r in ev.request_metrics(spark.read.parquet(src)).collect()}
+
+
+class HeldBucket:
+    def __init__(self):
+        self.exists, self.hasTimedOut, self.now = False, False, 0
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def setTimeoutDuration(self, ms):
+        self.due = self.now + ms
+
+
+def test_a_request_without_events_for_its_lifetime_counts_anew():
+    held, run = HeldBucket(), st.fold_totals(100)
+    turns = [(0, ["a", "b"]), (60, ["a"]), (120, ["a", "b"])]  # a goes on, b is forgotten at 100
+    found = []
+    for held.now, ids in turns:
+        n = len(ids)
+        part = pd.DataFrame({"bucket": [0] * n, "request_id": ids, "route": ["x"] * n, "candidates": [1.5] * n, "retrieval_ms": [0.0] * n, "total_ms": [held.now] * n, "citations": [0] * n, "rewrites": [0] * n, "errors": [1] * n})
+        found.append(pd.concat(run((0,), iter([part, part]), held))[["requests", "candidates", "total_ms", "errors"]].to_numpy().tolist())
+    assert found == [[[2, 6, 0, 4]], [[0, 3, 60, 2]], [[1, 6, 180, 4]]] and held.due == 220
+
+
 def test_streamed_limiter_equals_the_table(spark, tmp_path):
     df = spark.createDataFrame([("a", i, t) for i, t in enumerate([0, 10, 20, 59, 60, 61])], "k string, event_id long, s long").select("k", "event_id", F.timestamp_seconds("s").alias("ts"))
     got = {(r.key, r.tie): (r.allowed, r.remaining, r.reset_ms) for r in streamed(spark, tmp_path, df, lambda s: st.rate_limit_stream(s, "k", 2, ttl_ms=None), "append").collect()}
