@@ -102,6 +102,35 @@ def test_a_range_of_two_to_the_48_is_not_shifted_away():
     assert lanes.range.tolist() == [1 << 48, 1 << 48] and lanes.length.tolist() == [1, 0]
 
 
+def test_ids_without_shares_and_near_the_limit():
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([np.minimum(rng.zipf(1.2, 60_000), 1 << 40) % 49_000, rng.integers(0, token_files.MOST, 40_000), [token_files.MOST - 1, 0]])
+    assert token_files.MOST >= 1 << 20
+    sizes, sums, payload = token_files.encode_ids(ids.astype("<u4"))
+    assert (token_files.decode_ids(len(ids), np.array(sizes), np.array(sums), payload) == ids).all()
+    shares, skip = token_files.Shares.read(payload)
+    assert 0 < len(shares.ids) < len(np.unique(ids)) and shares.sizes.min() >= 1 and 0 < shares.rest < 1 << 16
+    bad = bytearray(payload)
+    for at in (0, 4, skip // 2, skip + 11, len(payload) - 60):
+        bad[at] ^= 255
+        with pytest.raises(token_files.Damaged):
+            token_files.decode_ids(len(ids), np.array(sizes), np.array(sums), bytes(bad))
+        bad[at] ^= 255
+
+
+def test_as_many_ids_as_slots():
+    for n in (40_000, 87_000, 200_000):  # all of one count: with a share for each there would be too few slots
+        ids = np.arange(n)
+        sizes, sums, payload = token_files.encode_ids(ids.astype("<u4"))
+        assert (token_files.decode_ids(n, np.array(sizes), np.array(sums), payload) == ids).all()
+
+
+def test_plain_words_of_files_go_through_the_merge_model():
+    own = token_files.word_ids(WORDS)
+    list(own.encode_all(["Once again, once again"]))
+    assert own.model and {"once", "again"} <= set(own.parts.known)
+
+
 def test_damage_is_noticed():
     ids = np.arange(3000)
     sizes, sums, payload = token_files.encode_ids(ids.astype("<u4"))
