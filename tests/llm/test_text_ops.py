@@ -125,6 +125,14 @@ def test_as_many_ids_as_slots():
         assert (token_files.decode_ids(n, np.array(sizes), np.array(sums), payload) == ids).all()
 
 
+def test_words_of_a_run_stay_apart():
+    own = token_files.word_ids(WORDS)
+    texts = ["a,\n,b  ", "", None, " ", "É-é,", "don't \n\n'S'll it's", "x\ty\r\nz", "ok<|x|> <|endoftext|> ok", "日本 İI ½ a\u0301", "12,3", "\n", "...", "a, ,b"] * 3
+    for some in (texts, texts[:1], texts[3:4], texts[8:9], []):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(some)] == [own.library.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert "don't" not in own.words.known  # parts are remembered, not the words made of them
+
+
 def test_plain_words_of_files_go_through_the_merge_model():
     own = token_files.word_ids(WORDS)
     list(own.encode_all(["Once again, once again"]))
