@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lodestrata.llm import decontaminate, line_dedup, ngram_join, piece_codec, token_files
+from lodestrata.llm import decontaminate, line_dedup, ngram_join, piece_codec, token_files, word_ids
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 TRICKY = st.text(alphabet=st.one_of(st.sampled_from(" \n\tabcéßǅ▁<>s/0x1日🏳́ \u0000"), st.characters(exclude_categories=["Cs"])), max_size=40)
@@ -125,6 +125,29 @@ def test_as_many_ids_as_slots():
         assert (token_files.decode_ids(n, np.array(sizes), np.array(sums), payload) == ids).all()
 
 
+def test_blocks_of_a_group_learn_from_each_other():
+    ids = np.tile(np.random.default_rng(6).permutation(3000), 60)  # no block of 2048 has an id twice
+    sizes, sums, payload = token_files.encode_ids(ids.astype("<u4"))
+    assert (token_files.decode_ids(len(ids), np.array(sizes), np.array(sums), payload) == ids).all()
+    assert len(payload) < len(ids)  # each id alone takes 1.4 bytes
+
+
+def test_another_count_of_blocks_is_damage():
+    sizes, sums, payload = token_files.encode_ids(np.arange(5000).astype("<u4"))
+    for count in (5000 - token_files.BLOCK, 5000 + token_files.BLOCK):
+        with pytest.raises(token_files.Damaged):
+            token_files.decode_ids(count, np.array(sizes), np.array(sums), payload)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aSsTtRrEeVvLlMmDd'1.,ÉéßÞ<", max_size=9), max_size=6))
+def test_plain_words_are_split_as_the_file_splits_them(some):
+    parts, before = word_ids.parts_of(pa.array(some, pa.large_string()))
+    split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    want = [split.findall(word.lower()) for word in some]
+    assert parts.to_pylist() == sum(want, []) and before.tolist() == np.cumsum([0, *map(len, want)]).tolist()
+
+
 def test_words_of_a_run_stay_apart():
     own = token_files.word_ids(WORDS)
     texts = ["a,\n,b  ", "", None, " ", "É-é,", "don't \n\n'S'll it's", "x\ty\r\nz", "ok<|x|> <|endoftext|> ok", "日本 İI ½ a\u0301", "12,3", "\n", "...", "a, ,b"] * 3
