@@ -132,6 +132,19 @@ def test_blocks_of_a_group_learn_from_each_other():
     assert len(payload) < len(ids)  # each id alone takes 1.4 bytes
 
 
+def test_models_learn_from_every_id(monkeypatch):
+    learn, seen = token_files.Models.learn, []
+    monkeypatch.setattr(token_files.Models, "learn", lambda self, *run: (seen.append(run[-1].copy()), learn(self, *run))[1])
+    for n in (1, 511, 512, 513, 40_000):
+        ids = np.arange(n)
+        sizes, sums, payload = token_files.encode_ids(ids.astype("<u4"))
+        assert np.array_equal(np.sort(np.concatenate([x.ravel() for x in seen])), ids)
+        seen.clear()
+        token_files.decode_ids(n, np.array(sizes), np.array(sums), payload)
+        assert np.array_equal(np.sort(np.concatenate([x.ravel() for x in seen])), ids)
+        seen.clear()
+
+
 def test_another_count_of_blocks_is_damage():
     sizes, sums, payload = token_files.encode_ids(np.arange(5000).astype("<u4"))
     for count in (5000 - token_files.BLOCK, 5000 + token_files.BLOCK):
