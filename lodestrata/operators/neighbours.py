@@ -1,9 +1,13 @@
 """VEC3: approximate neighbours by an inverted file whose rows are product-quantised residuals.
 
 `build_index` fits centroids and codebooks on a bounded sample of the vectors and puts every vector, normalised, into the list of its nearest
-centroid as a code: what is left of it after the centroid, cut into parts, each part named by its nearest codebook entry. A search
-estimates distances from tables, one look-up for each part, in the lists nearest to the query, and scores only the best of the estimates
-exactly. How many lists and how many estimates are taken is set on the sample, so that of its own neighbours `target` are found.
+centroid as a code: what is left of it after the centroid, cut into parts, each part named by its nearest codebook entry; the vector itself
+lies beside it. A search estimates distances from tables, one look-up for each part, in the lists nearest to the query, and scores only the best
+of the estimates exactly. How many lists and how many of the sample's estimates are taken is set on the sample, so that of its own neighbours
+`target` are found; each query's cutoff is the last of so many estimates of the sample's rows. As the sample is a part of the index, at least
+as many rows are scored, and of a larger index so many times more.
+
+Queries are broadcast, a bounded number of bytes at a time, and meet the lists in the tasks that hold them; only k rows a query and task go on.
 
 Vectors that are null, zero or of another length than most have no code. They have a fixed distance to all others (1 or 2), so the first k of
 them by id stand for all. Queries of that kind are searched exactly.
@@ -11,7 +15,7 @@ them by id stand for all. Queries of that kind are searched exactly.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.retrieval import knn, rank_candidates
+from lodestrata.operators.retrieval import Best, knn, rank_candidates
 from lodestrata.sources.staging import in_rounds, staged
 
 SAMPLE, LISTS, PARTS, CODES, PACKET, ASKED = 20_000, 512, 16, 256, 4096, 200
 #: A list is packed by so many tasks at least, if they have rows of it.
 SALT = 8
+#: Queries that meet a packet at once; pairs that are scored at once.
+MET, PAIRS = 512, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -39,6 +45,10 @@ class Quantiser:
     def assign(self, v: np.ndarray) -> np.ndarray:
         return closest(v, self.centroids)
 
+    def order(self, v: np.ndarray) -> np.ndarray:
+        """Of each vector, the rank of each list from the nearest, which is 0."""
+        return squares(v, self.centroids).argsort(1, kind="stable").argsort(1, kind="stable")
+
     def encode(self, v: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = self.padded(v - self.centroids[lists]).reshape(len(v), *self.books.shape[::2])
         return np.stack([closest(rest[:, m], self.books[m]) for m in range(len(self.books))], axis=1).astype(np.uint8)
@@ -55,10 +65,12 @@ class Quantiser:
 @dataclass(frozen=True)
 class Index:
     quantiser: Quantiser | None
-    packets: DataFrame  # list, n, names, codes
+    packets: DataFrame  # list, n, names, codes, units
     odd: DataFrame  # vector_id and distance of the first rows without a code
     probes: int
-    short: int
+    short: int  # estimates of the sample that are taken
+    lists: np.ndarray | None = None  # of the sample's rows
+    codes: np.ndarray | None = None
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,9 +107,18 @@ def fit(sample: np.ndarray, lists: int, parts: int, seed: int) -> Quantiser:
     return Quantiser(centroids, np.stack([np.concatenate([b, np.repeat(b[:1], CODES - len(b), axis=0)]) for b in books]), dim)
 
 
-def calibrate(quantiser: Quantiser, sample: np.ndarray, k: int, target: float, rows: int) -> tuple[int, int]:
+def estimated(quantiser: Quantiser, order: np.ndarray, probes: int, queries: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Estimates of rows, given by lists and codes, for queries; infinite outside the first `probes` lists of the query, which order ranks."""
+    out = np.full((len(queries), len(lists)), np.inf)
+    for which in np.unique(lists):
+        rows_of, seen = np.flatnonzero(lists == which), np.flatnonzero(order[:, which] < probes)
+        out[np.ix_(seen, rows_of)] = quantiser.estimates(queries[seen], which, codes[rows_of])
+    return out
+
+
+def calibrate(quantiser: Quantiser, sample: np.ndarray, lists: np.ndarray, codes: np.ndarray, k: int, target: float) -> tuple[int, int]:
     """Lists to look into and estimates to score, so that a share of `target` of the sample's own k neighbours is found."""
-    lists, asked = quantiser.assign(sample), sample[:ASKED]
+    asked = sample[:ASKED]
     own = np.arange(len(asked))
     exact = -(asked @ sample.T)
     exact[own, own] = np.inf
@@ -105,19 +126,15 @@ def calibrate(quantiser: Quantiser, sample: np.ndarray, k: int, target: float, r
     if k < 1:
         return len(quantiser.centroids), 1
     true = np.argsort(exact, axis=1, kind="stable")[:, :k]
-    order = squares(asked, quantiser.centroids).argsort(1, kind="stable").argsort(1, kind="stable")
+    order = quantiser.order(asked)
     place = np.sort(np.take_along_axis(order, lists[true], 1).ravel())  # of each neighbour's list among the query's
     at = lambda values, share: values[min(len(values) - 1, int(np.ceil(share * len(values))) - 1)]
     probes = int(at(place, (1 + target) / 2)) + 1
-    codes = quantiser.encode(sample, lists)
-    estimated = np.full(exact.shape, np.inf)
-    for which in np.unique(lists):
-        rows_of, seen = np.flatnonzero(lists == which), np.flatnonzero(order[:, which] < probes)
-        estimated[np.ix_(seen, rows_of)] = quantiser.estimates(asked[seen], which, codes[rows_of])
-    estimated[own, own] = np.inf
-    better = np.sort(np.where(np.isfinite(np.take_along_axis(estimated, true, 1)), (estimated[:, None, :] < np.take_along_axis(estimated, true, 1)[:, :, None]).sum(2), len(sample)).ravel())
-    short = int(at(better, target)) + 2  # the query itself may be among the vectors
-    return probes, max(k + 1, int(np.ceil(short * max(1.0, rows / len(sample)))))
+    found = estimated(quantiser, order, probes, asked, lists, codes)
+    found[own, own] = np.inf
+    of_true = np.take_along_axis(found, true, 1)
+    better = np.sort(np.where(np.isfinite(of_true), (found[:, None, :] < of_true[:, :, None]).sum(2), len(sample)).ravel())
+    return probes, max(k + 1, int(at(better, target)) + 2)  # the query itself may be among the vectors
 
 
 def unit_rows(part: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,37 +153,41 @@ def build_index(vectors: DataFrame, k: int = 10, target: float = 0.95, lists: in
     slim = vectors.select(F.col("vector_id").cast("string").alias("vector_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sizes = slim.where("size(embedding) > 0").groupBy(F.size("embedding").alias("dim")).count()
     common = sizes.orderBy(F.desc("count"), "dim").first()
-    codes_of = "list int, vector_id string, code binary, kind double"
+    codes_of = "list int, vector_id string, code binary, unit binary, kind double"
+    packed = "list int, n int, names array<string>, codes binary, units binary"
     if common is None:
-        packets = spark.createDataFrame([], "list int, n int, names array<string>, codes binary")
+        packets = spark.createDataFrame([], packed)
         return Index(None, packets, slim.select("vector_id", F.lit(2.0).alias("distance")).limit(0), 0, 0)
     dim, rows = common["dim"], common["count"]
     draw = F.pmod(F.xxhash64("vector_id", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * sample / rows))
     drawn = slim.where((F.size("embedding") == dim) & draw).limit(sample).toPandas()
     own = unit_rows(drawn, dim)[1]
     quantiser = fit(own, lists or max(1, min(LISTS, round(len(own) ** 0.5))), parts, seed) if len(own) else None
-    probes, short = calibrate(quantiser, own, k, target, rows) if quantiser else (0, 0)
+    own_lists = quantiser.assign(own) if quantiser else None
+    own_codes = quantiser.encode(own, own_lists) if quantiser else None
+    probes, short = calibrate(quantiser, own, own_lists, own_codes, k, target) if quantiser else (0, 0)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             ok, v = unit_rows(part, dim) if quantiser else (np.zeros(len(part), bool), None)
-            which, codes = np.full(len(part), -1), np.full(len(part), None, object)
+            which, codes, units = np.full(len(part), -1), np.full(len(part), None, object), np.full(len(part), None, object)
             if ok.any():
                 which[ok] = quantiser.assign(v)
                 codes[ok] = [c.tobytes() for c in quantiser.encode(v, which[ok])]
+                units[ok] = [u.tobytes() for u in v]
             kind = [np.nan if good else 1.0 if e is not None and len(e) == dim else 2.0 for good, e in zip(ok, part["embedding"], strict=True)]
-            yield pd.DataFrame({"list": which, "vector_id": part["vector_id"], "code": codes, "kind": kind})
+            yield pd.DataFrame({"list": which, "vector_id": part["vector_id"], "code": codes, "unit": units, "kind": kind})
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
 
         def packet(which: int) -> pd.DataFrame:
-            names, codes = zip(*held.pop(which), strict=True)
-            return pd.DataFrame({"list": [which], "n": [len(names)], "names": [list(names)], "codes": [b"".join(codes)]})
+            names, codes, units = zip(*held.pop(which), strict=True)
+            return pd.DataFrame({"list": [which], "n": [len(names)], "names": [list(names)], "codes": [b"".join(codes)], "units": [b"".join(units)]})
 
         for part in batches:
-            for which, name, code in zip(part["list"], part["vector_id"], part["code"], strict=True):
-                held.setdefault(which, []).append((name, code))
+            for which, *row in zip(part["list"], part["vector_id"], part["code"], part["unit"], strict=True):
+                held.setdefault(which, []).append(row)
                 if len(held[which]) == PACKET:
                     yield packet(which)
         for which in list(held):
@@ -174,104 +195,100 @@ def build_index(vectors: DataFrame, k: int = 10, target: float = 0.95, lists: in
 
     coded = staged(slim.mapInPandas(encode, codes_of), "coded")
     dealt = coded.where("list >= 0").withColumn("salt", F.pmod(F.xxhash64("vector_id"), F.lit(SALT))).repartition("list", "salt").drop("salt", "kind")
-    packets = staged(dealt.mapInPandas(pack, "list int, n int, names array<string>, codes binary"), "packets")
+    packets = staged(dealt.mapInPandas(pack, packed), "packets")
     kinds = [coded.where(F.col("kind") == x).select("vector_id", F.col("kind").alias("distance")).orderBy("vector_id").limit(k) for x in (1.0, 2.0)]
-    return Index(quantiser, packets, staged(kinds[0].unionByName(kinds[1]), "uncoded"), probes, short)
+    return Index(quantiser, packets, staged(kinds[0].unionByName(kinds[1]), "uncoded"), probes, short, own_lists, own_codes)
 
 
-def probed(index: Index, queries: DataFrame) -> DataFrame:
-    """query_id, list, unit (the query at length 1) of the lists that each query looks into; list is -1 for queries without a code."""
-    quantiser, probes = index.quantiser, index.probes
+def asked_of(index: Index, queries: DataFrame) -> DataFrame:
+    """Blocks of queries: names, units, cutoffs; of queries without a code names only."""
+    quantiser, probes, short, lists, codes = index.quantiser, index.probes, index.short, index.lists, index.codes
+
+    def cutoff(v: np.ndarray) -> np.ndarray:
+        if short > len(lists):
+            return np.full(len(v), np.inf)
+        found = estimated(quantiser, quantiser.order(v), probes, v, lists, codes)
+        # a margin over what sums in other blocks differ by
+        return np.partition(found, short - 1, axis=1)[:, short - 1] * (1 + 1e-9) + 1e-12
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            ok, v = unit_rows(part, quantiser.dim) if quantiser else (np.zeros(len(part), bool), np.zeros((0, 1)))
-            names = part["query_id"].to_numpy()
-            if len(v):
-                near = squares(v, quantiser.centroids).argsort(1, kind="stable")[:, :probes]
-                rows = np.repeat(np.arange(len(v)), near.shape[1])
-                yield pd.DataFrame({"query_id": names[ok][rows], "list": near.ravel(), "unit": [v[i].tobytes() for i in rows]})
-            if not ok.all():
-                yield pd.DataFrame({"query_id": names[~ok], "list": -1, "unit": None})
+        for every in batches:
+            for i in range(0, len(every), MET):
+                part = every.iloc[i : i + MET]
+                ok, v = unit_rows(part, quantiser.dim) if quantiser else (np.zeros(len(part), bool), np.zeros((0, 1)))
+                names = part["query_id"].to_numpy()
+                if len(v):
+                    yield pd.DataFrame({"names": [names[ok].tolist()], "units": [v.tobytes()], "cutoffs": [cutoff(v).tobytes()]})
+                if not ok.all():
+                    yield pd.DataFrame({"names": [names[~ok].tolist()], "units": [None], "cutoffs": [None]})
 
     slim = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return slim.mapInPandas(run, "query_id string, list int, unit binary")
+    return slim.mapInPandas(run, "names array<string>, units binary, cutoffs binary")
 
 
-def shortest(index: Index) -> Callable:
-    """Of each query the `short` best estimates of a task."""
-    quantiser, short = index.quantiser, index.short
+def scorer(index: Index, asked, k: int):
+    """asked: a broadcast of (names, units, cutoffs) of queries."""
+    quantiser, probes = index.quantiser, index.probes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        q_names, queries, cutoffs = asked.value
+        looks = np.concatenate([quantiser.order(queries[i : i + 4096]) < probes for i in range(0, len(queries), 4096)])  # query x list
+        best, met, scored = Best(len(queries), k), np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
         for part in batches:
             for row in part.itertuples():
-                names, codes = np.array(row.names, object), np.frombuffer(row.codes, np.uint8).reshape(row.n, -1)
-                queries = np.stack([np.frombuffer(u) for u in row.units])
-                found = quantiser.estimates(queries, row.list, codes)
-                for name, own in zip(row.q_names, found, strict=True):
-                    held = best.get(name)
-                    if held is not None and len(held[0]) >= short:
-                        some = np.flatnonzero(own < held[0].max())
-                        own, own_names = own[some], names[some]
-                    else:
-                        own_names = names
-                    if not len(own):
-                        continue
-                    every, all_names = (own, own_names) if held is None else (np.concatenate([held[0], own]), np.concatenate([held[1], own_names]))
-                    if len(every) > short:
-                        some = np.argpartition(every, short - 1)[:short]
-                        every, all_names = every[some], all_names[some]
-                    best[name] = every, all_names
-        for name, (found, names) in best.items():
-            yield pd.DataFrame({"query_id": name, "vector_id": names, "estimate": found})
+                names, codes, units = np.array(row.names, object), np.frombuffer(row.codes, np.uint8).reshape(row.n, -1), np.frombuffer(row.units).reshape(row.n, -1)
+                every = np.flatnonzero(looks[:, row.list])
+                met[every] += row.n
+                for i in range(0, len(every), MET):
+                    own = every[i : i + MET]
+                    close = quantiser.estimates(queries[own], row.list, codes) <= cutoffs[own, None]
+                    scored[own] += close.sum(1)
+                    at, which = np.nonzero(close)
+                    for j in range(0, len(at), PAIRS):
+                        a, v = own[at[j : j + PAIRS]], which[j : j + PAIRS]
+                        best.take(a, np.round(np.maximum(0.0, 1 - np.einsum("ij,ij->i", queries[a], units[v])), 12), names[v])
+        some = np.flatnonzero(met)
+        yield pd.DataFrame({"query_id": q_names[some], "vector_id": None, "distance": None, "estimated": met[some], "scored": scored[some]})
+        for rows, distances, names in best.found(1 << 16):
+            yield pd.DataFrame({"query_id": q_names[rows], "vector_id": names, "distance": distances, "estimated": None, "scored": None})
 
     return run
 
 
-def short_list(index: Index, queries: DataFrame) -> DataFrame:
-    """query_id, vector_id of the pairs to score exactly, of queries with a code."""
-    kind = "query_id string, vector_id string, estimate double"
-    found = queries.sparkSession.createDataFrame([], kind)
-    if index.quantiser is None:
-        return found.drop("estimate")
-    pairs = probed(index, queries).where("list >= 0")
-    # blocks of the queries of a list, of 1024 at most
-    blocks = pairs.withColumn("part", F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count()) / 1024)))).groupBy("list", "part").agg(F.collect_list(F.struct("query_id", "unit")).alias("own"))
-    blocks, rounds = in_rounds(blocks.select("list", F.col("own.query_id").alias("q_names"), F.col("own.unit").alias("units")), F.size("units") * (8 * index.quantiser.dim + 40), "asked")
-    for r in range(rounds):
-        met = index.packets.join(F.broadcast(blocks.where(F.col("round") == r)), "list")
-        found = found.unionByName(met.mapInPandas(shortest(index), kind))
-    return rank_candidates(found, [F.col("estimate"), F.col("vector_id")], index.short).select("query_id", "vector_id")
-
-
-def exactly(pairs: DataFrame) -> DataFrame:
-    """query_id, vector_id, distance of pairs with their vectors q and v."""
+@dataclass(frozen=True)
+class Met:
+    blocks: DataFrame  # of queries, as asked_of gives them
+    found: DataFrame  # query_id, vector_id, distance, estimated, scored: a task's k nearest of a query; without vector_id what it estimated and scored
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            if len(part):
-                q, v = (np.stack([np.asarray(x, np.float64) for x in part[c]]) for c in ("q", "v"))
-                cosine = (q * v).sum(1) / (np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1))
-                yield pd.DataFrame({"query_id": part["query_id"], "vector_id": part["vector_id"], "distance": np.round(np.maximum(0.0, 1 - cosine), 12)})
 
-    return pairs.select("query_id", "vector_id", "q", "v").mapInPandas(run, "query_id string, vector_id string, distance double")
+def meet(index: Index, queries: DataFrame, k: int) -> Met:
+    """What the lists say to queries. A round's queries are gone from driver and executors when its rows are staged."""
+    spark, kind = queries.sparkSession, "query_id string, vector_id string, distance double, estimated long, scored long"
+    blocks, rounds = in_rounds(asked_of(index, queries), F.coalesce(F.octet_length("units"), F.lit(0)) + F.size("names") * 48, "asked")
+    found = spark.createDataFrame([], kind)
+    for r in range(rounds):
+        own = blocks.where((F.col("round") == r) & F.col("units").isNotNull()).collect()  # of one round: bounded
+        if own:
+            names = np.array([name for row in own for name in row["names"]], object)
+            units, cutoffs = (np.frombuffer(b"".join(row[c] for row in own)) for c in ("units", "cutoffs"))
+            asked = spark.sparkContext.broadcast((names, units.reshape(len(names), -1), cutoffs))
+            found = found.unionByName(staged(index.packets.mapInPandas(scorer(index, asked, k), kind), "met", 4))
+            asked.destroy()
+    return Met(blocks, found)
 
 
-def search(index: Index, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def search(index: Index, queries: DataFrame, vectors: DataFrame, k: int, met: Met | None = None) -> DataFrame:
     """query_id, vector_id, distance, rank of about the k nearest vectors; those that are found have their exact distances.
 
-    vectors: those of the index, vector_id being unique in it.
+    vectors: those of the index, vector_id being unique in it. met: what `meet` gave for these queries and k, if it was asked already.
     """
-    name = lambda df, key, as_: df.select(F.col(key).cast("string").alias(key), F.col("embedding").cast("array<double>").alias(as_))
-    asked = staged(name(queries, "query_id", "q"), "asked")
-    coded = F.col("list") >= 0
-    kinds = probed(index, asked.withColumnRenamed("q", "embedding")).groupBy("query_id").agg(F.max(coded).alias("coded"))
-    short = short_list(index, queries)
-    scored = exactly(short.join(name(vectors, "vector_id", "v"), "vector_id").join(asked, "query_id"))
+    met = met or meet(index, queries, k)
+    kinds = met.blocks.select(F.explode("names").alias("query_id"), F.col("units").isNotNull().alias("coded"))
     uncoded = kinds.where("coded").select("query_id").crossJoin(F.broadcast(index.odd))  # 2 * k rows at most
+    scored = met.found.where("vector_id is not null").select("query_id", "vector_id", "distance")
     near = rank_candidates(scored.unionByName(uncoded.select("query_id", "vector_id", "distance")), [F.col("distance"), F.col("vector_id")], k)
-    rest = asked.join(kinds.where("not coded"), "query_id").select("query_id", F.col("q").alias("embedding"))
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+    rest = asked.join(kinds.where("not coded").select("query_id"), "query_id")
     return near.unionByName(knn(rest, vectors, k).select(near.columns))
 
 
@@ -280,8 +297,7 @@ def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, **fitted) -> Data
     return search(build_index(vectors, k, **fitted), queries, vectors, k)
 
 
-def work(index: Index, queries: DataFrame) -> DataFrame:
+def work(index: Index, queries: DataFrame, met: Met | None = None) -> DataFrame:
     """query_id, estimated, scored: how many vectors each query with a code meets in its lists, and how many it scores exactly."""
-    sizes = index.packets.groupBy("list").agg(F.sum("n").alias("n"))
-    lists = probed(index, queries).where("list >= 0").join(sizes, "list").groupBy("query_id").agg(F.sum("n").cast("long").alias("estimated"))
-    return lists.join(short_list(index, queries).groupBy("query_id").agg(F.count("*").alias("scored")), "query_id")
+    found = (met or meet(index, queries, 1)).found.where("vector_id is null")
+    return found.groupBy("query_id").agg(F.sum("estimated").alias("estimated"), F.sum("scored").alias("scored"))

@@ -123,6 +123,39 @@ def blocks(vectors: DataFrame, names: str, values: str, rows: int) -> DataFrame:
     return vectors.mapInPandas(pack, f"dim int, block int, {names} array<string>, {values} binary")
 
 
+class Best:
+    """The k best (distance, name) of each of n rows among all that are taken in, smaller ones being better."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, np.inf)  # the k-th best distance so far
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.most = 0, max(1 << 18, 2 * n * k)
+
+    def take(self, rows: np.ndarray, distances: np.ndarray, names: np.ndarray) -> None:
+        some = distances <= self.least[rows]
+        if some.any():
+            self.held.append((rows[some], distances[some], names[some]))
+            self.size += len(self.held[-1][0])
+            if self.size > self.most:
+                self.cut()
+
+    def cut(self) -> None:
+        rows, distances, names = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((names, distances, rows))
+        rows, distances, names = rows[order], distances[order], names[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last, some = place == self.k - 1, place < self.k
+        self.least[rows[last]] = distances[last]
+        self.held, self.size = [(rows[some], distances[some], names[some])], int(some.sum())
+
+    def found(self, some: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """rows, distances, names of the best, `some` at a time."""
+        if self.held:
+            self.cut()
+            for i in range(0, self.size, some):
+                yield tuple(x[i : i + some] for x in self.held[0])
+
+
 def nearest(asked, k: int, block: int) -> Callable:
     """The k nearest of each query by (cosine distance, id), kept as a running best per task.
 
@@ -189,7 +222,12 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, owners: list | None = No
     found = spark.createDataFrame([], kind)
     for r in range(rounds):
         own = [(row["dim"], list(row["q_names"]), bytes(row["q_values"])) for row in asked.where(F.col("round") == r).collect()]  # of one round: bounded
-        found = found.unionByName(held.mapInArrow(nearest(spark.sparkContext.broadcast(own), k, block), kind))
+        asked_now = spark.sparkContext.broadcast(own)
+        met = held.mapInArrow(nearest(asked_now, k, block), kind)
+        if rounds > 1:  # a round's queries are gone when its rows are staged
+            met = staged(met, "nearest", 10_000)
+            asked_now.destroy()
+        found = found.unionByName(met)
     return rank_candidates(found, [F.col("distance"), F.col("vector_id")], k)
 
 

@@ -103,11 +103,12 @@ def knn_approx_recall(spark, d):
     """Of every query: the share of the exact neighbours that the approximate search finds, and the shares of all vectors that it estimates and scores."""
     queries, vectors = vector_tables(spark, d)
     index = neighbours.build_index(vectors, 10)
-    exact, near = retrieval.knn(queries, vectors, 10), neighbours.search(index, queries, vectors, 10)
+    found = neighbours.meet(index, queries, 10)
+    exact, near = retrieval.knn(queries, vectors, 10), neighbours.search(index, queries, vectors, 10, found)
     met = exact.select("query_id", "vector_id").join(near.select("query_id", "vector_id", F.lit(1).alias("found")), ["query_id", "vector_id"], "left")
     recall = met.groupBy("query_id").agg(F.round(F.count("found") / F.count("*"), 4).alias("recall"))
     share = lambda c: F.round(F.col(c) / F.col("n"), 4).alias(f"{c}_share")
-    every = recall.join(neighbours.work(index, queries), "query_id").crossJoin(F.broadcast(vectors.agg(F.count("*").alias("n"))))
+    every = recall.join(neighbours.work(index, queries, found), "query_id").crossJoin(F.broadcast(vectors.agg(F.count("*").alias("n"))))
     return every.select("query_id", "recall", share("estimated"), share("scored"))
 
 

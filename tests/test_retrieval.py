@@ -101,6 +101,35 @@ def test_approximate_neighbours_are_exactly_scored(spark):
     assert len(costs) == 11 and all(x.scored < 0.1 * 600 and x.estimated < 0.5 * 600 for x in costs)
 
 
+def test_queries_meet_the_lists_in_bounded_rounds(spark, monkeypatch):
+    """What is broadcast grows with the queries, not with their lists, and no pair is joined with its vectors."""
+    rng = np.random.default_rng(4)
+    vs = spark.createDataFrame([(f"v{i}", rng.normal(size=16).tolist()) for i in range(900)], "vector_id string, embedding array<double>").repartition(3)
+    qs = vs.where("int(substr(vector_id, 2)) % 10 = 0").withColumnRenamed("vector_id", "query_id")
+    index = n.build_index(vs, 5)
+    assert index.probes > 5
+    rounds, found = [], []
+    monkeypatch.setattr(n, "in_rounds", lambda *a: (rounds.append(staging.in_rounds(*a)), rounds[-1])[1])
+    for limit in (20_000, 1_500):  # 90 queries of 128 bytes and a name
+        monkeypatch.setattr(staging, "ROUND_BYTES", limit)
+        near = n.search(index, qs, vs, 5)
+        assert "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
+        found.append(sorted(tuple(x) for x in near.select("query_id", "rank", "vector_id", "distance").collect()))
+    assert rounds[0][1] == 1 < rounds[1][1] and found[0] == found[1] and len(found[0]) == 450
+
+
+def test_the_best_of_rows_whatever_comes_first():
+    rng = np.random.default_rng(5)
+    rows, distances, names = rng.integers(0, 7, 4000), rng.integers(0, 40, 4000) / 8, rng.permutation(4000)
+    best = r.Best(9, 6)
+    best.most = 50
+    for i in range(0, 4000, 37):
+        best.take(rows[i : i + 37], distances[i : i + 37], names[i : i + 37])
+    got = [x for part in best.found(5) for x in zip(*(c.tolist() for c in part), strict=True)]
+    assert got == [x for q in range(7) for x in sorted((q, d, v) for a, d, v in zip(rows.tolist(), distances.tolist(), names.tolist(), strict=True) if a == q)[:6]]
+    assert not list(r.Best(3, 2).found(5))
+
+
 def test_an_index_of_nothing_and_of_one_row(spark):
     none = spark.createDataFrame([], "vector_id string, embedding array<double>")
     one = spark.createDataFrame([("a", [1.0, 0.0])], "vector_id string, embedding array<double>")
