@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import seconds, segment_id
-from lodestrata.operators.retrieval import embed_hashed, knn, rank_candidates, resolve_matches, similarity_floor
+from lodestrata.operators.counted import knn_hashed
+from lodestrata.operators.retrieval import rank_candidates, resolve_matches, similarity_floor
+from lodestrata.sources.staging import staged
 
 STEP_SECONDS, MAX_KEYFRAMES, MIN_SIMILARITY, SLOT_SECONDS = 30.0, 6, 0.1, 60.0
 
@@ -59,7 +61,7 @@ def media_rollup(segments: DataFrame) -> DataFrame:
 def search_segments(queries: DataFrame, segments: DataFrame, k: int = 5, min_score: float = MIN_SIMILARITY) -> DataFrame:
     """SEG3: the k nearest segments of each query with their times."""
     flat = queries.select("query_id", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text"))
-    vectors = embed_hashed(segments.select(F.col("segment_id").alias("vector_id"), F.col("combined_text").alias("text")), "text").drop("text")
-    near = knn(embed_hashed(flat, "text"), vectors, k).select("query_id", F.col("vector_id").alias("segment_id"), "distance")
-    found = resolve_matches(near, segments, "segment_id")
+    segments = staged(segments, "segments")  # read for their order, their texts and the result
+    near = knn_hashed(flat, segments.select(F.col("segment_id").alias("vector_id"), F.col("combined_text").alias("text")), k, min_score)
+    found = resolve_matches(near.select("query_id", F.col("vector_id").alias("segment_id"), "distance"), segments, "segment_id")
     return rank_candidates(similarity_floor(found, min_score, tie="segment_id"), [F.col("rank")])

@@ -72,8 +72,8 @@ def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list], o
     return df.mapInPandas(run, schema)
 
 
-def hashed_embedder(dim: int = 256, held: int = 200_000) -> Callable[[list[str]], list[np.ndarray]]:
-    """VEC1: counts of tokens by hash, of length 1; the first unit vector where there is no token."""
+def hashed_slots(dim: int = 256, held: int = 200_000) -> Callable[[str], list[int]]:
+    """The slot of each token of a text by hash; the first one where there is no token."""
     import re
 
     pattern, stop, known = re.compile(r"\w+"), frozenset(EMBEDDING_STOP_WORDS), {}
@@ -85,11 +85,17 @@ def hashed_embedder(dim: int = 256, held: int = 200_000) -> Callable[[list[str]]
             at = known[token] = int.from_bytes(hashlib.sha256(token.encode()).digest()[:2], "big") % dim
         return at
 
+    return lambda text: [slot(t) for t in pattern.findall(text.casefold()) if t not in stop] or [0]
+
+
+def hashed_embedder(dim: int = 256, held: int = 200_000) -> Callable[[list[str]], list[np.ndarray]]:
+    """VEC1: counts of tokens by hash, of length 1; the first unit vector where there is no token."""
+    slots_of = hashed_slots(dim, held)
+
     def run(texts: list[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
-            slots = [slot(t) for t in pattern.findall(text.casefold()) if t not in stop]
-            v = np.bincount(slots, minlength=dim).astype(float) if slots else np.eye(1, dim)[0]
+            v = np.bincount(slots_of(text), minlength=dim).astype(float)
             out.append(v / np.linalg.norm(v))
         return out
 
@@ -129,7 +135,7 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k, self.least = k, np.full(n, np.inf)  # the k-th best distance so far
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size, self.most = 0, max(1 << 18, 2 * n * k)
+        self.size, self.most, self.cuts = 0, max(1 << 18, 2 * n * k), 0
 
     def take(self, rows: np.ndarray, distances: np.ndarray, names: np.ndarray) -> None:
         some = distances <= self.least[rows]
@@ -140,20 +146,22 @@ class Best:
                 self.cut()
 
     def cut(self) -> None:
+        if not self.held:
+            return
         rows, distances, names = (np.concatenate(x) for x in zip(*self.held, strict=True))
         order = np.lexsort((names, distances, rows))
         rows, distances, names = rows[order], distances[order], names[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         last, some = place == self.k - 1, place < self.k
         self.least[rows[last]] = distances[last]
+        self.cuts += 1
         self.held, self.size = [(rows[some], distances[some], names[some])], int(some.sum())
 
     def found(self, some: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """rows, distances, names of the best, `some` at a time."""
-        if self.held:
-            self.cut()
-            for i in range(0, self.size, some):
-                yield tuple(x[i : i + some] for x in self.held[0])
+        self.cut()
+        for i in range(0, self.size, some):
+            yield tuple(x[i : i + some] for x in self.held[0])
 
 
 def nearest(asked, k: int, block: int) -> Callable:

@@ -118,6 +118,31 @@ def test_queries_meet_the_lists_in_bounded_rounds(spark, monkeypatch):
     assert rounds[0][1] == 1 < rounds[1][1] and found[0] == found[1] and len(found[0]) == 450
 
 
+def test_texts_by_counts_are_the_neighbours_of_their_vectors(spark, monkeypatch):
+    from lodestrata.operators import counted
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    some = {f"t{i}": " ".join(rng.choices(words, k=rng.choice((1, 2, 5, 12, 40)))) for i in range(700)}
+    some |= {"empty": "", "null": None, "stop": "the of", "same1": "w1 w2", "same2": "w2 w1", "often": "w3 " * 9 + "w4", "long": "w5 " * 300 + "w6 w7", "longer": "w8 " * 70_000 + "w9", "twice": "w1 w2 w1 w2"}
+    texts = spark.createDataFrame(list(some.items()), "vector_id string, text string").repartition(5)
+    asked = texts.where("substr(vector_id, -1) in ('3', '7') or vector_id not like 't%'").withColumnRenamed("vector_id", "query_id")
+    vectors = r.embed_hashed(texts, "text")
+    exact = r.knn(r.embed_hashed(asked, "text"), vectors, 5)
+    rows = lambda df: sorted((x.query_id, x["rank"], x.vector_id, round(x.distance, 10)) for x in df.collect())
+    found, rounds = counted.knn_hashed(asked, texts, 5), []
+    assert rows(found) == rows(exact) and exact.count() == 5 * asked.count()
+    # in blocks of 16 queries, few texts and several rounds; pairs under the floor are no matches
+    monkeypatch.setattr(counted, "CELLS", 16 * 256)
+    monkeypatch.setattr(counted, "FIRST", 8)
+    monkeypatch.setattr(counted, "CHUNK", 32)
+    monkeypatch.setattr(staging, "ROUND_BYTES", 8_000)
+    monkeypatch.setattr(counted, "in_rounds", lambda *x: (rounds.append(staging.in_rounds(*x)), rounds[-1])[1])
+    strong = counted.knn_hashed(asked, texts, 5, floor=0.5)
+    assert rows(strong.where("distance <= 0.5")) == rows(exact.where("distance <= 0.5"))
+    assert 1 < rounds[0][1] < asked.count() * 2048 / 8_000 / 4  # a query is a few slots, not 2048 bytes
+
+
 def test_the_best_of_rows_whatever_comes_first():
     rng = np.random.default_rng(5)
     rows, distances, names = rng.integers(0, 7, 4000), rng.integers(0, 40, 4000) / 8, rng.permutation(4000)
